@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookmerge.llm import decontaminate, line_dedup, packing, token_file
+from bookmerge.llm import decontaminate, line_dedup, packing, quality_model, quality_rules, secrets, token_file, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_url_filters": url_filters.op3_url_filters,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_quality_model": quality_model.op6_quality_model,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_packing": packing.op8_packing,
         "op9_token_file": token_file.op9_token_file,
@@ -19,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": url_filters.oracle()}
