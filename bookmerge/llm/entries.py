@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookmerge.llm import decontaminate, line_dedup, packing, quality_model, quality_rules, secrets, token_file, url_filters
+from bookmerge.llm import decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, secrets, token_file, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_url_filters": url_filters.op3_url_filters,
         "op5_secrets": secrets.op5_secrets,
