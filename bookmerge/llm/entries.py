@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookmerge.llm import decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, secrets, token_file, url_filters
+from bookmerge.llm import chat_windows, decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, secrets, token_file, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_url_filters": url_filters.op3_url_filters,
+        "op4_chat_windows": chat_windows.op4_chat_windows,
         "op5_secrets": secrets.op5_secrets,
         "op6_quality_model": quality_model.op6_quality_model,
         "op7_line_dedup": line_dedup.op7_line_dedup,
