@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookmerge.llm import decontaminate, line_dedup, packing
+from bookmerge.llm import decontaminate, jaccard_join, line_dedup, packing, quality_model
 from bookmerge.llm._shared import written
 
 STAGES = [
+    ("quality classifier", quality_model.stage),
     ("line dedup", line_dedup.stage),
+    ("n-gram Jaccard join", jaccard_join.stage),
     ("benchmark decontamination", decontaminate.stage),
     ("packing", packing.stage),
 ]
