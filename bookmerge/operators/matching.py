@@ -13,6 +13,7 @@ from bookmerge.functions import arrays as X
 from bookmerge.functions import contacts as C
 from bookmerge.functions import names as M
 from bookmerge.functions import normalize as N
+from bookmerge.operators.graph import durable
 from bookmerge.schemas import Settings
 
 #: Component values of the rule score.
@@ -21,7 +22,10 @@ REASONS = [("email", "Same email address"), ("phone", "Same phone number"), ("ex
 
 
 def prepared(book: DataFrame, groups: list[list[str]] | None = None) -> DataFrame:
-    """(id, c, n, extra): the contact, its normalised form, and what the signals need, once a record."""
+    """(id, c, n, extra): the contact, its normalised form, and what the signals need.
+
+    Written once: pairs then read plain columns instead of normalising a record for each pair.
+    """
     df = C.as_struct(C.completed(book), "c")
     df = df.select(F.col("c.contact_id").alias("id"), "c", C.normalized(F.col("c")).alias("n"))
     extra = F.struct(
@@ -31,11 +35,8 @@ def prepared(book: DataFrame, groups: list[list[str]] | None = None) -> DataFram
         F.transform(C.values(F.col("c.emails")), F.lower).alias("emails"),
         F.coalesce(N.trimmed(F.lower(F.col("c.nickname"))), F.lit("")).alias("nickname"),
     )
-    return df.withColumn("extra", extra)
-
-
-def _keyed(side: DataFrame, key: Column) -> DataFrame:
-    return side.select("id", "c", "n", "extra", F.explode(key).alias("key"))
+    df = df.select("*", extra.alias("extra"), _lossless_keys(F.col("n")).alias("keys"), N.normalize_name(F.col("n.full_name")).alias("sim"))
+    return durable(df)
 
 
 def _lossless_keys(n: Column) -> Column:
@@ -61,19 +62,19 @@ def candidate_pairs(a: DataFrame, b: DataFrame | None = None, mode: str = "lossl
     order = F.col("x.id") < F.col("y.id") if within else F.lit(True)
     if mode == "exhaustive":
         pairs = a.alias("x").join(b.alias("y"), order)
-        return pairs.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.struct("x.c", "x.n", "x.extra").alias("a"), F.struct("y.c", "y.n", "y.extra").alias("b"))
+        return pairs.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.struct("x.c", "x.n", "x.extra", "x.sim").alias("a"), F.struct("y.c", "y.n", "y.extra", "y.sim").alias("b"))
     if mode == "reference":
         keys = lambda side: side.select("id", F.explode(C.blocking_keys(F.col("c"))).alias("key"))
         ids = keys(a).alias("x").join(keys(b).alias("y"), (F.col("x.key") == F.col("y.key")) & order).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()
     else:
-        strong = lambda side: side.select("id", F.explode(F.filter(_lossless_keys(F.col("n")), lambda k: ~k.rlike("^[OA]:"))).alias("key"))
+        strong = lambda side: side.select("id", F.explode(F.filter("keys", lambda k: ~k.rlike("^[OA]:"))).alias("key"))
         s = strong(a).alias("x").join(strong(b).alias("y"), (F.col("x.key") == F.col("y.key")) & order).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
         wa, wb = _weak(a), _weak(b, probe=True)
-        near = N.names_similar(F.col("x.name"), F.col("y.name"))
+        near = (F.col("x.name") == F.col("y.name")) | (F.levenshtein(F.col("x.name"), F.col("y.name"), 2) >= 0)
         w = wa.alias("x").join(wb.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.segment") == F.col("y.segment")) & order & near).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
         ids = s.unionByName(w).distinct()
-    left = a.select(F.col("id").alias("id_a"), F.struct("c", "n", "extra").alias("a"))
-    right = b.select(F.col("id").alias("id_b"), F.struct("c", "n", "extra").alias("b"))
+    left = a.select(F.col("id").alias("id_a"), F.struct("c", "n", "extra", "sim").alias("a"))
+    right = b.select(F.col("id").alias("id_b"), F.struct("c", "n", "extra", "sim").alias("b"))
     return ids.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", "a", "b")
 
 
@@ -83,15 +84,16 @@ def _weak(side: DataFrame, probe: bool = False) -> DataFrame:
     A name of length L is cut in three (lengths by L); a partner of length L-2 .. L+2 holds one of
     the parts, shifted by two at most, so the probing side gives all substrings that could be that part.
     """
-    name = N.normalize_name(F.col("n.full_name"))
-    keys = F.filter(_lossless_keys(F.col("n")), lambda k: k.rlike("^[OA]:"))
-    base = side.select("id", name.alias("name"), F.explode(keys).alias("key")).where("name <> ''")
+    keys = F.filter("keys", lambda k: k.rlike("^[OA]:"))
+    base = side.where("sim <> ''").select("id", F.col("sim").alias("name"), F.explode(keys).alias("key"))
     cut = lambda length, k: (length * k / 3).cast("int")
+    part = lambda length, k, s: F.concat_ws("|", length.cast("string"), k.cast("string"), F.substring(F.col("name"), F.greatest(cut(length, k) + 1 + s, F.lit(1)), cut(length, k + 1) - cut(length, k)))
+    thirds, near = F.sequence(F.lit(0), F.lit(2)), F.sequence(F.lit(-2), F.lit(2))
     length = F.length("name")
     if not probe:
-        parts = F.array(*(F.concat_ws("|", length.cast("string"), F.lit(str(k)), F.substring(F.col("name"), cut(length, k) + 1, cut(length, k + 1) - cut(length, k))) for k in range(3)))
+        parts = F.transform(thirds, lambda k: part(length, k, F.lit(0)))
     else:
-        parts = F.array_distinct(F.flatten(F.array(*(F.array(*(F.concat_ws("|", (length + d).cast("string"), F.lit(str(k)), F.substring(F.col("name"), F.greatest(cut(length + d, k) + 1 + s, F.lit(1)), cut(length + d, k + 1) - cut(length + d, k))) for s in range(-2, 3))) for d in range(-2, 3) for k in range(3)))))
+        parts = F.array_distinct(F.flatten(F.transform(thirds, lambda k: F.flatten(F.transform(near, lambda d: F.transform(near, lambda s: part(length + d, k, s)))))))
     return base.select("id", "name", "key", F.explode(parts).alias("segment"))
 
 
@@ -100,7 +102,7 @@ def match_score(a: Column, b: Column) -> Column:  # O09
     x, y = a["n"], b["n"]
     email, phone = X.overlaps(x["emails"], y["emails"]), X.overlaps(x["phones"], y["phones"])
     exact = (x["full_name"] != "") & (x["full_name"] == y["full_name"])
-    similar = ~exact & N.names_similar(x["full_name"], y["full_name"])
+    similar = ~exact & (a["sim"] != "") & (b["sim"] != "") & (F.levenshtein(a["sim"], b["sim"], 2) >= 0)
     same = lambda f: (x[f] != "") & (x[f] == y[f])
     named = exact | similar
     mismatch = named & N.domains_conflict(x["emails"], y["emails"])
