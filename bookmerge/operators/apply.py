@@ -10,6 +10,7 @@ from bookmerge.functions import contacts as C
 from bookmerge.functions import normalize as N
 from bookmerge.operators import merge as G
 from bookmerge.operators.diff import effective_action
+from bookmerge.operators.graph import durable
 from bookmerge.schemas import CONTACT_TYPES, Settings
 
 _DISTANT = "timestamp'0001-01-01 00:00:00'"
@@ -85,27 +86,30 @@ def apply_books(outcomes: DataFrame, left: DataFrame, right: DataFrame, directio
     rows = done.select("act", "to_left", "source", "left_id", "right_id").join(a, "left_id", "left").join(b, "right_id", "left")
     x, y = F.col("a"), F.col("b")
     mask = C.write_mask(settings)
-
-    def written(src: Column, dst: Column, side: str) -> Column:
-        sent = C.field_settings(src, settings)
-        made = new_id if new_id is not None else F.concat(F.lit("people/new-" if side == "google" else "mac/new-"), F.substring(F.sha2(src["contact_id"], 256), 1, 16))
+    # Three short steps on written rows: a record's fields are plain columns in each, not nested rules.
+    merges = F.col("act") == "merge"
+    ids = ["act", "to_left", "left_id", "right_id", "a", "b"]
+    rows = durable(rows.select(*ids, F.when(merges & x.isNotNull() & y.isNotNull(), G.merge_sync(x, y)).when(F.col("act").isin("add", "update"), F.when(F.col("to_left"), C.replaced(y)).otherwise(C.replaced(x))).alias("made")))
+    rows = durable(rows.select(*ids, F.when(F.col("made").isNotNull(), C.field_settings(F.col("made"), settings)).alias("sent")))
+    sent = F.col("sent")
+
+    def written(dst: Column, side: str) -> Column:
+        made = new_id if new_id is not None else F.concat(F.lit("people/new-" if side == "google" else "mac/new-"), F.substring(F.sha2(sent["contact_id"], 256), 1, 16))
         own = "google_resource_name" if side == "google" else "mac_contact_identifier"
         fresh = C.replaced(sent, contact_id=made, source=F.lit(side), **{own: made})
-        return F.when(dst.isNull(), fresh).otherwise(C.apply_mask(sent, dst, mask))
+        return F.when(sent.isNotNull(), F.when(dst.isNull(), fresh).otherwise(C.apply_mask(sent, dst, mask)))
 
-    both = G.merge_sync(x, y)
-    rows = rows.select(
-        "act", "to_left", "source", "left_id", "right_id",
-        F.when((F.col("act") == "merge") & x.isNotNull(), C.apply_mask(C.field_settings(both, settings), x, mask)).when(F.col("act").isin("add", "update") & F.col("to_left"), written(y, x, "google")).alias("new_left"),
-        F.when((F.col("act") == "merge") & y.isNotNull(), C.apply_mask(C.field_settings(both, settings), y, mask)).when(F.col("act").isin("add", "update") & ~F.col("to_left"), written(x, y, "mac")).alias("new_right"),
-        ((F.col("act") == "delete") & F.col("to_left")).alias("drop_left"), ((F.col("act") == "delete") & ~F.col("to_left")).alias("drop_right"),
-    )
+    removes = F.col("act") == "delete"
+    rows = durable(rows.select(
+        "left_id", "right_id", F.when(merges | F.col("to_left"), written(x, "google")).alias("new_left"), F.when(merges | ~F.col("to_left"), written(y, "mac")).alias("new_right"),
+        (removes & F.col("to_left")).alias("drop_left"), (removes & ~F.col("to_left")).alias("drop_right"),
+    ))
 
     def book(old: DataFrame, new: str, drop: str, key: str) -> DataFrame:
         changed = rows.where(F.col(new).isNotNull()).groupBy(f"{new}.contact_id").agg(F.first(new, ignorenulls=True).alias(new)).select(f"{new}.*")
         dropped = rows.where(F.col(drop)).select(F.col(key).alias("contact_id"))
         touched = changed.select("contact_id").unionByName(dropped).distinct()
-        return C.completed(old).join(touched, "contact_id", "left_anti").unionByName(changed).select(*CONTACT_TYPES)
+        return C.completed(old).join(touched, "contact_id", "left_anti").select(*CONTACT_TYPES).unionByName(changed.select(*CONTACT_TYPES))
 
     return book(left, "new_left", "drop_left", "left_id"), book(right, "new_right", "drop_right", "right_id")
 
