@@ -8,11 +8,13 @@ boundary between the two is the size at which the summed cost (keys to write, po
 least. The order puts rare shingles first by a count sketch of all documents (fixed size; it
 steers cost, never results), so a passage that many documents share is hardly ever a key.
 
-A list of k members is not k * k pairs. Links only have to join a list's members: every list links its members to a
-hub first; then, in rounds, members whose labels (component so far) still differ from a random hub's are
-compared with it; last, every pair of members with different labels that no earlier round
-compared. Pairs inside one component are skipped, since they can't change it; all others are compared, so
-the components are those of all links. Pairs that fail the size or position bound (with the shingle's place in
+A list of k members is not k * k pairs. Links only have to join a list's members: every list compares its members
+with a hub first; members of long lists whose labels (component so far) still differ from those of a few random
+hubs are compared with these; last, every pair of members with different labels. Pairs inside one
+component are skipped, since they can't change it; all others are compared, so the components are those
+of all links. In lists up to ``LONG`` members these are rows of pairs; longer lists (those with the same
+commonest label become one group) are compared in blocks of about ``BLOCK`` members, each pair of blocks by one
+product of two 0/1 matrices, which yields links alone. Pairs that fail the size or position bound (with the shingle's place in
 both orders) can't link and are dropped. Candidate texts are written once; pairs are verified on
 whole sets. Keys that the sketch calls heavy are salted over partitions; hubs are found by aggregation.
 
@@ -49,8 +51,8 @@ CHUNK = 1 << 16
 LARGEST_LIGHT = 12
 #: Postings by the sketch from which a key is salted, and to which share a salt is cut.
 HEAVY = 4096
-#: Rounds of random hubs, and hubs a round, before all remaining pairs are compared.
-ROUNDS, HUBS = 2, 4
+#: Members from which a list is long; random hubs of a long list; members of a block.
+LONG, HUBS, BLOCK = 256, 4, 128
 PERCENT = 80
 
 
@@ -274,8 +276,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     # Whole texts of the classes that share any key, once.
     wanted = written(lists.select("class", "n").distinct().join(classes, ["class", "n"]), "wanted")
-    by_rep = texts.join(wanted.withColumnRenamed("rep", "d"), "d").select("class", "n", "text").mapInArrow(_own_text, "class long, n int, text string")
-    bodies = written(by_rep.groupBy("class", "n").agg(F.first("text").alias("text")), "bodies")
+    by_rep = texts.join(wanted.withColumnRenamed("rep", "d").hint("merge"), "d").select("class", "n", "text").mapInArrow(_own_text, "class long, n int, text string")
+    bodies = written(by_rep, "bodies")
 
     tried = links = None
 
@@ -284,12 +286,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "an", "b", "bn"], "left_anti")
         pairs = written(pairs, "pairs")
+        if pairs.isEmpty() and links is not None:
+            return
         with_a = pairs.join(bodies.toDF("a", "an", "text_a"), ["a", "an"])
         with_both = with_a.join(bodies.toDF("b", "bn", "text_b"), ["b", "bn"])
         judged = written(with_both.select("a", "an", "b", "bn", "text_a", "text_b").mapInArrow(_verify(PERCENT), "a long, an int, b long, bn int, linked boolean").distinct(), "judged")
-        pairs = judged.drop("linked")
         found = judged.where("linked").drop("linked")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = judged.drop("linked") if tried is None else tried.unionByName(judged.drop("linked"))
         links = found if links is None else links.unionByName(found)
 
     def hub(n: int):
@@ -305,18 +308,24 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     hubs = written(lists.groupBy("key").agg(hub(0).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_pos"), "hubs")
     compare(_pairs(lists.join(hubs, "key")))
-    for r in range(ROUNDS):
-        rows = labelled()
-        some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *(hub(1 + r * HUBS + k).alias(f"h{k}") for k in range(HUBS)))
-        hubs = some.where("lo <> hi").select("key", F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_pos", "h.hub_label").distinct()
+    lengths = lists.groupBy("key").agg(F.count("*").alias("members"))
+    long_keys = written(lengths.where(F.col("members") > LONG).select("key"), "long-keys")
+    if not long_keys.isEmpty():
+        rows = written(labelled().join(long_keys, "key"), "long-lists")
+        some = rows.groupBy("key").agg(*(hub(1 + k).alias(f"h{k}") for k in range(HUBS)))
+        hubs = some.select("key", F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_pos", "h.hub_label").distinct()
         compare(_pairs(rows.join(written(hubs, "hubs"), "key").where("label <> hub_label")))
+
     # Every pair with different labels: members outside the list's commonest label against all of it.
     rows = labelled()
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
     common = by_label.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("commonest"))
-    rows = written(rows.join(written(common, "commonest"), "key"), "mixed-lists")
-    rest = rows.where("label <> commonest").select("key", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"))
-    compare(_pairs(rows.join(rest, "key").where("label <> hub_label")))
+    rows = written(rows.join(written(common, "commonest"), "key").join(long_keys.withColumn("long", F.lit(True)), "key", "left"), "mixed-lists")
+    short = rows.where("long is null")
+    rest = short.where("label <> commonest").select("key", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"))
+    compare(_pairs(short.join(rest, "key").where("label <> hub_label")))
+    if not long_keys.isEmpty():
+        links = links.unionByName(_block_links(rows.where("long"), bodies))
 
     reps = classes.select(F.col("class").alias("c"), F.col("n").alias("m"), "rep")
     edges = links.join(reps.toDF("a", "an", "ra"), ["a", "an"]).join(reps.toDF("b", "bn", "rb"), ["b", "bn"]).select("ra", "rb")
@@ -326,10 +335,66 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return members.join(parts.toDF("d", "component"), "d", "left").select("d", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "d").alias("component"))
 
 
+def _block_links(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, an, b, bn) among members of long lists that have different labels; rows has class, n, label, commonest."""
+    members = written(rows.select(F.col("commonest").alias("group"), "class", "n", (F.col("label") == F.col("commonest")).cast("int").alias("common")).distinct(), "members")
+    sizes = members.groupBy("group").agg(F.count_if(F.col("common") == 1).alias("k"), F.count_if(F.col("common") == 0).alias("r"))
+    # Blocks of the commonest label first, then those of the rest; a pair of blocks holds a block of the rest.
+    sizes = written(sizes.select("group", F.ceil(F.col("k") / BLOCK).cast("int").alias("k"), F.ceil(F.col("r") / BLOCK).cast("int").alias("r")), "group-sizes")
+    spread = F.xxhash64(F.lit("block"), "class", "n")
+    at = F.when(F.col("common") == 1, F.pmod(spread, "k")).otherwise(F.col("k") + F.pmod(spread, "r")).cast("int")
+    placed = members.join(sizes, "group").withColumn("block", at).select("group", "block", "class", "n")
+    blocks = placed.join(bodies, ["class", "n"]).groupBy("group", "block").agg(F.collect_list(F.struct("class", "n", "text")).alias("sets"))
+    blocks = written(blocks, "blocks")
+    one = F.explode(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1)).alias("i")
+    pairs = sizes.where("r > 0").select("group", "k", "r", one).select("group", "i", F.explode(F.sequence(F.greatest("i", "k"), F.col("k") + F.col("r") - 1)).alias("j"))
+    pairs = written(pairs, "block-pairs")
+    both = pairs.join(blocks.toDF("group", "i", "x"), ["group", "i"]).join(blocks.toDF("group", "j", "y"), ["group", "j"])
+    return written(both.select("x", "y").mapInArrow(_matrix_links(PERCENT), "a long, an int, b long, bn int").distinct(), "block-links")
+
+
+def _matrix_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["a", "an", "b", "bn"], [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = []
+                for members in (row["x"], row["y"]):
+                    sets = list(shingle_sets([m["text"].encode() for m in members]))
+                    sides.append((members, sets, np.array([len(v) for v in sets])))
+                (mx, sx, nx), (my, sy, ny) = sides
+                shared = np.intersect1d(np.concatenate(sx), np.concatenate(sy))
+                both = np.zeros((len(sx), len(sy)), np.float32)
+                for at in range(0, len(shared), 1 << 14):  # bounds the matrices, whatever the sets' sizes
+                    some = shared[at : at + (1 << 14)]
+                    p, q = (_incidence(sets, some) for sets in (sx, sy))
+                    both += p @ q.T
+                union = nx[:, None] + ny[None, :] - both
+                out = [(mx[i]["class"], mx[i]["n"], my[j]["class"], my[j]["n"]) for i, j in zip(*np.nonzero(100 * both >= percent * union), strict=True) if (mx[i]["class"], mx[i]["n"]) != (my[j]["class"], my[j]["n"])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(tokens)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(tokens, s)
+        at[at == len(tokens)] = 0
+        out[i, at[tokens[at] == s]] = 1
+    return out
+
+
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the rows whose text has the class's set (rows that share a doc_id may have others)."""
+    """Of rows in order of document, those whose text has the class's set, once each (rows that share a doc_id may repeat or differ)."""
+    last = None
     for batch in batches:
-        keep = [class_of(h) == c and len(h) == n for h, c, n in zip(shingle_sets(batch.column("text").cast(pa.binary()).to_pylist()), batch.column("class").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        keep = []
+        for h, c, n in zip(shingle_sets(batch.column("text").cast(pa.binary()).to_pylist()), batch.column("class").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            fits = class_of(h) == c and len(h) == n and (c, n) != last
+            keep.append(fits)
+            last = (c, n) if fits else last
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
