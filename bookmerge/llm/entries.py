@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookmerge.llm import chat_windows, decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, secrets, token_file, url_filters
+from bookmerge.llm import chat_windows, decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, secrets, sql, token_file, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filters.oracle()}
+    return dict(sql.SQL)
