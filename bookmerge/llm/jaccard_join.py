@@ -45,7 +45,7 @@ from bookmerge.llm.components import connected_components
 from bookmerge.llm.shingles import shingle_sets
 
 #: Counters of the sketch, as a power of two (16 bits each when broadcast).
-SKETCH_BITS = 22
+SKETCH_BITS = 23
 CHUNK = 1 << 16
 #: Sizes from which the boundary is chosen.
 LARGEST_LIGHT = 12
@@ -178,7 +178,7 @@ def _keys(sketch, light: int):
                     p = prefix_length(n)
                     first = np.lexsort((hashes, df))[:p]
                     salt = np.where(df[first] > HEAVY, 1 + (own & 0xFFFF) % (1 + df[first] // HEAVY), 0)
-                    for column, v in zip(out, (hashes[first].view(np.int64), salt, np.full(p, own), np.full(p, n), np.arange(p)), strict=True):
+                    for column, v in zip(out, (hashes.view(np.int64)[first], salt, np.full(p, own), np.full(p, n), np.arange(p)), strict=True):
                         column.append(v)
                 keys = subset_keys(hashes, light) if smallest_partner(n) <= light else ()
                 if keys:  # no position bound holds for subsets
@@ -193,24 +193,31 @@ def _keys(sketch, light: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, salt and class: repeated members go, and so do lists of one member (unless salted)."""
-    held, has_earlier = None, False  # the last row so far, and whether its list has a member before it
+    """Rows sorted by key, salt and class: repeated members go, and so do lists of one member (unless salted).
+
+    Every row tells its list's first member, the hub, and whether it is the third one: a list without a third
+    member is done once its members are compared with the hub.
+    """
+    held = carry = None  # the last row so far; its list's hub and its place there
     for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
         table = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
         if table is None:
             return
-        key, salt, own, n = (table.column(c).to_numpy() for c in _LIST[:4])
+        key, salt, own, n, pos = (table.column(c).to_numpy() for c in _LIST)
         new_list = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-        new_row = new_list | np.concatenate([[True], (own[1:] != own[:-1]) | (n[1:] != n[:-1])])
-        table, new_list, salt = table.filter(pa.array(new_row)), new_list[new_row], salt[new_row]
-        earlier = ~new_list
-        earlier[0] = has_earlier
-        member = earlier | np.concatenate([~new_list[1:], [False]]) | (salt > 0)
-        if batch is None:
-            yield table.filter(pa.array(member))
-            return
-        held, has_earlier = table.slice(table.num_rows - 1), bool(earlier[-1])
-        yield table.slice(0, table.num_rows - 1).filter(pa.array(member[:-1]))
+        kept = new_list | np.concatenate([[True], (own[1:] != own[:-1]) | (n[1:] != n[:-1])])
+        key, salt, own, n, pos, new_list = (v[kept] for v in (key, salt, own, n, pos, new_list))
+        start = np.maximum.accumulate(np.where(new_list, np.arange(len(key)), 0))
+        place, hub, hub_n, hub_pos = np.arange(len(key)) - start, own[start], n[start], pos[start]
+        if carry is not None:
+            first = start == 0
+            hub[first], hub_n[first], hub_pos[first] = carry[:3]
+            place[first] += carry[3]
+        member = (place > 0) | np.concatenate([~new_list[1:], [False]]) | (salt > 0)
+        member[-1] &= batch is None
+        columns = [key, own, n, pos, hub, hub_n, hub_pos, (place == 2) | (salt > 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c[member]) for c in columns], ["key", "class", "n", "pos", "hub", "hub_n", "hub_pos", "third"])
+        held, carry = table.slice(table.num_rows - 1), (hub[-1], hub_n[-1], hub_pos[-1], int(place[-1]))
 
 
 def _verify(percent: int):
@@ -271,11 +278,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     keys = texts.select("text").mapInArrow(_keys(sketch, light), "key long, salt int, class long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = keys.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "class", "n").mapInArrow(_lists, "key long, salt int, class long, n int, pos int")
-    lists = written(lists.drop("salt"), "lists")
-
-    # Whole texts of the classes that share any key, once.
-    wanted = written(lists.select("class", "n").distinct().join(classes, ["class", "n"]), "wanted")
+    lists = keys.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "class", "n").mapInArrow(_lists, "key long, class long, n int, pos int, hub long, hub_n int, hub_pos int, third boolean")
+    lists = written(lists, "lists")
+    stars = written(_pairs(lists), "stars")
+    # Lists of three members or more may hold pairs that the hub has no part in.
+    more = written(lists.where("third").select("key").distinct(), "longer-keys")
+    lists = written(lists.select("key", "class", "n", "pos").join(more, "key"), "longer-lists")
+
+    # Whole texts of the classes that are to be compared, once.
+    compared = stars.select(F.col("a").alias("class"), F.col("an").alias("n")).union(stars.select("b", "bn")).union(lists.select("class", "n")).distinct()
+    wanted = written(compared.join(classes, ["class", "n"]), "wanted")
     by_rep = texts.join(wanted.withColumnRenamed("rep", "d").hint("merge"), "d").select("class", "n", "text").mapInArrow(_own_text, "class long, n int, text string")
     bodies = written(by_rep, "bodies")
 
@@ -285,7 +297,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         nonlocal tried, links
         if tried is not None:
             pairs = pairs.join(tried, ["a", "an", "b", "bn"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs, "pairs") if pairs is not stars else pairs
         if pairs.isEmpty() and links is not None:
             return
         with_a = pairs.join(bodies.toDF("a", "an", "text_a"), ["a", "an"])
@@ -296,8 +308,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
 
     def hub(n: int):
-        at = F.struct((F.xxhash64(F.lit(n), "class", "n") if n else F.lit(0)).alias("h"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), *([F.col("label").alias("hub_label")] if n else []))
-        return F.min(at)
+        return F.min(F.struct(F.xxhash64(F.lit(n), "class", "n").alias("h"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label")))
 
     def labelled() -> DataFrame:
         """The lists whose members have different labels."""
@@ -306,8 +317,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         own = F.struct(F.col("class").alias("c"), F.col("n").alias("n"))
         return written(lists.join(written(parts, "parts"), ["class", "n"], "left").withColumn("label", F.coalesce("label", own)), "labelled")
 
-    hubs = written(lists.groupBy("key").agg(hub(0).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_pos"), "hubs")
-    compare(_pairs(lists.join(hubs, "key")))
+    compare(stars)
     lengths = lists.groupBy("key").agg(F.count("*").alias("members"))
     long_keys = written(lengths.where(F.col("members") > LONG).select("key"), "long-keys")
     if not long_keys.isEmpty():
