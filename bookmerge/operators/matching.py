@@ -52,9 +52,9 @@ def _lossless_keys(n: Column) -> Column:
 def candidate_pairs(a: DataFrame, b: DataFrame | None = None, mode: str = "lossless") -> DataFrame:  # J09
     """Pairs (id_a, id_b, a, b) of prepared books; within ``a`` if b is None.
 
-    lossless: equi-joins on the keys above, for filters over 20 points. Organisations and addresses
-    are joined together with the first two characters' classes of the name only through the similar-name test, so
-    their groups are split by segments of the name (two names within two edits share one of three segments).
+    lossless: equi-joins on the keys above, for filters over 20 points. Organisation and address keys count
+    only with a similar name, so their groups are split by parts of the name (two names within
+    two edits share one of three parts) and tested in the join.
     reference: equi-joins on ``blocking_keys``. exhaustive: every pair, for small books and tests.
     """
     within = b is None

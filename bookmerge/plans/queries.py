@@ -227,13 +227,12 @@ def _merged(spark, d, how) -> DataFrame:
     return m.select("m.contact_id", "m.given_name", "m.middle_name", "m.family_name", "m.organization", "m.job_title", "m.nickname", join("phones"), join("emails"), join("urls"), F.size("m.addresses").alias("addresses"))
 
 
-def _merge_sql(fill: str, kind: str) -> str:
-    """fill: expression over x.{c}, y.{c}; kind: set or ordered union, with the url rule."""
+def _merge_sql(kind: str) -> str:
+    """Merged mapped pairs; kind is simple, dedup or sync."""
     cols = [("given_name", "given_name"), ("middle_name", "middle_name"), ("family_name", "family_name"), ("organization_name", "organization"), ("job_title", "job_title"), ("nickname", "nickname")]
     filled = "case when x.{c} is not null and x.{c} <> '' then x.{c} else y.{c} end"
     plain = "coalesce(x.{c}, y.{c})"
     rule = {"sync": lambda c: filled, "simple": lambda c: plain, "dedup": lambda c: plain if c == "nickname" else filled}[kind]
-    del fill
     texts = ", ".join(f"{rule(c).format(c=c)} as {n}" for c, n in cols)
     if kind == "simple":
         many = ", ".join(f"array_to_string(list_sort(list_distinct([{{'value': x.{c}, 'label': '{lab}'}}, {{'value': y.{c}, 'label': '{lab}'}}])).list_transform(lambda q: q.value), ';') as {n}" for c, n, lab in (("phone", "phones", "mobile"), ("email", "emails", "work"), ("url", "urls", "home")))
@@ -245,17 +244,17 @@ def _merge_sql(fill: str, kind: str) -> str:
     return f"with {T.BOOKS} select x.id as contact_id, {texts}, {many}, {addr} from mp join l x on x.id = google_resource_name join r y on y.id = mac_contact_identifier"
 
 
-@query(_merge_sql("", "simple"))
+@query(_merge_sql("simple"))
 def merge_simple(spark, d):
     return _merged(spark, d, merge.merge_simple)
 
 
-@query(_merge_sql("", "dedup"))
+@query(_merge_sql("dedup"))
 def merge_dedup(spark, d):
     return _merged(spark, d, merge.merge_dedup)
 
 
-@query(_merge_sql("", "sync"))
+@query(_merge_sql("sync"))
 def merge_sync(spark, d):
     return _merged(spark, d, merge.merge_sync)
 
@@ -369,7 +368,7 @@ def rollback_remove(spark, d):
     return _rolled(spark, d, "remove")
 
 
-@query(f"with e as ({X.SYNC_EVENTS}) select id, action from e where ts >= (select max(ts) - interval 3 day from (select timestamp as ts from e)) order by ts desc, id desc limit 1000".replace("where ts >=", "where timestamp >=").replace("order by ts desc", "order by timestamp desc"))
+@query(f"with e as ({X.SYNC_EVENTS}) select id, action from e where timestamp >= (select max(timestamp) - interval 3 day from e) order by timestamp desc, id desc limit 1000")
 def retention_log(spark, d):
     e = X.sync_events(spark, d)
     now = e.agg(F.max("timestamp").alias("now"))
@@ -389,7 +388,7 @@ def _attempts(spark, d) -> DataFrame:
     return e.select(F.concat(F.lit("mac:"), F.col("user_id").cast("string")).alias("key"), (F.col("source") == "error").alias("failed"), "timestamp", F.col("id").alias("seq"), (F.floor(F.col("id") / 500)).cast("long").alias("run"))
 
 
-@query("with a as (select 'mac:' || user_id as key, event_type = 'error' as failed, ts, event_id from events), q as (select *, count(*) filter (not failed) over (partition by key order by ts, event_id) as island from a), z as (select key, max(island) as island from q group by 1) select z.key, count(q.key) filter (q.failed) as strikes, count(q.key) filter (q.failed) >= 3 as skip from z left join q on q.key = z.key and q.island = z.island group by 1".replace(">= 3 as skip", ">= 3 as s").replace("select z.key, count(q.key) filter (q.failed) as strikes, count(q.key) filter (q.failed) >= 3 as s", "select z.key, count(*) filter (q.failed) as strikes, cast(count(*) filter (q.failed) >= 3 as int) as skip"))
+@query("with a as (select 'mac:' || user_id as key, event_type = 'error' as failed, ts, event_id from events), q as (select *, count(*) filter (not failed) over (partition by key order by ts, event_id) as island from a), z as (select key, max(island) as island from q group by 1) select z.key, count(*) filter (q.failed) as strikes, cast(count(*) filter (q.failed) >= 3 as int) as skip from z left join q on q.key = z.key and q.island = z.island group by 1")
 def strike_ledger(spark, d):
     return logs.strike_counts(_attempts(spark, d), ["timestamp", "seq"]).select("key", "strikes", F.col("skip").cast("int").alias("skip"))
 
