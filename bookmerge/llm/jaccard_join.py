@@ -54,6 +54,8 @@ HEAVY = 4096
 #: Members from which a list is long; random hubs of a long list; members of a block.
 LONG, HUBS, BLOCK = 256, 4, 128
 PERCENT = 80
+#: Pairs (24 bytes each) up to which their table is broadcast; more are joined by shuffles.
+MAX_BROADCAST = 250_000
 
 
 def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
@@ -300,8 +302,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs") if pairs is not stars else pairs
         if pairs.isEmpty() and links is not None:
             return
-        with_a = pairs.join(bodies.toDF("a", "an", "text_a"), ["a", "an"])
-        with_both = with_a.join(bodies.toDF("b", "bn", "text_b"), ["b", "bn"])
+        text_a, text_b = bodies.toDF("a", "an", "text_a"), bodies.toDF("b", "bn", "text_b")
+        if pairs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # texts stream past the pairs; only those in a pair move
+            with_both = text_a.join(F.broadcast(pairs), ["a", "an"]).join(text_b.join(F.broadcast(pairs), ["b", "bn"]), ["a", "an", "b", "bn"])
+        else:
+            with_both = pairs.join(text_a, ["a", "an"]).join(text_b, ["b", "bn"])
         judged = written(with_both.select("a", "an", "b", "bn", "text_a", "text_b").mapInArrow(_verify(PERCENT), "a long, an int, b long, bn int, linked boolean").distinct(), "judged")
         found = judged.where("linked").drop("linked")
         tried = judged.drop("linked") if tried is None else tried.unionByName(judged.drop("linked"))
