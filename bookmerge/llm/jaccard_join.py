@@ -315,8 +315,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     def hub(n: int):
         return F.min(F.struct(F.xxhash64(F.lit(n), "class", "n").alias("h"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label")))
 
-    def labelled() -> DataFrame:
-        """The lists whose members have different labels."""
+    def labelled(lists: DataFrame) -> DataFrame:
+        """Rows of lists with their members' labels."""
         parts = connected_components(links.select(F.struct(F.col("a").alias("c"), F.col("an").alias("n")).alias("a"), F.struct(F.col("b").alias("c"), F.col("bn").alias("n")).alias("b")))
         parts = parts.select(F.col("node.c").alias("class"), F.col("node.n").alias("n"), F.col("component").alias("label"))
         own = F.struct(F.col("class").alias("c"), F.col("n").alias("n"))
@@ -326,13 +326,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     lengths = lists.groupBy("key").agg(F.count("*").alias("members"))
     long_keys = written(lengths.where(F.col("members") > LONG).select("key"), "long-keys")
     if not long_keys.isEmpty():
-        rows = written(labelled().join(long_keys, "key"), "long-lists")
+        rows = labelled(written(lists.join(long_keys, "key"), "long-lists"))
         some = rows.groupBy("key").agg(*(hub(1 + k).alias(f"h{k}") for k in range(HUBS)))
         hubs = some.select("key", F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_pos", "h.hub_label").distinct()
         compare(_pairs(rows.join(written(hubs, "hubs"), "key").where("label <> hub_label")))
 
     # Every pair with different labels: members outside the list's commonest label against all of it.
-    rows = labelled()
+    rows = labelled(lists)
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
     common = by_label.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("commonest"))
     rows = written(rows.join(written(common, "commonest"), "key").join(long_keys.withColumn("long", F.lit(True)), "key", "left"), "mixed-lists")
