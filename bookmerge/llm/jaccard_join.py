@@ -194,8 +194,19 @@ def _keys(sketch, light: int):
     return run
 
 
+def _has_partner(number: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether another member of a row's list (by number) has a size that the row's bounds in ``_possible`` allow."""
+    least, most = -(-percent * n // 100), 100 * n // percent
+    # Both need ceil(percent * (n + m) / (100 + percent)) elements from the key on.
+    most = np.where(pos < 0, most, np.clip((100 + percent) * (n - pos) // percent - n, 0, most))
+    width = 2 * int(n.max()) + 2
+    at = np.sort(number * width + n)
+    found = np.searchsorted(at, number * width + most, "right") - np.searchsorted(at, number * width + least, "left")
+    return found - (most >= n) > 0
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, salt and class: repeated members go, and so do lists of one member (unless salted).
+    """Rows sorted by key, salt and class: repeated members go, then those that can link with no other member, and lists of one member (unless salted).
 
     Every row tells its list's first member, the hub, and whether it is the third one: a list without a third
     member is done once its members are compared with the hub.
@@ -205,10 +216,18 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
         if table is None:
             return
-        key, salt, own, n, pos = (table.column(c).to_numpy() for c in _LIST)
+        key, salt, own, n, pos = (table.column(c).to_numpy().astype(np.int64, copy=False) for c in _LIST)
         new_list = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
         kept = new_list | np.concatenate([[True], (own[1:] != own[:-1]) | (n[1:] != n[:-1])])
-        key, salt, own, n, pos, new_list = (v[kept] for v in (key, salt, own, n, pos, new_list))
+        number = np.cumsum(new_list)
+        key, salt, own, n, pos, number = (v[kept] for v in (key, salt, own, n, pos, number))
+        # The first list may go on from the batch before, the last one into the next; cut lists are not whole either.
+        whole = ((number > 1) | (carry is None)) & ((number < number[-1]) | (batch is None)) & (salt == 0)
+        fits = ~whole | _has_partner(number, n, pos)
+        key, salt, own, n, pos, number = (v[fits] for v in (key, salt, own, n, pos, number))
+        if not len(key):  # of the last batch alone: before it, the last row stays
+            return
+        new_list = np.concatenate([[True], number[1:] != number[:-1]])
         start = np.maximum.accumulate(np.where(new_list, np.arange(len(key)), 0))
         place, hub, hub_n, hub_pos = np.arange(len(key)) - start, own[start], n[start], pos[start]
         if carry is not None:
@@ -218,7 +237,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = (place > 0) | np.concatenate([~new_list[1:], [False]]) | (salt > 0)
         member[-1] &= batch is None
         columns = [key, own, n, pos, hub, hub_n, hub_pos, (place == 2) | (salt > 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(c[member]) for c in columns], ["key", "class", "n", "pos", "hub", "hub_n", "hub_pos", "third"])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c[member], t) for c, t in zip(columns, types, strict=True)], ["key", "class", "n", "pos", "hub", "hub_n", "hub_pos", "third"])
         held, carry = table.slice(table.num_rows - 1), (hub[-1], hub_n[-1], hub_pos[-1], int(place[-1]))
 
 

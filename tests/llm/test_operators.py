@@ -331,6 +331,41 @@ def test_op10(spark, world):
     same(run(spark, world, "op10_jaccard_join"), want, list(want[0]))
 
 
+def test_op10_lists_keep_every_possible_pair():
+    """Rows of _lists, cut into batches anywhere, hold each pair of a list that the bounds let link, and few others."""
+    import numpy as np
+    import pyarrow as pa
+
+    from bookmerge.llm import jaccard_join as J
+
+    def possible(n, p, m, q):
+        fits = 100 * n >= 80 * m and 100 * m >= 80 * n
+        return fits and (p < 0 or q < 0 or min(n - p, m - q) >= J.least_overlap(n, m))
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        rows = []
+        for key in range(int(rng.integers(1, 12))):
+            for _ in range(int(rng.integers(1, 6))):
+                n = int(rng.integers(1, 60))
+                pos = -1 if key % 5 == 4 else int(rng.integers(0, J.prefix_length(n)))
+                rows.append((key, int(key % 4 == 3), int(rng.integers(0, 50)), n, pos))
+        rows = sorted({r[:4]: r for r in rows}.values())
+        cuts = [0, *sorted(int(c) for c in rng.integers(0, len(rows) + 1, 3)), len(rows)]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:b]], t) for i, t in enumerate(types)], J._LIST) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = [r for b in J._lists(iter(batches)) for r in b.to_pylist()]
+        third = {r["key"] for r in out if r["third"]}
+        left = {(r["key"], r["class"], r["n"]) for r in out}
+        stars = {(r["key"], frozenset([(r["class"], r["n"]), (r["hub"], r["hub_n"])])) for r in out}
+        for key, salt, c, n, p in rows:
+            for k, _, d, m, q in rows:
+                if k == key and (c, n) != (d, m) and possible(n, p, m, q):
+                    both = (key, c, n) in left and (key, d, m) in left
+                    assert both and (key in third or (key, frozenset([(c, n), (d, m)])) in stars)
+        assert len(out) == len(left)
+
+
 def test_op10_near_copies_in_blocks(spark, monkeypatch):
     from bookmerge.llm import jaccard_join as J
 
