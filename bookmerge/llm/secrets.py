@@ -4,8 +4,11 @@ Offsets come from the pieces between matches (``split``) and the matches themsel
 (``regexp_extract_all``) of one pattern. A candidate is a maximal run of 20 or more key characters. Its character class fixes
 window and threshold; a window slides over it with counts of its characters, and each step
 changes two counts and the sum of c * log2(c), so entropy costs a step, not a window. A
-candidate that an allow rule knows (UUIDs, labelled checksums, paths and slugs, placeholders) is suppressed, and so is
-one inside a span of a base kind. One narrow projection: no shuffle, no Python.
+candidate that an allow rule knows (UUIDs, labelled checksums) is suppressed, and so is one inside a span of a base
+kind. Segments are what separators (/ = _ -) leave of a run. A path or slug (separators, and one letter case or no digit)
+is not judged as a whole: each segment of 20 or more is a candidate of its own, by its own class. In other
+runs, segments that hold a placeholder word fall out and what lies between them is judged. One narrow projection: no
+shuffle, no Python.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned each; spans of one start are
 in the order assign, access, hex, entropy; offsets are code points, end exclusive.
@@ -30,10 +33,17 @@ CLASSES = [("^[0-9A-Fa-f]+$", 32, 3.0), ("^[A-Za-z0-9]+$", 20, 3.5), ("^.+$", 24
 #: Candidates that are no secrets.
 ALLOW = [
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
-    "(?i)(example|sample|placeholder|x{6}|abcdefgh|01234567)",
     "(?i)^(sha1|sha256|sha384|sha512|md5)[-=_]",  # a labelled checksum
-    "^[a-z0-9/_=-]+$|^[A-Z0-9/_=-]+$",  # a path or slug of one letter case, unless it is hexadecimal
 ]
+#: Words of placeholders: they allow the segment that holds one, not the run.
+WORDS = "(?i:example|sample|placeholder|x{6}|abcdefgh|01234567)"
+PLACEHOLDER = f"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?{WORDS}[A-Za-z0-9+]*"
+SEPARATORS = "/=_-"
+#: A path or slug: of one letter case or without digits, with separators.
+SLUG = "^(?=[^/=_-]*[/=_-])(?:[a-z0-9/_=-]+|[A-Z0-9/_=-]+|[A-Za-z+/_=-]+)$"
+LEAST = 20
+
+_FOUND = "array<struct<start:int,end:int,kind:int,match:string>>"
 
 
 def _located(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0) -> Column:
@@ -41,7 +51,7 @@ def _located(text: Column, pattern: str, kind: int, group: int | None = None, le
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m"), groups.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,match:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         a = s["at"] + F.length(x["gap"])
@@ -83,22 +93,43 @@ def _hot(match: Column) -> Column:
     return cases
 
 
-def _candidate(match: Column) -> Column:
-    """Has a digit and a letter, and no allow rule knows it."""
-    hexadecimal = match.rlike(CLASSES[0][0])
-    allowed = match.rlike("|".join(f"(?:{a})" for a in ALLOW[:3])) | (match.rlike(ALLOW[3]) & ~hexadecimal)
-    return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & ~allowed
+def _pieces(run: Column, cut: str) -> Column:
+    """What lies between the matches of ``cut`` in a run, without outer separators."""
+    match = run["match"]
+    zipped = F.arrays_zip(F.split(match, cut, -1).alias("gap"), F.regexp_extract_all(match, F.lit(cut), F.lit(0)).alias("m"))
+    start = F.struct(run["start"].alias("at"), F.array().cast(_FOUND).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        after = s["at"] + F.length(x["gap"])
+        a = after - F.length(F.ltrim(x["gap"], F.lit(SEPARATORS)))
+        core = F.trim(x["gap"], F.lit(SEPARATORS))
+        one = F.struct(a.alias("start"), (a + F.length(core)).alias("end"), run["kind"].alias("kind"), core.alias("match"))
+        out = F.when(F.length(core) >= LEAST, F.array_append(s["out"], one)).otherwise(s["out"])
+        return F.struct((after + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), out.alias("out"))
+
+    return F.aggregate(zipped, start, step, lambda s: s["out"])
+
+
+def _allowed(match: Column) -> Column:
+    return match.rlike("|".join(f"(?:{a})" for a in ALLOW))
+
+
+def _candidates(runs: Column) -> Column:
+    """Runs, or the pieces of them that are judged apart; one without a letter is a number or a ruler."""
+    known = F.filter(runs, lambda r: r["match"].rlike("[A-Za-z]") & ~_allowed(r["match"]))
+    whole = lambda r: F.when(r["match"].rlike(SLUG), _pieces(r, f"[{SEPARATORS}]+")).when(r["match"].rlike(WORDS), _pieces(r, PLACEHOLDER)).otherwise(F.array(r))
+    return F.filter(F.flatten(F.transform(known, whole)), lambda r: r["match"].rlike("[A-Za-z]") & ~r["match"].rlike(WORDS) & ~_allowed(r["match"]))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus base_spans and all_spans: array<struct<start,end,kind>>, ordered; kind counts along KINDS."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,match:string>>")
+    none = F.array().cast(_FOUND)
     plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     t = F.col(text)
     some = lambda pattern, value: F.when(t.rlike(pattern), value).otherwise(none)
     df = docs.select("*", some(ASSIGN, _located(t, ASSIGN, 0, 2, 8)).alias("__assign"), some(ACCESS, _located(t, ACCESS, 1)).alias("__access"), some(HEX, _located(t, HEX, 2)).alias("__hex"), some(RUN, _located(t, RUN, 3)).alias("__runs"))
     df = df.withColumn("base_spans", F.array_sort(plain(F.concat("__assign", "__access", "__hex"))))
-    open_runs = F.filter("__runs", lambda r: _candidate(r["match"]) & ~F.exists("base_spans", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
+    open_runs = F.filter(_candidates(F.col("__runs")), lambda r: ~F.exists("base_spans", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
     df = df.withColumn("__open", open_runs)
     hot = F.transform("__open", lambda r: F.struct(r["start"].alias("start"), _hot(r["match"]).alias("w")))
     df = df.withColumn("__entropy", F.when(F.size("__open") > 0, hot))

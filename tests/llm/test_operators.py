@@ -206,6 +206,61 @@ def test_op5_entropy(spark):
     assert [tuple(r["w"]) for r in got] == [brute(r["t"], 20, 3.5) for r in got]
 
 
+def test_op5_all_spans(spark):
+    """Entropy spans against a plain scan, with keys of one letter case, of letters alone and beside placeholder words."""
+    from bookmerge.llm.secrets import scan
+
+    rnd = random.Random(4)
+    lower, upper, letters = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    keys = ["jbswy3dpehpk3pxp7q2mzx4kt9w0", "MFRGGZDFMZTWQ2LKNNWG23TPOBYXE43U", "qWxZrTbNmKpLsDfGhJvCyUiO", "Zx9Qw3Er7Ty1Ui5Op2As4Df6Gh8Jk0L"]
+    keys += [made(a, n) for a in (lower, upper, letters, letters + "0123456789+/") for n in (20, 27, 40)]
+    plain = ["550e8400-e29b-41d4-a716-446655440000", "sha256-" + made(letters + "0123456789+/", 43), "usr/share/doc/python3/examples-of-2024", "a-short-history-of-nearly-everything", "List_of_Presidents_of_the_United_States", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaab1", "20240115-12345678901234567890", "----------------------", "Example" + keys[0], keys[3] + "xxxxxx"]
+    texts = [f"é {k} end" for k in [*keys, *plain]]
+    texts += [f"{a}{s}{k}{s}{b}" for k in keys[:6] for s in "/=_-" for a, b in (("example", "ab"), ("v1", "SAMPLE"), ("key", "x"), ("example" + s + "sample", "Y"))]
+
+    words = re.compile("example|sample|placeholder|x{6}|abcdefgh|01234567", re.I)
+    allow = re.compile("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|(sha1|sha256|sha384|sha512|md5)[-=_]", re.I)
+
+    def hot(t):
+        window, least = (32, 3.0) if re.fullmatch("[0-9A-Fa-f]+", t) else (20, 3.5) if re.fullmatch("[A-Za-z0-9]+", t) else (24, 3.7)
+        n = min(window, len(t))
+        at = [i for i in range(len(t) - n + 1) if -sum(c / n * np.log2(c / n) for c in Counter(t[i : i + n]).values()) >= least - 1e-9]
+        return [(at[0], at[-1] + n)] if at else []
+
+    def brute(text):
+        spans = []
+        for run in re.finditer("[A-Za-z0-9+/=_-]{20,}", text):
+            t = run[0]
+            if allow.match(t):
+                continue
+            segments = [(m.start(), m.end()) for m in re.finditer("[^/=_-]+", t)]
+            slug = (segments != [(0, len(t))]) and (t in (t.lower(), t.upper()) and "+" not in t or not re.search("[0-9]", t))
+            groups, new = [], True
+            for a, b in segments:
+                if words.search(t[a:b]):
+                    new = True
+                elif new or slug:
+                    groups.append([a, b])
+                    new = False
+                else:
+                    groups[-1][1] = b
+            if segments and not slug and not words.search(t):
+                groups = [[0, len(t)]]
+            for a, b in groups:
+                if b - a >= 20 and re.search("[A-Za-z]", t[a:b]) and not allow.match(t[a:b]):
+                    spans += [(run.start() + a + x, 3, run.start() + a + y) for x, y in hot(t[a:b])]
+        return spans
+
+    got = {r["text"]: r for r in scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    for t in texts:
+        base = [tuple(x) for x in got[t]["base_spans"]]
+        assert [tuple(x) for x in got[t]["all_spans"] if x["kind"] == 3] == [s for s in brute(t) if not any(a <= s[0] and s[2] <= b for a, _, b in base)], t
+    for k in keys[:4]:
+        assert brute(k) and brute(f"example/{k}") and brute(f"{k}=sample")
+    assert not any(brute(t) for t in plain)
+
+
 def test_op6(spark, world):
     got = run(spark, world, "op6_quality_model")
     assert len(got) == len(world[1]["documents"]) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
