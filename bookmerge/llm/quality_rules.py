@@ -6,7 +6,8 @@ once) are counted for each (host, line hash), summed before and after a shuffle
 half of a host repeats loads no single task. Lines in more documents than the host's limit are
 boilerplate; a document that loses more than ``max_removed`` of its words to them is depleted and is rejected.
 Frequent lines are at most lines / ``min_docs``; they are written, and Spark broadcasts them or not by
-the size of that table.
+the size of that table. Each row also gets the positions of its boilerplate lines, and ``clean`` gives the kept rows
+with texts that lack these lines.
 
 Edge cases: a null or empty text has no words, so it fails the base rules; a null source is a host of
 its own; repeated rows are judged one by one; empty lines are no lines here.
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import pick, read, small_batches, written
+from bookmerge.llm._shared import id_or_least, pick, read, small_batches, written
 
 MIN_WORDS = 50
 #: A line is boilerplate in more documents of its host than each of these.
@@ -47,20 +48,22 @@ def repeat_words(words: list[bytes]) -> int:
     return covered
 
 
-def figures(raw: bytes | None) -> tuple[list[int], dict[int, int]]:
-    """The base figures, and words by hash of the normalised line."""
+def figures(raw: bytes | None) -> tuple[list[int], dict[int, list]]:
+    """The base figures, and by hash of the normalised line its words and its positions in the text."""
     raw = raw or b""
     words = raw.split()
-    lines: dict[int, int] = {}
+    lines: dict[int, list] = {}
     seen, dup = set(), 0
-    for line in raw.split(b"\n"):
+    for at, line in enumerate(raw.split(b"\n")):
         in_line = line.split()
         if not in_line:
             continue
         dup += line in seen
         seen.add(line)
         key = xxhash.xxh3_64_intdigest(b" ".join(in_line).lower()) - (1 << 63)
-        lines[key] = lines.get(key, 0) + len(in_line)
+        found = lines.setdefault(key, [0, []])
+        found[0] += len(in_line)
+        found[1].append(at)
     solid = raw.translate(None, b" \t\n\r\x0b\x0c")
     return [len(words), len(solid.decode("utf-8", "replace")), len(raw) - len(raw.translate(None, b"#*$%&|<>")), dup, repeat_words(words)], lines
 
@@ -69,15 +72,20 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = [figures(raw) for raw in batch.column("text").cast(pa.binary()).to_pylist()]
         base = [pa.array([f[i] for f, _ in done], pa.int64()) for i in range(5)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("digest"), *base, pa.array([list(x) for _, x in done], pa.list_(pa.int64())), pa.array([list(x.values()) for _, x in done], pa.list_(pa.int64()))], ["doc_id", "host", "digest", *_BASE, "line_keys", "line_words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("digest"), *base, pa.array([list(x) for _, x in done], pa.list_(pa.int64())), pa.array([[n for n, _ in x.values()] for _, x in done], pa.list_(pa.int64())), pa.array([[at for _, at in x.values()] for _, x in done], pa.list_(pa.list_(pa.int32())))], ["doc_id", "host", "digest", *_BASE, "line_keys", "line_words", "line_at"])
+
+
+def _copy(host: str, text: str) -> list[Column]:
+    """Rows that agree in these are copies on one host and get one verdict."""
+    return [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest")]
 
 
 def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """doc_id, the base figures, base_failed, n_boilerplate_words and kept for each row of docs (doc_id, text, host)."""
+    """doc_id, the base figures, base_failed, kept, n_boilerplate_words, host, digest and boilerplate (line positions) for each row of docs (doc_id, text, host)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64("text").alias("digest"), "text")
-    schema = "doc_id long, host string, digest long, " + ", ".join(f"{c} long" for c in _BASE) + ", line_keys array<long>, line_words array<long>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_copy(host, "text"), "text")
+    schema = "doc_id long, host string, digest long, " + ", ".join(f"{c} long" for c in _BASE) + ", line_keys array<long>, line_words array<long>, line_at array<array<int>>"
     parsed = written(rows.mapInArrow(_parse, schema).withColumn("row", F.monotonically_increasing_id()), "line-figures")
 
     sizes = parsed.groupBy("host").agg(F.count_distinct("digest").alias("host_docs"))
@@ -85,12 +93,36 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, min
     frequent = counts.where(F.col("n") > min_docs).join(sizes, "host").where(F.col("n") > max_share * F.col("host_docs")).select("host", "line")
     frequent = written(frequent, "frequent-lines")
 
-    lines = parsed.select("host", "row", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select("host", "row", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
-    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_boilerplate_words"))
-    judged = parsed.select("row", "doc_id", *_BASE).join(removed, "row", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)))
+    lines = parsed.select("host", "row", F.explode(F.arrays_zip("line_keys", "line_words", "line_at")).alias("x")).select("host", "row", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"), F.col("x.line_at").alias("at"))
+    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_boilerplate_words"), F.array_sort(F.flatten(F.collect_list("at"))).alias("boilerplate"))
+    judged = parsed.select("row", "doc_id", "host", "digest", *_BASE).join(removed, "row", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return judged.select("doc_id", *_BASE, failed.alias("base_failed"), (~failed & (F.col("n_boilerplate_words") <= max_removed * F.col("n_words"))).alias("kept"), "n_boilerplate_words")
+    return judged.select("doc_id", *_BASE, failed.alias("base_failed"), (~failed & (F.col("n_boilerplate_words") <= max_removed * F.col("n_words"))).alias("kept"), "n_boilerplate_words", "host", "digest", F.coalesce("boilerplate", F.array().cast("array<int>")).alias("boilerplate"))
+
+
+def clean(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
+    """The kept rows of docs, their texts without boilerplate lines; n_chars follows the text where it is a column."""
+    names = docs.columns
+    plain = [f"_c{i}" for i in range(len(names))]
+    d, t, h = (plain[names.index(n)] for n in ("doc_id", "text", host))
+    verdicts = judge(pick(docs, *dict.fromkeys(["doc_id", "text", host])), host, **limits).where("kept")
+    verdicts = verdicts.groupBy(id_or_least().alias("__d"), F.col("host").alias("__host"), F.col("digest").alias("__digest")).agg(F.first("boilerplate").alias("__gone"))
+    rows = docs.toDF(*plain)
+    keyed = rows.select("*", id_or_least(d).alias("__d"), *(c.alias(f"__{n}") for c, n in zip(_copy(h, t), ("host", "digest"), strict=True)))
+    joined = keyed.join(verdicts, ["__d", "__host", "__digest"]).select(*plain, "__gone")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for raw, gone in zip(batch.column(t).cast(pa.binary()).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+                left = set(gone)
+                done.append(b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in left) if left else raw)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary()).cast(pa.string()) if c == t else batch.column(c) for c in plain], plain)
+
+    out = joined.mapInArrow(apply, rows.schema).toDF(*names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(pick(read(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    judged = judge(pick(read(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    return judged.select("doc_id", *_BASE, "base_failed", "kept", "n_boilerplate_words")

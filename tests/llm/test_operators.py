@@ -128,6 +128,24 @@ def test_op2_boilerplate(spark):
     assert got[1]["n_boilerplate_words"] == 200
 
 
+def test_op2_removes_boilerplate_lines(spark):
+    from bookmerge.llm.quality_rules import clean
+
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    menu = "Home  About us\tContact"
+    rows = [(i, f"{menu}\n{own(i)}\n\n  home about US contact\nlast {i}" if i < 8 else own(i), "h" if i % 4 else None, -1) for i in range(20)]
+    rows += [(1, rows[1][1], "h", -1), (None, rows[2][1], "h", -1), (50, "too short", "h", -1), (51, None, "h", -1)]
+    want = []
+    for i, text, host, _ in rows:
+        if i not in (50, 51):
+            lines = [x for x in text.split("\n") if host is None or " ".join(x.lower().split()) != "home about us contact"]
+            want.append((i, "\n".join(lines), host, len("\n".join(lines))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = clean(docs, min_docs=3, max_share=0.0)
+    assert got.schema == docs.schema
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_op3(spark, world):
     got = {r["page_id"]: r for r in run(spark, world, "op3_url_filters")}
     assert [got[i]["verdict"] for i in range(11)] == ["block", "allow", "block", "block", "block", "allow", "allow", "allow", "allow", "block", "allow"]
