@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bookmerge.operators.logs import latest_per_key, upsert
 
-_STATE = "count int, last timestamp, ignored boolean"
-
 
 def burst_counts(events: DataFrame, gap: str = "2 seconds", watermark: str = "10 seconds", key: str = "key") -> DataFrame:  # R01
     """Flushes a burst's count once no event came for ``gap``; later ones than the watermark are dropped."""
@@ -20,34 +16,33 @@ def burst_counts(events: DataFrame, gap: str = "2 seconds", watermark: str = "10
     return s.select(key, F.col("w.start").alias("start"), F.col("last").alias("end"), "n")
 
 
-class Strikes(StatefulProcessor):
-    """Three strikes by key: failures count, success and clear end the row, ignore flags it, retry resets it."""
+def open_strikes(parts: DataFrame) -> DataFrame:
+    """What of the parts (key, kind, at, n) later ones can still change: each key's last reset, and its failures and ignores after that."""
+    resets = parts.where("kind = 'reset'").groupBy("key").agg(F.max("at").alias("at"))
+    last = resets.select(F.col("key").alias("reset_key"), F.col("at").alias("reset"))
+    marks = parts.where("kind <> 'reset'").groupBy("key", "kind", "at").agg(F.sum("n").alias("n"))
+    after = marks.join(last, F.col("key").eqNullSafe(F.col("reset_key")), "left").where(F.col("reset").isNull() | (F.col("at") > F.col("reset")))
+    return after.select("key", "kind", "at", "n").unionByName(resets.select("key", F.lit("reset").alias("kind"), "at", F.lit(0).cast("long").alias("n")))
+
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("strikes", _STATE)
+def strike_batches(save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:  # R02
+    """A foreachBatch function over events (key, timestamp, seq, kind): saves the open strikes of the micro-batch.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values=None) -> Iterator[pd.DataFrame]:
-        count, last, ignored = self.state.get() if self.state.exists() else (0, None, False)
-        for row in pd.concat(list(rows)).sort_values(["timestamp", "seq"]).itertuples():
-            if row.kind == "failure":
-                count, last = count + 1, row.timestamp
-            elif row.kind == "ignore":
-                ignored = True
-            else:
-                count, last, ignored = 0, None, False
-        self.state.update((int(count), last, bool(ignored)))
-        yield pd.DataFrame({"key": [key[0]], "strikes": [int(count)], "skip": [bool(count >= 3 or ignored)]})
+    Failures count, success, clear and retry reset the row, ignore flags it. Aggregates and a join, so no task holds a key's rows;
+    order is that of (timestamp, seq), whichever micro-batch brings an event.
+    """
 
-    def close(self) -> None:
-        pass
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kind = F.when(F.col("kind").isin("failure", "ignore"), F.col("kind")).otherwise("reset")
+        save(open_strikes(batch.select("key", kind.alias("kind"), F.struct("timestamp", "seq").alias("at"), F.lit(1).cast("long").alias("n"))), batch_id)
 
+    return run
 
-def strike_stream(events: DataFrame) -> DataFrame:  # R02
-    """(key, strikes, skip) of the keys that each micro-batch touches; events (key, timestamp, seq, kind).
 
-    Rows of a key within a micro-batch are ordered by time and sequence in the handler.
-    """
-    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=Strikes(), outputStructType="key string, strikes int, skip boolean", outputMode="Update", timeMode="None")
+def strike_totals(parts: DataFrame) -> DataFrame:
+    """(key, strikes, skip) of all saved parts."""
+    by_key = open_strikes(parts).groupBy("key").agg(F.sum(F.when(F.col("kind") == "failure", F.col("n")).otherwise(0)).cast("int").alias("strikes"), F.bool_or(F.col("kind") == "ignore").alias("ignored"))
+    return by_key.select("key", "strikes", ((F.col("strikes") >= 3) | F.col("ignored")).alias("skip"))
 
 
 def upsert_batches(load: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], key: str, seq: str) -> Callable[[DataFrame, int], None]:  # R03

@@ -16,32 +16,34 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Most files of a micro-batch, where results do not depend on the batch that brings an event.
+FILES = 64
+
+
+def _events(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
+    bound = {"maxFilesPerTrigger": str(files)} if files else {}
+    return spark.readStream.schema(schema).options(**bound).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
 
 
-def _finish(df: DataFrame, spark: SparkSession, mode: str, schema: str) -> DataFrame:
-    folder = _folder(spark)
-    write = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if mode == "append":
-        write.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-    else:
-        write.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
-        schema += ", batch int"
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+def _start(df: DataFrame, folder: str):
+    return df.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
 
 
 def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts by user that the watermark has closed."""
     e = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("timestamp"))
-    out = _finish(jobs.burst_counts(e, "1 hour", "1 hour"), spark, "append", "key long, start timestamp, end timestamp, n long")
+    folder = _folder(spark)
+    _start(jobs.burst_counts(e, "1 hour", "1 hour"), folder).outputMode("append").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    out = spark.read.schema("key long, start timestamp, end timestamp, n long").parquet(f"{folder}/out")
     return out.select("key", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "n")
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of each key."""
-    e = _events(spark, sf_dir).select(F.concat(F.lit("mac:"), F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("kind"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = _finish(jobs.strike_stream(e), spark, "update", "key string, strikes int, skip boolean")
-    return out.groupBy("key").agg(F.max_by(F.struct("strikes", "skip"), "batch").alias("s")).select("key", "s.strikes", F.col("s.skip").cast("int").alias("skip"))
+    """The last state of each key; a micro-batch writes its parts to a folder of its own, so a repeated one counts once."""
+    e = _events(spark, sf_dir, FILES).select(F.concat(F.lit("mac:"), F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").cast("long").alias("seq"), F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("kind"))
+    folder = _folder(spark)
+    save = lambda parts, n: parts.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    _start(e, folder).foreachBatch(jobs.strike_batches(save)).start().awaitTermination()
+    parts = spark.read.schema("key string, kind string, at struct<timestamp:timestamp,seq:long>, n long").parquet(f"{folder}/out")
+    return jobs.strike_totals(parts).select("key", "strikes", F.col("skip").cast("int").alias("skip"))
