@@ -198,8 +198,11 @@ def windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET
     # Turns that the next stretch's first window may repeat, and the system turn for every later stretch of a long conversation.
     halo = rows.where((F.col("before") >= (own + 1) * stretch - history) & ~F.col("system")).withColumn("stretch", own + 1)
     later = rows.where("stretch > 0").select("conv_id", "stretch").distinct()
-    halo = halo.join(later, ["conv_id", "stretch"], "left_semi")
-    system = rows.where("system").drop("stretch").join(later, "conv_id")
+    # A null conv_id is a conversation of its own, so it equals itself here.
+    ends = later.select(F.col("conv_id").alias("later_id"), F.col("stretch").alias("later_stretch"))
+    one = F.col("conv_id").eqNullSafe(F.col("later_id"))
+    halo = halo.join(ends, one & (F.col("stretch") == F.col("later_stretch")), "left_semi")
+    system = rows.where("system").drop("stretch").join(ends, one).drop("later_id").withColumnRenamed("later_stretch", "stretch")
     every = rows.withColumn("halo", F.lit(False)).unionByName(halo.withColumn("halo", F.lit(True))).unionByName(system.withColumn("halo", F.lit(True)))
     dealt = every.repartition(parts, "conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", F.desc("system"), "before", "turn", "role", "text")
     return dealt.mapInArrow(_windows(budget, history), "conv_id long, window long, text string, n_repeated int, loss_spans array<struct<start:bigint,end:bigint>>, tokens long, over_budget boolean")

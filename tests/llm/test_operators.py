@@ -189,6 +189,17 @@ def test_op4_budget(spark, world):
     assert all(turns_of(r["text"])[0][0] == "system" for r in rows) and any(r["n_repeated"] > 1 for r in rows)
 
 
+def test_op4_long_null_conversation(spark):
+    """It gets the windows of a conversation with an id: the system turn and repeated history in each."""
+    from bookmerge.llm.chat_windows import windows
+
+    turns = [("system", "be nice"), *[("user", "hi there"), ("assistant", "ok then")] * 40]
+    rows = [(c, t, r, f"{x} {t}") for c in (1, None) for t, (r, x) in enumerate(turns)]
+    got = windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=90, history=30, stretch=200).collect()
+    of = lambda c: sorted(tuple(r)[1:] for r in got if r["conv_id"] == c)
+    assert len({r["window"] >> 24 for r in got}) > 3 and of(None) == of(1)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 
 
