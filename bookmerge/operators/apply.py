@@ -128,11 +128,25 @@ def mapping_stamps(outcomes: DataFrame, mapping: DataFrame, now: Column, directi
     return flagged.join(before, "google_resource_name", "left").select("google_resource_name", "mac_contact_identifier", F.when(F.coalesce("w1", "w2", F.lit(False)), F.coalesce("previous", F.expr(_DISTANT))).otherwise(now).alias("last_synced_at"))
 
 
-def chunk(df: DataFrame, size: int, by: str = "kind", order: str = "id", shards: int = 1) -> DataFrame:  # W09
-    """Chunk numbers of ``size`` rows within a kind; with shards, numbering runs in each shard apart."""
-    shard = F.pmod(F.xxhash64(order), F.lit(shards)).cast("int")
-    w = W.partitionBy(by, "shard").orderBy(order)
-    return df.withColumn("shard", shard).withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def chunk(df: DataFrame, size: int | dict[str, int], by: str = "kind", order: str = "id", shards: int = 1) -> DataFrame:  # W09
+    """Chunk numbers of ``size`` rows within a kind (a number, or one for each kind); with shards, numbering runs in each shard apart.
+
+    Rows are dealt by ranges of (kind, shard, order) and numbered inside a range; row counts of the ranges, one a
+    kind, shard and range, are the offsets. A range bounds what a task sorts, whatever a kind's size.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sharded = df.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(shards)).cast("int"))
+    # Written, so that counts and numbers see the same ranges; rows that share kind and order are spread by their hash.
+    dealt = durable(sharded.repartitionByRange(parts, by, "shard", order, F.xxhash64(*df.columns)).withColumn("__part", F.spark_partition_id()))
+    ranges = dealt.groupBy(by, "shard", "__part").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(by, "shard").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.select(F.col(by).alias("__by"), F.col("shard").alias("__shard"), F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("shard") == F.col("__shard")) & (F.col("__part") == F.col("__of"))
+    number = F.row_number().over(W.partitionBy(by, "shard", "__part").orderBy(order)) - 1
+    sizes = F.lit(size) if isinstance(size, int) else F.create_map(*(F.lit(x) for kv in size.items() for x in kv))[F.col(by)]
+    at = dealt.withColumn("__at", number).join(F.broadcast(offsets), same)
+    return at.withColumn("chunk", F.floor((F.col("__at") + F.col("__before")) / sizes).cast("int")).select(*df.columns, "shard", "chunk")
 
 
 #: Most rows of a call by kind.
@@ -144,8 +158,7 @@ def plan_batches(changes: DataFrame, etags: DataFrame, shards: int = 1) -> DataF
     df = with_etags(changes, etags).withColumn("loose", (F.col("kind") == "update") & F.col("etag").isNull())
     counts = df.where("not loose").groupBy("kind").agg(F.count("*").alias("n"))
     df = df.join(counts, "kind", "left").withColumn("single", F.col("loose") | (F.coalesce("n", F.lit(0)) < 2))
-    sized = [chunk(df.where((F.col("kind") == k) & ~F.col("single")), size, "kind", "id", shards) for k, size in BATCH.items()]
-    out = sized[0].unionByName(sized[1]).unionByName(sized[2])
+    out = chunk(df.where(F.col("kind").isin(*BATCH) & ~F.col("single")), BATCH, "kind", "id", shards)
     alone = df.where("single").withColumn("shard", F.lit(None).cast("int")).withColumn("chunk", F.lit(None).cast("int"))
     return out.unionByName(alone).select("kind", "id", "etag", "single", "shard", "chunk")
 

@@ -155,3 +155,18 @@ def test_batches(spark):
     etags = spark.range(440).selectExpr("lpad(cast(id as string), 4, '0') as id", "'e' as etag")
     got = {(r["kind"], r["chunk"], r["single"]): r["count"] for r in A.plan_batches(changes, etags).groupBy("kind", "chunk", "single").count().collect()}
     assert got == {("update", 0, False): 200, ("update", 1, False): 200, ("update", 2, False): 40, ("update", None, True): 10, ("create", None, True): 1}
+
+
+def test_chunks_spread_over_tasks(spark):
+    """Numbers run on through the ranges, and no task numbers a whole kind."""
+    df = spark.range(3000).selectExpr("case when id < 2000 then 'create' when id < 2900 then 'update' else 'delete' end as kind", "lpad(cast(id * 7 % 3000 as string), 4, '0') as id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tasks of a small table as of a large one
+    try:
+        got = A.chunk(df, A.BATCH, shards=2).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 3000 and len({r["part"] for r in got if r["kind"] == "create"}) > 1
+    for kind, size in A.BATCH.items():
+        for shard in (0, 1):
+            own = sorted((r["id"], r["chunk"]) for r in got if (r["kind"], r["shard"]) == (kind, shard))
+            assert [c for _, c in own] == [n // size for n in range(len(own))]
