@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookmerge.operators.logs import coalesce_bursts
 from bookmerge.streaming import jobs
 
 
@@ -31,11 +32,15 @@ def _start(df: DataFrame, folder: str):
 
 
 def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts by user that the watermark has closed."""
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("timestamp"))
+    """Bursts by user: those that the watermark has closed, and by a batch pass those still open when the stream ends."""
+    of = lambda e: e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("timestamp"))
     folder = _folder(spark)
-    _start(jobs.burst_counts(e, "1 hour", "1 hour"), folder).outputMode("append").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-    out = spark.read.schema("key long, start timestamp, end timestamp, n long").parquet(f"{folder}/out")
+    _start(jobs.burst_counts(of(_events(spark, sf_dir)), "1 hour", "1 hour"), folder).outputMode("append").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    closed = spark.read.schema("key long, start timestamp, end timestamp, n long").parquet(f"{folder}/out")
+    # A key's bursts close in the order of time, so its open ones lie after the last closed one.
+    upto = closed.groupBy("key").agg(F.max("end").alias("upto")).withColumnRenamed("key", "closed_key")
+    left = of(spark.read.parquet(f"{sf_dir}/events.parquet")).join(upto, F.col("key").eqNullSafe(F.col("closed_key")), "left").where(F.col("upto").isNull() | (F.col("timestamp") > F.col("upto")))
+    out = closed.unionByName(coalesce_bursts(left.select("key", "timestamp"), "1 hour"))
     return out.select("key", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "n")
 
 

@@ -45,3 +45,11 @@ def test_strike_kinds(spark, cut):
         run(spark.createDataFrame(events[k : k + cut], "key string, timestamp timestamp, seq long, kind string"), k)
     saved = spark.createDataFrame(parts, "key string, kind string, at struct<timestamp:timestamp,seq:long>, n long")
     assert {r["key"]: (r["strikes"], r["skip"]) for r in jobs.strike_totals(saved).collect()} == {k: (n, n >= 3 or ig) for k, (n, ig) in want.items()}
+
+
+def test_bursts_are_whole(spark):
+    """Closed and open bursts together are those of the batch twin."""
+    from bookmerge.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert sorted(map(tuple, QUERIES["stream_bursts"](spark, sf).collect())) == sorted(map(tuple, QUERIES["coalesce_bursts"](spark, sf).collect()))
