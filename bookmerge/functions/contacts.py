@@ -18,6 +18,23 @@ class Row:
 
 
 HERE = Row()
+
+
+class Prefixed:
+    """A DataFrame's columns of one prefix as a contact."""
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.prefix + name)
+
+
+def prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    """The contact columns alone, each under the prefix."""
+    return df.select(*(F.col(f).alias(prefix + f) for f in CONTACT_TYPES))
+
+
 ORDERED_NAME = ["name_prefix", "given_name", "middle_name", "family_name", "name_suffix"]
 
 
@@ -123,13 +140,26 @@ def photo_accepted(data: Column, status: Column) -> Column:  # P63
     return F.coalesce((F.length(data) > 0) & (F.length(data) <= 5 * 1024 * 1024) & status.between(200, 299), F.lit(False))
 
 
+def fields_of(c, **fields: Column) -> dict[str, Column]:
+    """The contact's fields by name, some of them replaced."""
+    return {f: (fields[f] if f in fields else c[f]).cast(t) for f, t in CONTACT_TYPES.items()}
+
+
+def as_one(fields: dict[str, Column]) -> Column:
+    return F.struct(*(v.alias(f) for f, v in fields.items()))
+
+
 def replaced(c, **fields: Column) -> Column:
     """The contact with some fields replaced."""
-    return F.struct(*((fields[f] if f in fields else c[f]).cast(t).alias(f) for f, t in CONTACT_TYPES.items()))
+    return as_one(fields_of(c, **fields))
 
 
 def field_settings(c, settings: Settings, countries: dict[str, str] | None = None) -> Column:  # P42
     """What may be written: switched-off fields empty, country codes and name casing applied."""
+    return as_one(settings_fields(c, settings, countries))
+
+
+def settings_fields(c, settings: Settings, countries: dict[str, str] | None = None) -> dict[str, Column]:
     empty = lambda f: F.array().cast(CONTACT_TYPES[f])
     out: dict[str, Column] = {f: format_name(c[f], settings.name_format) for f in NAME_PARTS}
     if not settings.sync_birthday:
@@ -149,7 +179,7 @@ def field_settings(c, settings: Settings, countries: dict[str, str] | None = Non
             return F.struct(a["street"].alias("street"), a["city"].alias("city"), a["state"].alias("state"), a["postal_code"].alias("postal_code"), known["country"].alias("country"), known["country_code"].alias("country_code"), a["label"].alias("label"))
 
         out["addresses"] = F.transform(c["addresses"], coded)
-    return replaced(c, **out)
+    return fields_of(c, **out)
 
 
 #: Field groups that a write mask switches; everything else is always written.
@@ -162,6 +192,10 @@ def write_mask(settings: Settings) -> dict[str, bool]:
 
 def apply_mask(source, target, mask: dict[str, bool | Column]) -> Column:  # P43
     """target with source's allowed fields, even empty ones; a photo is written only where there is one."""
+    return as_one(masked_fields(source, target, mask))
+
+
+def masked_fields(source, target, mask: dict[str, bool | Column]) -> dict[str, Column]:
     out = {}
     ids = ("contact_id", "source", "google_resource_name", "mac_contact_identifier", "last_modified")
     group_of = {f: g for g, fields in MASKED.items() for f in fields}
@@ -174,7 +208,7 @@ def apply_mask(source, target, mask: dict[str, bool | Column]) -> Column:  # P43
         if f in MASKED["photos"]:
             allowed = allowed & source[f].isNotNull()
         out[f] = F.when(allowed, source[f].cast(CONTACT_TYPES[f])).otherwise(target[f])
-    return replaced(target, **out)
+    return fields_of(target, **out)
 
 
 OUTCOMES = [("added", "added"), ("updated", "updated"), ("deleted", "deleted"), ("merged", "merged"), ("skipped", "skipped"), ("errors", "failed"), ("set_aside", "set aside"), ("deferred_deletions", "deletions held for review"), ("deferred_merges", "merges awaiting decision")]

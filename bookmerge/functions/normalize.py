@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _EDGES = r"^[\p{Z}\s]+|[\p{Z}\s]+$"
@@ -86,18 +86,23 @@ def birthday_key(b: Column) -> Column:  # P19
     return F.when(b["month"].isNotNull() & b["day"].isNotNull(), F.concat_ws("-", year, b["month"].cast("string"), b["day"].cast("string")))
 
 
-#: A few countries; callers with the whole ISO-3166 list pass it as ``names`` (code to name).
-COUNTRIES = {"US": "United States", "CA": "Canada", "GB": "United Kingdom", "DE": "Germany", "FR": "France", "ES": "Spain", "IT": "Italy", "NL": "Netherlands", "CH": "Switzerland", "AT": "Austria", "JP": "Japan", "CN": "China", "IN": "India", "AU": "Australia", "BR": "Brazil", "MX": "Mexico"}
+@cache
+def countries() -> dict[str, str]:
+    """Code to English name of all ISO-3166 regions, as the session's platform knows them."""
+    locale = SparkSession.active()._jvm.java.util.Locale
+    return {code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()}
 
 
 def normalize_country(country: Column, code: Column, names: dict[str, str] | None = None) -> Column:  # P20
-    """struct<country, country_code>: a valid code sets both; else a known name sets the code; else as they are."""
-    names = names or COUNTRIES
+    """struct<country, country_code>: a valid code gives both; else a known name gives both; else they stay."""
+    names = countries() if names is None else names
     by_code = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    by_name = F.create_map(*(F.lit(x) for k, v in names.items() for x in (v.lower(), k)))
-    upper, found = F.upper(trimmed(code)), F.element_at(by_name, trimmed(F.lower(country)))
-    known = F.element_at(by_code, upper)
-    return F.when(known.isNotNull(), F.struct(known.alias("country"), upper.alias("country_code"))).when(found.isNotNull(), F.struct(country.alias("country"), found.alias("country_code"))).otherwise(F.struct(country.alias("country"), code.alias("country_code")))
+    by_name = F.create_map(*(F.lit(x) for k, v in {v.lower(): k for k, v in names.items()}.items() for x in (k, v)))
+    upper, low = F.upper(trimmed(code)), trimmed(F.lower(country))
+    found = F.when(F.coalesce(code, F.lit("")) != "", F.when(F.element_at(by_code, upper).isNotNull(), upper))
+    found = F.coalesce(found, F.when(F.coalesce(country, F.lit("")) != "", F.element_at(by_name, low)))
+    known = lambda c: F.struct(F.coalesce(F.element_at(by_code, c), country).alias("country"), F.coalesce(c, code).alias("country_code"))
+    return known(found)
 
 
 def names_similar(a: Column, b: Column, most: int = 2) -> Column:  # P21, P22

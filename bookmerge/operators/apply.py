@@ -11,7 +11,9 @@ from bookmerge.functions import normalize as N
 from bookmerge.operators import merge as G
 from bookmerge.operators.diff import effective_action
 from bookmerge.operators.graph import durable
-from bookmerge.schemas import CONTACT_TYPES, Settings
+from bookmerge.operators.logs import latest_per_key
+from bookmerge.operators.ranges import numbered
+from bookmerge.schemas import CONTACT_STRUCT, CONTACT_TYPES, Settings
 
 _DISTANT = "timestamp'0001-01-01 00:00:00'"
 
@@ -73,45 +75,60 @@ def to_left_record(c, now: Column | None = None) -> Column:  # P45
     return F.struct(*(typed(c[f]).alias(f) if f in ("phones", "emails", "urls") else c[f].alias(f) for f in CONTACT_TYPES))
 
 
+def _write(rows: DataFrame, book: DataFrame, side: str, settings: Settings, new_id: Column | None = None) -> DataFrame:
+    """The records that rows (at, seq, made) write into a book: ``made`` onto the record ``at``, or a new one where at has none.
+
+    A record's fields are plain columns; of several rows for one record the last by seq stays.
+    """
+    own = "google_resource_name" if side == "google" else "mac_contact_identifier"
+    sent, old = C.Prefixed("s_"), C.Prefixed("d_")
+    s = rows.select("at", "seq", *(F.col(f"made.{f}").alias(f"s_{f}") for f in CONTACT_TYPES))
+    s = s.select("at", "seq", *(v.alias(f"s_{f}") for f, v in C.settings_fields(sent, settings).items()))
+    made = new_id if new_id is not None else F.concat(F.lit("people/new-" if side == "google" else "mac/new-"), F.substring(F.sha2(sent["contact_id"], 256), 1, 16))
+    fresh = C.fields_of(sent, contact_id=made, source=F.lit(side), **{own: made})
+    kept = C.masked_fields(sent, old, C.write_mask(settings))
+    joined = s.join(C.prefixed(book, "d_"), F.col("at") == F.col("d_contact_id"), "left")
+    out = joined.select("seq", *(F.when(old["contact_id"].isNull(), fresh[f]).otherwise(kept[f]).alias(f) for f in CONTACT_TYPES))
+    return durable(latest_per_key(out, "contact_id", "seq").drop("seq"))
+
+
+def _replaced_rows(book: DataFrame, changed: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
+    touched = changed.select("contact_id")
+    if dropped is not None:
+        touched = touched.unionByName(dropped)
+    return book.join(touched.distinct(), "contact_id", "left_anti").select(*CONTACT_TYPES).unionByName(changed.select(*CONTACT_TYPES))
+
+
 def apply_books(outcomes: DataFrame, left: DataFrame, right: DataFrame, direction: str = "twoWay", settings: Settings = Settings(), new_id: Column | None = None) -> tuple[DataFrame, DataFrame]:  # O26, O28
     """(new left book, new right book). Plan rows meet the current records, not copies in the plan.
 
-    A new record's id is derived from its source (``new_id`` overrides the rule).
+    Additions, updates and deletions come first; merges then read the left record as those left it. Several right
+    records that merge into one left record do so one after the other (the mapped or matched one, then linked ones by
+    right id), each with what the ones before have made. Such a left record's right ones are held as arrays, as its
+    results grow with them anyway. A new record's id is derived from its source (``new_id`` overrides the rule).
     """
+    left, right = C.completed(left).select(*CONTACT_TYPES), C.completed(right).select(*CONTACT_TYPES)
     if settings.dry_run:
-        return C.completed(left), C.completed(right)
-    done = outcomes.where(F.col("outcome").isin("added", "updated", "deleted", "merged")).withColumn("act", effective_action()).withColumn("to_left", writes_left(direction))
-    a = C.as_struct(C.completed(left), "a").withColumn("left_id", F.col("a.contact_id"))
-    b = C.as_struct(C.completed(right), "b").withColumn("right_id", F.col("b.contact_id"))
-    rows = done.select("act", "to_left", "source", "left_id", "right_id").join(a, "left_id", "left").join(b, "right_id", "left")
-    x, y = F.col("a"), F.col("b")
-    mask = C.write_mask(settings)
-    # Three short steps on written rows: a record's fields are plain columns in each, not nested rules.
-    merges = F.col("act") == "merge"
-    ids = ["act", "to_left", "left_id", "right_id", "a", "b"]
-    rows = durable(rows.select(*ids, F.when(merges & x.isNotNull() & y.isNotNull(), G.merge_sync(x, y)).when(F.col("act").isin("add", "update"), F.when(F.col("to_left"), C.replaced(y)).otherwise(C.replaced(x))).alias("made")))
-    rows = durable(rows.select(*ids, F.when(F.col("made").isNotNull(), C.field_settings(F.col("made"), settings)).alias("sent")))
-    sent = F.col("sent")
-
-    def written(dst: Column, side: str) -> Column:
-        made = new_id if new_id is not None else F.concat(F.lit("people/new-" if side == "google" else "mac/new-"), F.substring(F.sha2(sent["contact_id"], 256), 1, 16))
-        own = "google_resource_name" if side == "google" else "mac_contact_identifier"
-        fresh = C.replaced(sent, contact_id=made, source=F.lit(side), **{own: made})
-        return F.when(sent.isNotNull(), F.when(dst.isNull(), fresh).otherwise(C.apply_mask(sent, dst, mask)))
-
-    removes = F.col("act") == "delete"
-    rows = durable(rows.select(
-        "left_id", "right_id", F.when(merges | F.col("to_left"), written(x, "google")).alias("new_left"), F.when(merges | ~F.col("to_left"), written(y, "mac")).alias("new_right"),
-        (removes & F.col("to_left")).alias("drop_left"), (removes & ~F.col("to_left")).alias("drop_right"),
-    ))
-
-    def book(old: DataFrame, new: str, drop: str, key: str) -> DataFrame:
-        changed = rows.where(F.col(new).isNotNull()).groupBy(f"{new}.contact_id").agg(F.first(new, ignorenulls=True).alias(new)).select(f"{new}.*")
-        dropped = rows.where(F.col(drop)).select(F.col(key).alias("contact_id"))
-        touched = changed.select("contact_id").unionByName(dropped).distinct()
-        return C.completed(old).join(touched, "contact_id", "left_anti").select(*CONTACT_TYPES).unionByName(changed.select(*CONTACT_TYPES))
-
-    return book(left, "new_left", "drop_left", "left_id"), book(right, "new_right", "drop_right", "right_id")
+        return left, right
+    linked = F.coalesce(F.get("changes", F.lit(0)).startswith("Matched an existing"), F.lit(False))
+    done = durable(outcomes.where(F.col("outcome").isin("added", "updated", "deleted", "merged")).select("left_id", "right_id", effective_action().alias("act"), writes_left(direction).alias("to_left"), linked.alias("linked")))
+    record = lambda book, name, key: C.as_struct(book, name).select(F.col(f"{name}.contact_id").alias(key), name)
+
+    put = done.where(F.col("act").isin("add", "update"))
+    to_left = put.where("to_left").join(record(right, "made", "right_id"), "right_id").select(F.col("left_id").alias("at"), F.col("right_id").alias("seq"), "made")
+    to_right = put.where("not to_left").join(record(left, "made", "left_id"), "left_id").select(F.col("right_id").alias("at"), F.col("left_id").alias("seq"), "made")
+    gone = lambda own, where: done.where((F.col("act") == "delete") & where).select(F.col(own).alias("contact_id")).where("contact_id is not null")
+    new_left, new_right = _write(to_left, left, "google", settings, new_id), _write(to_right, right, "mac", settings, new_id)
+    left = durable(_replaced_rows(left, new_left, gone("left_id", F.col("to_left"))))
+    right = durable(_replaced_rows(right, new_right, gone("right_id", ~F.col("to_left"))))
+
+    pairs = done.where("act = 'merge'").join(record(left, "a", "left_id"), "left_id").join(record(right, "b", "right_id"), "right_id")
+    in_turn = W.partitionBy("left_id").orderBy("linked", "right_id")
+    pairs = pairs.select("left_id", "right_id", "a", F.row_number().over(in_turn).alias("seq"), F.collect_list("b").over(in_turn.rowsBetween(W.unboundedPreceding, 0)).alias("others"))
+    made = F.aggregate("others", F.col("a").cast(CONTACT_STRUCT), lambda merged, c: G.merge_sync(merged, c).cast(CONTACT_STRUCT))
+    pairs = durable(pairs.select("left_id", "right_id", "seq", made.alias("made")))
+    at = lambda key: pairs.select(F.col(key).alias("at"), "seq", "made")
+    return _replaced_rows(left, _write(at("left_id"), left, "google", settings)), _replaced_rows(right, _write(at("right_id"), right, "mac", settings))
 
 
 def mapping_stamps(outcomes: DataFrame, mapping: DataFrame, now: Column, direction: str = "twoWay") -> DataFrame:  # O29
@@ -131,22 +148,11 @@ def mapping_stamps(outcomes: DataFrame, mapping: DataFrame, now: Column, directi
 def chunk(df: DataFrame, size: int | dict[str, int], by: str = "kind", order: str = "id", shards: int = 1) -> DataFrame:  # W09
     """Chunk numbers of ``size`` rows within a kind (a number, or one for each kind); with shards, numbering runs in each shard apart.
 
-    Rows are dealt by ranges of (kind, shard, order) and numbered inside a range; row counts of the ranges, one a
-    kind, shard and range, are the offsets. A range bounds what a task sorts, whatever a kind's size.
+    Rows are numbered in ranges (``numbered``): a range bounds what a task sorts, whatever a kind's size.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sharded = df.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(shards)).cast("int"))
-    # Written, so that counts and numbers see the same ranges; rows that share kind and order are spread by their hash.
-    dealt = durable(sharded.repartitionByRange(parts, by, "shard", order, F.xxhash64(*df.columns)).withColumn("__part", F.spark_partition_id()))
-    ranges = dealt.groupBy(by, "shard", "__part").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(by, "shard").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.select(F.col(by).alias("__by"), F.col("shard").alias("__shard"), F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("shard") == F.col("__shard")) & (F.col("__part") == F.col("__of"))
-    number = F.row_number().over(W.partitionBy(by, "shard", "__part").orderBy(order)) - 1
     sizes = F.lit(size) if isinstance(size, int) else F.create_map(*(F.lit(x) for kv in size.items() for x in kv))[F.col(by)]
-    at = dealt.withColumn("__at", number).join(F.broadcast(offsets), same)
-    return at.withColumn("chunk", F.floor((F.col("__at") + F.col("__before")) / sizes).cast("int")).select(*df.columns, "shard", "chunk")
+    return numbered(sharded, [by, "shard"], order, "__place").withColumn("chunk", F.floor(F.col("__place") / sizes).cast("int")).select(*df.columns, "shard", "chunk")
 
 
 #: Most rows of a call by kind.

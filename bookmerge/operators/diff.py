@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bookmerge.functions import contacts as C
 from bookmerge.functions import normalize as N
+from bookmerge.operators.graph import durable
 from bookmerge.operators.linkage import link_fuzzy, link_identity
 from bookmerge.schemas import Settings
 
@@ -72,18 +73,27 @@ _UNKNOWN = "Differs, but neither side reports when it changed"
 _BOTH = {"alwaysAsk": "⚠️ Conflict: both sides changed since last sync", "preferGoogle": "Auto-resolved: Google preferred", "preferMac": "Auto-resolved: Mac preferred", "mergeBoth": "Auto-resolved: merged both sides"}
 
 
-def resolve(a, b, changes: Column, synced_at: Column, conflict: str) -> Column:  # O03
-    """The change for a differing mapped pair."""
-    moved = lambda t: F.coalesce(t > synced_at, t.isNotNull() & synced_at.isNull())
-    left, right = moved(a["last_modified"]), moved(b["last_modified"])
-    to_right = lambda c: _change(C.display_name(a), "update", "googleToMac", c, None, "google")
-    to_left = lambda c: _change(C.display_name(b), "update", "macToGoogle", c, None, "mac")
-    merge = lambda c, override: _change(C.display_name(a), "merge", "twoWay", c, override, "google")
-    settle = {"alwaysAsk": lambda c: merge(c, None), "preferGoogle": to_right, "preferMac": to_left, "mergeBoth": lambda c: merge(c, "merge")}[conflict]
-    both = settle(F.concat(changes, F.array(F.lit(_BOTH[conflict]))))
-    unknown = settle(F.concat(changes, F.array(F.lit(_UNKNOWN))) if conflict == "alwaysAsk" else changes)
+# Action, direction, override and source of a conflict settled by each preference.
+_SETTLED = {"alwaysAsk": ("merge", "twoWay", None, "google"), "preferGoogle": ("update", "googleToMac", None, "google"), "preferMac": ("update", "macToGoogle", None, "mac"), "mergeBoth": ("merge", "twoWay", "merge", "google")}
+
+
+def conflict_inputs(a, b) -> list[Column]:
+    """The columns that ``resolve`` reads of a mapped pair."""
+    return [C.display_name(a).alias("name_a"), C.display_name(b).alias("name_b"), a["last_modified"].alias("at_a"), b["last_modified"].alias("at_b")]
+
+
+def resolve(changes: Column, synced_at: Column, conflict: str) -> Column:  # O03
+    """The change for a differing mapped pair, over the columns of ``conflict_inputs``."""
+    moved = lambda t: F.coalesce(F.col(t) > synced_at, F.col(t).isNotNull() & synced_at.isNull())
     photo_only = F.size(changes).eqNullSafe(1) & F.get(changes, F.lit(0)).eqNullSafe("Photo changed")
-    return F.when(photo_only, to_right(changes)).when(left & right, both).when(left, to_right(changes)).when(right, to_left(changes)).otherwise(unknown)
+    to_right, to_left = photo_only | (moved("at_a") & ~moved("at_b")), ~photo_only & moved("at_b") & ~moved("at_a")
+    both = moved("at_a") & moved("at_b") & ~photo_only
+    settled = _SETTLED[conflict]
+    pick = lambda n, right, left: F.when(to_right, F.lit(right)).when(to_left, F.lit(left)).otherwise(F.lit(settled[n]).cast("string"))
+    unknown = F.array(F.lit(_UNKNOWN)) if conflict == "alwaysAsk" else F.array().cast("array<string>")
+    more = F.when(to_right | to_left, F.array().cast("array<string>")).when(both, F.array(F.lit(_BOTH[conflict]))).otherwise(unknown)
+    source = pick(3, "google", "mac")
+    return F.struct(F.when(source == "mac", F.col("name_b")).otherwise(F.col("name_a")).alias("name"), pick(0, "update", "update").alias("action"), pick(1, "googleToMac", "macToGoogle").alias("direction"), F.concat(changes, more).alias("changes"), pick(2, None, None).alias("user_override"), source.alias("source"))
 
 
 def _plan(df: DataFrame) -> DataFrame:
@@ -101,9 +111,10 @@ def diff_two_way(left: DataFrame, right: DataFrame, mapping: DataFrame, settings
     dead = rows.where(gone & ~left_hidden & ~right_hidden).select("google_resource_name").distinct()
 
     deletion = F.when(a.isNotNull() & b.isNull() & ~right_hidden, _change(C.display_name(a), "delete", "macToGoogle", F.array(F.lit("Deleted on Mac side")), None, "google")).when(a.isNull() & b.isNotNull() & ~left_hidden, _change(C.display_name(b), "delete", "googleToMac", F.array(F.lit("Deleted on Google side")), None, "mac"))
-    pairs = rows.where(a.isNotNull() & b.isNotNull()).withColumn("diff", diff_fields(a, b, settings)).where(F.size("diff") > 0)
     ids = [F.col("a.contact_id").alias("left_id"), F.col("b.contact_id").alias("right_id")]
-    plan = _plan(pairs.select(resolve(a, b, F.col("diff"), F.col("last_synced_at"), settings.conflict).alias("change"), *ids))
+    # Written: what decides a conflict is then plain columns, not rules over two records.
+    pairs = durable(rows.where(a.isNotNull() & b.isNotNull()).select(*ids, "last_synced_at", *conflict_inputs(a, b), diff_fields(a, b, settings).alias("diff")).where(F.size("diff") > 0))
+    plan = _plan(pairs.select(resolve(F.col("diff"), F.col("last_synced_at"), settings.conflict).alias("change"), "left_id", "right_id"))
     if settings.sync_deleted:
         plan = plan.unionByName(_plan(rows.select(deletion.alias("change"), *ids).where("change is not null")))
 

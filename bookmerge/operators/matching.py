@@ -6,6 +6,8 @@ the lesser id), each the contact with its normalised form and derived keys compu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ from bookmerge.functions import normalize as N
 from bookmerge.operators.graph import durable
 from bookmerge.schemas import Settings
 
-#: Component values of the rule score.
+# Points of the components, and what is said of each.
 POINTS = {"email": 60, "phone": 60, "exact_name": 30, "similar_name": 20, "organization": 10, "address": 10, "domain_mismatch": -10, "different_info": -20}
 REASONS = [("email", "Same email address"), ("phone", "Same phone number"), ("exact_name", "Exact name match"), ("similar_name", "Similar names"), ("organization", "Same company"), ("address", "Same address"), ("domain_mismatch", "⚠️ Different email domains"), ("different_info", "⚠️ Different contact info")]
 
 
-def prepared(book: DataFrame, groups: list[list[str]] | None = None) -> DataFrame:
+def prepared(book: DataFrame, nicknames: tuple[tuple[str, ...], ...] | None = None) -> DataFrame:
     """(id, c, n, extra): the contact, its normalised form, and what the signals need.
 
     Written once: pairs then read plain columns instead of normalising a record for each pair.
@@ -29,33 +31,100 @@ def prepared(book: DataFrame, groups: list[list[str]] | None = None) -> DataFram
     df = C.as_struct(C.completed(book), "c")
     df = df.select(F.col("c.contact_id").alias("id"), "c", C.normalized(F.col("c")).alias("n"))
     extra = F.struct(
-        M.nickname_group(F.col("c.given_name"), groups).alias("nickname_group"),
+        M.nickname_group(F.col("c.given_name"), nicknames).alias("nickname_group"),
         M.soundex_variant(F.col("n.family_name")).alias("soundex"),
         F.transform(C.values(F.col("c.phones")), N.digits_of).alias("digits"),
         F.transform(C.values(F.col("c.emails")), F.lower).alias("emails"),
         F.coalesce(N.trimmed(F.lower(F.col("c.nickname"))), F.lit("")).alias("nickname"),
     )
-    df = df.select("*", extra.alias("extra"), _lossless_keys(F.col("n")).alias("keys"), N.normalize_name(F.col("n.full_name")).alias("sim"))
-    return durable(df)
+    return durable(df.select("*", extra.alias("extra"), N.normalize_name(F.col("n.full_name")).alias("sim")))
 
 
-def _lossless_keys(n: Column) -> Column:
-    """Any pair that scores 30 shares one of these: email, phone, full name, organisation or address.
+def _slim(side: DataFrame) -> DataFrame:
+    """What candidate keys are made of. ``bare``: no email and no phone; ``marked``: a stored nickname or a one-letter given name."""
+    n = F.col("n")
+    marked = (F.col("extra.nickname") != "") | (F.length(n["given_name"]) == 1)
+    return side.select("id", n["full_name"].alias("name"), "sim", n["family_name"].alias("family"), n["organization"].alias("org"), n["address"].alias("place"), n["emails"].alias("emails"), n["phones"].alias("phones"), (~C.has_contact(n)).alias("bare"), marked.alias("marked"))
 
-    The last two can only reach 30 together with a similar name, which is tested after the join.
-    """
+
+def contact_keys(side: DataFrame) -> DataFrame:
+    """(id, key) for each email and phone of prepared records."""
     tagged = lambda tag, v: F.transform(v, lambda x: F.concat(F.lit(tag), x))
-    one = lambda tag, v: F.when(v != "", F.array(F.concat(F.lit(tag), v))).otherwise(F.array().cast("array<string>"))
-    return F.concat(tagged("E:", n["emails"]), tagged("P:", n["phones"]), one("N:", n["full_name"]), one("O:", n["organization"]), one("A:", n["address"]))
+    return side.select("id", F.explode(F.concat(tagged("E:", F.col("n.emails")), tagged("P:", F.col("n.phones")))).alias("key"))
+
+
+def hot_keys(a: DataFrame, b: DataFrame | None = None, max_key_fanout: int = 1000) -> DataFrame:
+    """(key, records): the emails and phones of more records than ``max_key_fanout``, for a log."""
+    keys = contact_keys(a) if b is None else contact_keys(a).unionByName(contact_keys(b))
+    return keys.groupBy("key").agg(F.count("*").alias("records")).where(F.col("records") > max_key_fanout)
+
+
+def _pairs_on(x: DataFrame, y: DataFrame, keys: list[str], test: Column | None = None) -> DataFrame:
+    """(id_a, id_b) of rows of x and y that agree in keys; test reads the columns of both as x.* and y.*."""
+    on = F.lit(True) if test is None else test
+    for k in keys:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    return x.alias("x").join(y.alias("y"), on).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame | None = None, mode: str = "lossless") -> DataFrame:  # J09
+def _both_ways(bare: DataFrame, other: DataFrame, within: bool, make) -> DataFrame:
+    """Pairs of a bare record of one side with a record of the other; within one book the lesser id goes first."""
+    if within:
+        found = make(bare.where("bare"), other)
+        return found.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    turned = make(other.where("bare"), bare).select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))
+    return make(bare.where("bare"), other).unionByName(turned)
+
+
+def _lossless_ids(a: DataFrame, b: DataFrame, within: bool, settings: Settings, max_key_fanout: int | None) -> DataFrame:
+    """(id_a, id_b) of every pair that can pass ``scored``.
+
+    By the points, a pair that scores 30 shares an email or a phone, or
+    * it has one full name, organisation and address, or
+    * it has one full name, or similar names and one organisation or address, and one of the two is bare: two
+      records with contact data of their own lose 20 points and can't reach 30.
+    With one full name alone a pair has 30 points, so at a confirm score of 50 it also needs a signal: those that
+    records of one full name can have take a marked record or different family names.
+    """
+    order = F.col("x.id") < F.col("y.id") if within else F.lit(True)
+    ka, kb = contact_keys(a), contact_keys(b)
+    if max_key_fanout is None:
+        found = [_pairs_on(ka, kb, ["key"], order)]
+    else:
+        hot = durable(hot_keys(a, None if within else b, max_key_fanout).select("key"))
+        calm = lambda k: k.join(hot, "key", "left_anti")
+        hubs = lambda k: k.join(hot, "key").groupBy("key").agg(F.min("id").alias("id"))
+        found = [_pairs_on(calm(ka), calm(kb), ["key"], order), _pairs_on(hubs(ka), kb.join(hot, "key", "left_semi"), ["key"], order)]
+        if not within:
+            found.append(_pairs_on(ka.join(hot, "key", "left_semi"), hubs(kb), ["key"]))
+    x, y = _slim(a), _slim(b)
+    whole = "name <> '' and org <> '' and place <> ''"
+    found.append(_pairs_on(x.where(whole), y.where(whole), ["name", "org", "place"], order))
+    named = lambda side: side.where("name <> ''").select("id", "name", "family", "bare", "marked")
+
+    def same_name(bare: DataFrame, other: DataFrame) -> DataFrame:
+        if settings.confirm_score < 50:
+            return _pairs_on(bare, other, ["name"])
+        families = lambda side: side.select("name", "family").distinct()
+        differ = families(bare).alias("p").join(families(other).alias("q"), (F.col("p.name") == F.col("q.name")) & (F.col("p.family") != F.col("q.family")))
+        differ = differ.select("p.name", F.col("p.family").alias("family"), F.col("q.family").alias("other_family"))
+        split = bare.select("id", "name", "family").join(differ, ["name", "family"]).select("id", "name", F.col("other_family").alias("family"))
+        return _pairs_on(bare.where("marked"), other, ["name"]).unionByName(_pairs_on(bare, other.where("marked"), ["name"])).unionByName(_pairs_on(split, other, ["name", "family"]))
+
+    found.append(_both_ways(named(x), named(y), within, same_name))
+    near = (F.col("x.sim") == F.col("y.sim")) | (F.levenshtein(F.col("x.sim"), F.col("y.sim"), 2) >= 0)
+    found.append(_both_ways(x, y, within, lambda bare, other: _pairs_on(_segments(bare, probe=True), _segments(other), ["key", "segment"], near)))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame | None = None, mode: str = "lossless", settings: Settings = Settings(), max_key_fanout: int | None = None) -> DataFrame:  # J09
     """Pairs (id_a, id_b, a, b) of prepared books; within ``a`` if b is None.
 
-    lossless: equi-joins on the keys above, for filters over 20 points. Organisation and address keys count
-    only with a similar name, so their groups are split by parts of the name (two names within
-    two edits share one of three parts) and tested in the join.
-    reference: equi-joins on ``blocking_keys``. exhaustive: every pair, for small books and tests.
+    lossless: equi-joins on keys that every pair which ``scored`` lets pass shares (``_lossless_ids``). reference: equi-joins
+    on ``blocking_keys``. exhaustive: every pair, for small books and tests.
+    An email or phone that very many records share gives all their pairs, since each of them scores. With ``max_key_fanout``
+    the records of such a key (``hot_keys`` lists them) are paired with the least of them alone: pairs get fewer, and clusters of
+    pairs (O22) stay whole as far as those pairs pass.
     """
     within = b is None
     b = a if within else b
@@ -65,36 +134,32 @@ def candidate_pairs(a: DataFrame, b: DataFrame | None = None, mode: str = "lossl
         return pairs.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.struct("x.c", "x.n", "x.extra", "x.sim").alias("a"), F.struct("y.c", "y.n", "y.extra", "y.sim").alias("b"))
     if mode == "reference":
         keys = lambda side: side.select("id", F.explode(C.blocking_keys(F.col("c"))).alias("key"))
-        ids = keys(a).alias("x").join(keys(b).alias("y"), (F.col("x.key") == F.col("y.key")) & order).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()
+        ids = _pairs_on(keys(a), keys(b), ["key"], order).distinct()
     else:
-        strong = lambda side: side.select("id", F.explode(F.filter("keys", lambda k: ~k.rlike("^[OA]:"))).alias("key"))
-        s = strong(a).alias("x").join(strong(b).alias("y"), (F.col("x.key") == F.col("y.key")) & order).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-        wa, wb = _weak(a), _weak(b, probe=True)
-        near = (F.col("x.name") == F.col("y.name")) | (F.levenshtein(F.col("x.name"), F.col("y.name"), 2) >= 0)
-        w = wa.alias("x").join(wb.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.segment") == F.col("y.segment")) & order & near).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-        ids = s.unionByName(w).distinct()
+        ids = _lossless_ids(a, b, within, settings, max_key_fanout)
+    ids = durable(ids)
     left = a.select(F.col("id").alias("id_a"), F.struct("c", "n", "extra", "sim").alias("a"))
     right = b.select(F.col("id").alias("id_b"), F.struct("c", "n", "extra", "sim").alias("b"))
     return ids.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", "a", "b")
 
 
-def _weak(side: DataFrame, probe: bool = False) -> DataFrame:
-    """Organisation and address keys with segments of the name: two strings within two edits share a third part.
+def _segments(side: DataFrame, probe: bool = False) -> DataFrame:
+    """(id, sim, key, segment): organisation and address, each with segments of the name: two strings within two edits share a third part.
 
     A name of length L is cut in three (lengths by L); a partner of length L-2 .. L+2 holds one of
     the parts, shifted by two at most, so the probing side gives all substrings that could be that part.
     """
-    keys = F.filter("keys", lambda k: k.rlike("^[OA]:"))
-    base = side.where("sim <> ''").select("id", F.col("sim").alias("name"), F.explode(keys).alias("key"))
+    one = lambda tag, v: F.when(v != "", F.concat(F.lit(tag), v))
+    base = side.where("sim <> ''").select("id", "sim", F.explode(F.array_compact(F.array(one("O:", F.col("org")), one("A:", F.col("place"))))).alias("key"))
     cut = lambda length, k: (length * k / 3).cast("int")
-    part = lambda length, k, s: F.concat_ws("|", length.cast("string"), k.cast("string"), F.substring(F.col("name"), F.greatest(cut(length, k) + 1 + s, F.lit(1)), cut(length, k + 1) - cut(length, k)))
+    part = lambda length, k, s: F.concat_ws("|", length.cast("string"), k.cast("string"), F.substring(F.col("sim"), F.greatest(cut(length, k) + 1 + s, F.lit(1)), cut(length, k + 1) - cut(length, k)))
     thirds, near = F.sequence(F.lit(0), F.lit(2)), F.sequence(F.lit(-2), F.lit(2))
-    length = F.length("name")
+    length = F.length("sim")
     if not probe:
         parts = F.transform(thirds, lambda k: part(length, k, F.lit(0)))
     else:
         parts = F.array_distinct(F.flatten(F.transform(thirds, lambda k: F.flatten(F.transform(near, lambda d: F.transform(near, lambda s: part(length + d, k, s)))))))
-    return base.select("id", "name", "key", F.explode(parts).alias("segment"))
+    return base.select("id", "sim", "key", F.explode(parts).alias("segment"))
 
 
 def match_score(a: Column, b: Column) -> Column:  # O09
@@ -128,7 +193,7 @@ def primary_reason(parts: Column) -> Column:
 
 
 def nlp_signals(a: Column, b: Column) -> Column:  # O11
-    """array<struct<label,weight>> of the signals that hold."""
+    """array<struct<label,weight>> of the signals that hold; labels and weights are fixed values."""
     x, y, e, f = a["n"], b["n"], a["extra"], b["extra"]
     family = (x["family_name"] != "") & (x["family_name"] == y["family_name"])
     first = lambda n: F.get(F.split(n["given_name"], " "), F.lit(0))
@@ -179,7 +244,7 @@ def scored(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def detect_within(book: DataFrame, settings: Settings = Settings(), mode: str = "lossless", group_type: str = "withinGoogle") -> DataFrame:  # O13
-    return scored(candidate_pairs(prepared(book), mode=mode), settings).withColumn("type", F.lit(group_type))
+    return scored(candidate_pairs(prepared(book, settings.nicknames), mode=mode, settings=settings), settings).withColumn("type", F.lit(group_type))
 
 
 def drop_mapped(pairs: DataFrame, mapping: DataFrame) -> DataFrame:  # J08
@@ -189,7 +254,7 @@ def drop_mapped(pairs: DataFrame, mapping: DataFrame) -> DataFrame:  # J08
 
 
 def detect_across(left: DataFrame, right: DataFrame, mapping: DataFrame, settings: Settings = Settings(), mode: str = "lossless") -> DataFrame:  # O14
-    return scored(drop_mapped(candidate_pairs(prepared(left), prepared(right), mode), mapping), settings).withColumn("type", F.lit("crossSource"))
+    return scored(drop_mapped(candidate_pairs(prepared(left, settings.nicknames), prepared(right, settings.nicknames), mode, settings), mapping), settings).withColumn("type", F.lit("crossSource"))
 
 
 def detect_duplicates(left: DataFrame, right: DataFrame, mapping: DataFrame, settings: Settings = Settings(), decisions: DataFrame | None = None) -> DataFrame:  # O15, X01

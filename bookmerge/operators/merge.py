@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bookmerge.functions import arrays as X
 from bookmerge.functions import contacts as C
 from bookmerge.functions import normalize as N
-from bookmerge.schemas import ADDRESS, CONTACT_STRUCT, ITEM
+from bookmerge.schemas import ADDRESS, ITEM
 
 _SCALARS = ["given_name", "middle_name", "family_name", "name_prefix", "name_suffix", "nickname", "phonetic_given_name", "phonetic_middle_name", "phonetic_family_name", "organization", "department", "job_title"]
 _IDS = ["google_resource_name", "mac_contact_identifier"]
@@ -65,13 +65,44 @@ def pick_primary(members: DataFrame) -> DataFrame:  # W04
     return members.groupBy("group").agg(F.min_by("c", rank).alias("primary"))
 
 
-def fold_merge(members: DataFrame, merge: Callable = merge_dedup) -> DataFrame:  # A11
-    """(group, merged): members (group, c) folded in order of data score, then id; a group is one entity's records."""
-    rank = F.struct((-C.data_score(F.col("c"))).alias("score"), F.col("c.contact_id").alias("id"), F.col("c").alias("c"))
-    ordered = F.array_sort(F.collect_list(rank))
-    grouped = members.groupBy("group").agg(ordered.alias("g"))
-    rest = F.transform(F.slice("g", F.lit(2), F.size("g")), lambda x: x["c"])
-    return grouped.select("group", F.aggregate(rest, F.get("g", F.lit(0))["c"].cast(CONTACT_STRUCT), lambda acc, c: merge(acc, c).cast(CONTACT_STRUCT)).alias("merged"))
+_TEXTS = ("given_name", "middle_name", "family_name", "organization", "job_title")
+_LISTS = {"phones": (lambda x: N.digits_of(x["value"]), ITEM), "emails": (lambda x: F.lower(x["value"]), ITEM), "addresses": (N.normalize_address, ADDRESS), "urls": (lambda x: x["value"], ITEM)}
+
+
+def fold_merge(members: DataFrame) -> DataFrame:  # A11
+    """(group, merged): members (group, c) folded by ``merge_dedup`` in order of data score, then id; a group is one entity's records.
+
+    The fold as aggregates, which combine before the shuffle: a text is the first filled one, a list holds an element if no
+    record before its own has the element's key. Only the lists of the result are gathered.
+    """
+    rank = F.struct((-C.data_score(F.col("c"))).alias("score"), F.col("c.contact_id").alias("id"))
+    rows = members.select("group", rank.alias("rank"), "c")
+    at = F.col("rank")
+
+    def first(f: str, test: Column | None = None) -> Column:
+        value = F.col(f"c.{f}")
+        return F.min_by(value, F.when(value.isNotNull() if test is None else test, at))
+
+    filled = lambda f: F.coalesce(first(f, F.col(f"c.{f}") != ""), F.max_by(F.col(f"c.{f}"), at))
+    plain = [f for f in (*_SCALARS, *_IDS, "birthday", "photo_data") if f not in _TEXTS]
+    notes = F.array_sort(F.collect_list(F.when(F.col("c.note") != "", F.struct(at, F.col("c.note").alias("note")))))
+    joined = F.nullif(F.array_join(F.transform(notes, lambda x: x["note"]), "\n---\n"), F.lit(""))
+    grouped = rows.groupBy("group").agg(
+        F.count("*").alias("n"), *(filled(f).alias(f) for f in _TEXTS), *(first(f).alias(f) for f in plain), F.min_by("c.contact_id", at).alias("contact_id"), F.min_by("c.source", at).alias("source"),
+        joined.alias("note"), F.max("c.last_modified").alias("last_modified"), F.min_by("c.note", at).alias("own_note"), F.min_by("c.photo_url", at).alias("own_url"),
+    )
+    for f, (key, element) in _LISTS.items():
+        items = rows.select("group", "rank", F.posexplode(f"c.{f}").alias("pos", "x")).withColumn("key", key(F.col("x")))
+        owner = items.groupBy("group", "key").agg(F.min("rank").alias("owner"), F.min(F.struct("rank", "pos")).alias("head"))
+        kept = items.join(owner.withColumnsRenamed({"group": "g", "key": "k"}), F.col("group").eqNullSafe(F.col("g")) & F.col("key").eqNullSafe(F.col("k"))).where("rank = owner")
+        if f == "addresses":  # repeats inside a record stay in the first record alone
+            lead = rows.groupBy("group").agg(F.min("rank").alias("lead")).withColumnRenamed("group", "lead_group")
+            kept = kept.join(lead, F.col("group").eqNullSafe(F.col("lead_group"))).where((F.col("rank") == F.col("lead")) | (F.struct("rank", "pos") == F.col("head")))
+        lists = kept.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos", "x"))), lambda i: i["x"]).alias(f)).withColumnRenamed("group", "list_group")
+        grouped = grouped.join(lists, F.col("group").eqNullSafe(F.col("list_group")), "left").drop("list_group").withColumn(f, F.coalesce(f, F.array().cast(f"array<{element}>")))
+    one = F.col("n") == 1
+    note, photo_url = F.when(one, F.col("own_note")).otherwise(F.col("note")), F.when(one, F.col("own_url"))
+    return grouped.select("group", C.replaced(C.HERE, note=note, photo_url=photo_url).alias("merged"))
 
 
 def execute_merge(members: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  # O18

@@ -170,10 +170,11 @@ def _conflict_sql() -> str:
 @query(_conflict_sql())
 def conflict_matrix(spark, d):
     rows = D.classify_mappings(X.mapping(spark, d), X.left_book(spark, d), X.right_book(spark, d)).where("a is not null and b is not null")
-    rows = rows.withColumn("diff", D.diff_fields(F.col("a"), F.col("b"))).where(F.size("diff") > 0)
+    a, b = F.col("a"), F.col("b")
+    rows = rows.select(a["contact_id"].alias("left_id"), b["contact_id"].alias("right_id"), "last_synced_at", *D.conflict_inputs(a, b), D.diff_fields(a, b).alias("diff")).where(F.size("diff") > 0)
     prefs = ["alwaysAsk", "preferGoogle", "preferMac", "mergeBoth"]
-    settled = F.array(*(F.struct(F.lit(p).alias("preference"), D.resolve(F.col("a"), F.col("b"), F.col("diff"), F.col("last_synced_at"), p).alias("c")) for p in prefs))
-    out = rows.select(F.col("a.contact_id").alias("left_id"), F.col("b.contact_id").alias("right_id"), F.explode(settled).alias("s"))
+    settled = F.array(*(F.struct(F.lit(p).alias("preference"), D.resolve(F.col("diff"), F.col("last_synced_at"), p).alias("c")) for p in prefs))
+    out = rows.select("left_id", "right_id", F.explode(settled).alias("s"))
     return out.select("s.preference", "left_id", "right_id", "s.c.action", "s.c.direction", F.array_join("s.c.changes", "; ").alias("changes"), "s.c.user_override")
 
 

@@ -68,3 +68,5 @@ class Settings:
     max_backups: int = 30
     max_failures: int = 3
     name_format: str = "asIs"
+    #: Families of given names that stand for each other; None is the short list of ``functions.names``.
+    nicknames: tuple[tuple[str, ...], ...] | None = None

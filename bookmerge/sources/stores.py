@@ -58,3 +58,15 @@ def load_session(primary: DataFrame, fallback: DataFrame, session_id: str) -> Da
     both = primary.withColumn("place", F.lit(0)).unionByName(fallback.withColumn("place", F.lit(1))).where(F.col("session_id") == session_id)
     first = both.groupBy("session_id").agg(F.min("place").alias("place"))
     return both.join(first, ["session_id", "place"], "left_semi").drop("place")
+
+
+#: A list of name families is a short table; a longer one is not one.
+MOST_FAMILIES = 10_000
+
+
+def load_nicknames(spark: SparkSession, path: str) -> tuple[tuple[str, ...], ...]:
+    """Name families for ``Settings.nicknames``: a text file with one family a line, names parted by commas, in order."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("at")).orderBy("at").limit(MOST_FAMILIES + 1).collect()
+    if len(lines) > MOST_FAMILIES:
+        raise ValueError(f"more than {MOST_FAMILIES} name families")
+    return tuple(tuple(n.strip().lower() for n in r["value"].split(",")) for r in lines)
