@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of the setting ``spark.checkpoint.dir``, which driver and executors share; a temporary one only in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bookmerge-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -31,10 +35,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder, read again: later steps neither repeat its work nor lose it with an executor."""
+    return written_in_parts(df, tag)[0]
+
+
+#: Bytes of a written table for each partition of the shuffle that reads it.
+PART_BYTES = 64 << 20
+
+
+def parts_for(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions for so many bytes; the session's number of shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+
+
+def written_in_parts(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """The written table, and the number of partitions in which its size is to be shuffled."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
+    return spark.read.schema(df.schema).parquet(path), parts_for(spark, size)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -51,11 +71,24 @@ def id_back(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts vary from none to megabytes, so Arrow batches of texts are bounded by rows and bytes."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Rows and bytes of the pieces in which a function over Arrow batches takes its rows (texts vary from none to megabytes).
+ROWS, BYTES = 512, 16 << 20
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_pieces(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run over batches cut into pieces; the session bounds the batches themselves by bytes."""
+
+    def over(batches: Batches) -> Batches:
+        def pieces() -> Batches:
+            for batch in batches:
+                step = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+                for at in range(0, batch.num_rows, step):
+                    yield batch.slice(at, step)
+
+        return run(pieces())
+
+    return over
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -13,7 +13,7 @@ shift the sums of those that began before. The sums cut a long conversation into
 more than a stretch. Reading back for the digests is sequential within a conversation by nature of a hash,
 but streams window by window.
 
-Edge cases: a null text or role is empty; turns that tie are ordered by role and text; a null turn
+Edge cases: a null text or role is empty; turns that tie are ordered by a hash of role and text, then by these; a null turn
 comes first; a null conv_id is a conversation of its own; a turn over the budget is a window with the system turn alone
 (``over_budget``); a conversation without assistant turns has no loss.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import pick, read, small_batches, written
+from bookmerge.llm._shared import in_pieces, parts_for, pick, read, written, written_in_parts
 from bookmerge.llm.tokens import definition_of, encoder
 
 BUDGET, HISTORY, STRETCH = 2048, 256, 1 << 17
@@ -173,14 +173,13 @@ def _windows(budget: int, history: int):
 def windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET, history: int = HISTORY, stretch: int = STRETCH) -> DataFrame:
     """conv_id, window (ascending in order), text, n_repeated (turns that the window repeats), loss_spans, tokens, over_budget."""
     spark = turns.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     clean = clean.withColumn("tie", F.xxhash64("role", "text"))
     order = ["conv_id", "turn", "tie", "role", "text"]
+    parts = parts_for(spark, clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     ordered = clean.repartitionByRange(parts, "conv_id", "turn", "tie").sortWithinPartitions(*order).drop("tie").withColumn("part", F.spark_partition_id().cast("long"))
     schema = "kind byte, part long, lead boolean, conv_id long, turn long, role string, text string, tokens long, before long"
-    summed = written(ordered.mapInArrow(_prefix_sums(spark.sparkContext.broadcast(definition_of(tokenizer))), schema), "turn-sums")
+    summed = written(ordered.mapInArrow(in_pieces(_prefix_sums(spark.sparkContext.broadcast(definition_of(tokenizer)))), schema), "turn-sums")
 
     totals = sorted(summed.where("kind = 1").select("part", "lead", "conv_id", "tokens").toLocalIterator(), key=lambda r: (r["part"], not r["lead"]))  # two rows a partition
     bases, carried, conv = [], 0, object()
@@ -205,7 +204,7 @@ def windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET
     system = rows.where("system").drop("stretch").join(ends, one).drop("later_id").withColumnRenamed("later_stretch", "stretch")
     every = rows.withColumn("halo", F.lit(False)).unionByName(halo.withColumn("halo", F.lit(True))).unionByName(system.withColumn("halo", F.lit(True)))
     dealt = every.repartition(parts, "conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", F.desc("system"), "before", "turn", "role", "text")
-    return dealt.mapInArrow(_windows(budget, history), "conv_id long, window long, text string, n_repeated int, loss_spans array<struct<start:bigint,end:bigint>>, tokens long, over_budget boolean")
+    return dealt.mapInArrow(in_pieces(_windows(budget, history)), "conv_id long, window long, text string, n_repeated int, loss_spans array<struct<start:bigint,end:bigint>>, tokens long, over_budget boolean")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +243,6 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = pick(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(extra)
-    made = written(windows(turns), "chat-windows")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made, parts = written_in_parts(windows(turns), "chat-windows")
     ordered = made.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "window")
-    return ordered.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(in_pieces(_read_back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

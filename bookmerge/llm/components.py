@@ -2,7 +2,7 @@
 
 Each round every node takes the least label among its neighbours, hooks its old label to it, and
 then takes its label's label (the steps of FastSV, Zhang, Azad, Hu 2020), so the number of rounds grows with
-the logarithm of a component's diameter. Labels of each round are a table in the shared folder: the
+the logarithm of a component's diameter. Labels of a round are one table in the shared folder: the
 lineage stays short, a lost executor costs a stage, and joins read plain tables, so Spark can split
 a hub's rows. Nothing is gathered on the driver but the number of labels that changed.
 """
@@ -22,12 +22,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = written(both, "edges")
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     while True:
-        seen = both.join(labels.toDF("v", "lv"), "v").groupBy("u").agg(F.min("lv").alias("least"))
-        seen = written(seen, "least").join(labels.toDF("u", "old"), "u").where("least < old")
+        least = both.join(labels.toDF("v", "lv"), "v").groupBy("u").agg(F.min("lv").alias("least"))
+        seen = least.join(labels.toDF("u", "old"), "u").where("least < old")
         moved = seen.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("least").alias("label")), F.struct(F.col("old").alias("node"), F.col("least").alias("label")))).alias("m")).select("m.*")
-        next_labels = written(labels.unionByName(moved).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        jumped = next_labels.alias("l").join(next_labels.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-        jumped = written(jumped, "labels")
-        if jumped.join(labels.toDF("node", "old"), "node").where("label <> old").limit(1).count() == 0:
-            return jumped.toDF("node", "component")
-        labels = jumped
+        before = labels.select("node", "label", F.col("label").alias("old"))
+        hooked = before.unionByName(moved, allowMissingColumns=True).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        roots = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        jumped = written(hooked.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"), "old"), "labels")
+        labels = jumped.select("node", "label")
+        if jumped.where("label <> old").isEmpty():
+            return labels.toDF("node", "component")

@@ -13,14 +13,18 @@ with a hub first; members of long lists whose labels (component so far) still di
 hubs are compared with these; last, every pair of members with different labels. Pairs inside one
 component are skipped, since they can't change it; all others are compared, so the components are those
 of all links. In lists up to ``LONG`` members these are rows of pairs; longer lists (those with the same
-commonest label become one group) are compared in blocks of about ``BLOCK`` members, each pair of blocks by one
+commonest label become one group) are compared in blocks of hashed sets, cut by size first: a block holds about ``BLOCK`` hashes
+and members at most of one class of sizes, and meets those of its own and the next classes, each by one
 product of two 0/1 matrices, which yields links alone. Pairs that fail the size or position bound (with the shingle's place in
 both orders) can't link and are dropped. Candidate texts are written once; pairs are verified on
 whole sets. Keys that the sketch calls heavy are salted over partitions; hubs are found by aggregation.
 
 After Deng, Tao, Li, "Overlap set similarity joins with theoretical guarantees" (SIGMOD 2018), with the
 position bound of Xiao et al., "Efficient similarity joins for near duplicate detection" (2008).
-Classes are told apart by a 64-bit hash of the set and its size.
+Classes are told apart by a 64-bit hash of the set and its size; words and shingles by 64-bit hashes.
+
+``jaccard_classes`` gives components; ``jaccard_links`` gives every link between classes, also inside a component, and
+``link_counts`` the number of links of each document.
 
 Edge cases: a null text or one without words has an empty set and links with nothing, not even another
 empty one; a null doc_id counts as the least id; rows that share a doc_id count as one document for
@@ -33,6 +37,7 @@ import itertools
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +45,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import NULL_ID, id_back, id_or_least, pick, read, small_batches, written
+from bookmerge.llm._shared import NULL_ID, id_back, id_or_least, in_pieces, pick, read, written
 from bookmerge.llm.components import connected_components
 from bookmerge.llm.shingles import shingle_sets
 
 #: Counters of the sketch, as a power of two (16 bits each when broadcast).
 SKETCH_BITS = 23
 CHUNK = 1 << 16
-#: Sizes from which the boundary is chosen.
-LARGEST_LIGHT = 12
+#: Sizes up to which a set's cost as a light or a heavy one is counted (the number of its subsets grows without bound far below).
+LARGEST_LIGHT = 30
 #: Postings by the sketch from which a key is salted, and to which share a salt is cut.
 HEAVY = 4096
-#: Members from which a list is long; random hubs of a long list; members of a block.
-LONG, HUBS, BLOCK = 256, 4, 128
+#: Members from which a list is long; random hubs of a long list.
+LONG, HUBS = 256, 4
+#: Hashes, and members, of a block.
+BLOCK, BLOCK_MEMBERS = 1 << 16, 128
+#: Keys of a partition.
+PART_KEYS = 2_000_000
 PERCENT = 80
 #: Pairs (24 bytes each) up to which their table is broadcast; more are joined by shuffles.
 MAX_BROADCAST = 250_000
@@ -278,16 +287,26 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("x.c").alias("a"), F.col("x.n").alias("an"), F.col("y.c").alias("b"), F.col("y.n").alias("bn")).distinct()
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(d, n_shingles, component) for each row of docs (doc_id, text): d and component stand for null as the least id."""
+@dataclass
+class _Search:
+    """What the candidate search writes: rows of documents, classes of equal sets, pairs of list members with hubs, longer lists, texts."""
+
+    members: DataFrame
+    classes: DataFrame
+    stars: DataFrame
+    lists: DataFrame
+    bodies: DataFrame
+
+
+def _search(docs: DataFrame) -> _Search:
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(id_or_least().alias("d"), "text")
-    first = written(texts.mapInArrow(_first_pass, "kind byte, d long, n long, class long, small binary, chunk int, counts binary"), "shingle-sizes")
+    first = written(texts.mapInArrow(in_pieces(_first_pass), "kind byte, d long, n long, class long, small binary, chunk int, counts binary"), "shingle-sizes")
     members = first.where("kind = 0").select("d", F.col("n").cast("int").alias("n"), "class")
     classes = written(members.where("n > 0").groupBy("class", "n").agg(F.min("d").alias("rep")), "classes")
 
-    sums = first.where("kind = 1").select("chunk", "counts").repartition(8, "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = first.where("kind = 1").select("chunk", "counts").repartition(min(parts, (1 << SKETCH_BITS) // CHUNK), "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.uint16)  # of fixed size
     for r in sums.toLocalIterator():
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<u2")
@@ -298,8 +317,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     n_sets = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # a row a size
     light = boundary({r["n"]: (n_sets.get(r["n"], 0), r["scan"]) for r in scans.collect()})
 
-    keys = texts.select("text").mapInArrow(_keys(sketch, light), "key long, salt int, class long, n int, pos int")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_keys = members.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
+    parts = max(parts, math.ceil(n_keys / PART_KEYS))
+    keys = texts.select("text").mapInArrow(in_pieces(_keys(sketch, light)), "key long, salt int, class long, n int, pos int")
     lists = keys.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "class", "n").mapInArrow(_lists, "key long, class long, n int, pos int, hub long, hub_n int, hub_pos int, third boolean")
     lists = written(lists, "lists")
     stars = written(_pairs(lists), "stars")
@@ -310,9 +330,48 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # Whole texts of the classes that are to be compared, once.
     compared = stars.select(F.col("a").alias("class"), F.col("an").alias("n")).union(stars.select("b", "bn")).union(lists.select("class", "n")).distinct()
     wanted = written(compared.join(classes, ["class", "n"]), "wanted")
-    by_rep = texts.join(wanted.withColumnRenamed("rep", "d").hint("merge"), "d").select("class", "n", "text").mapInArrow(_own_text, "class long, n int, text string")
-    bodies = written(by_rep, "bodies")
+    by_rep = texts.join(wanted.withColumnRenamed("rep", "d").hint("merge"), "d").select("class", "n", "text").mapInArrow(in_pieces(_own_text), "class long, n int, text string")
+    return _Search(members, classes, stars, lists, written(by_rep, "bodies"))
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """pairs (a, an, b, bn) with linked, by their whole sets; written."""
+    text_a, text_b = bodies.toDF("a", "an", "text_a"), bodies.toDF("b", "bn", "text_b")
+    if pairs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # texts stream past the pairs; only those in a pair move
+        with_both = text_a.join(F.broadcast(pairs), ["a", "an"]).join(text_b.join(F.broadcast(pairs), ["b", "bn"]), ["a", "an", "b", "bn"])
+    else:
+        with_both = pairs.join(text_a, ["a", "an"]).join(text_b, ["b", "bn"])
+    return written(with_both.select("a", "an", "b", "bn", "text_a", "text_b").mapInArrow(in_pieces(_verify(PERCENT)), "a long, an int, b long, bn int, linked boolean").distinct(), "judged")
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, (a, an, b, bn) with a class and its size on each side, and (d, class, n) for each row of docs."""
+    found = _search(docs)
+    long_keys = written(found.lists.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LONG).select("key"), "long-keys")
+    short = found.lists.join(long_keys, "key", "left_anti")
+    other = short.select("key", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+    pairs = written(found.stars.unionByName(_pairs(short.join(other, "key"))).distinct(), "pairs")
+    links = _verified(pairs, found.bodies).where("linked").drop("linked")
+    if not long_keys.isEmpty():
+        rows = found.lists.join(long_keys, "key").select("class", "n", F.col("key").alias("group"), F.lit(0).alias("common")).distinct()
+        links = links.unionByName(_block_links(rows, found.bodies)).distinct()
+    return written(links, "links"), found.members.select("d", "class", "n")
+
 
+def link_counts(docs: DataFrame) -> DataFrame:
+    """(d, n_shingles, n_links) for each row of docs: the number of other rows that it links with."""
+    links, members = jaccard_links(docs)
+    sizes = members.where("n > 0").groupBy("class", "n").agg(F.count("*").alias("size"))
+    ways = links.unionByName(links.toDF("b", "bn", "a", "an"))
+    beyond = ways.join(sizes.toDF("b", "bn", "size"), ["b", "bn"]).groupBy("a", "an").agg(F.sum("size").alias("beyond"))
+    of_class = sizes.join(beyond.toDF("class", "n", "beyond"), ["class", "n"], "left").select("class", "n", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    return members.join(of_class, ["class", "n"], "left").select("d", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(d, n_shingles, component) for each row of docs (doc_id, text): d and component stand for null as the least id."""
+    found = _search(docs)
+    members, classes, stars, lists, bodies = found.members, found.classes, found.stars, found.lists, found.bodies
     tried = links = None
 
     def compare(pairs: DataFrame) -> None:
@@ -322,15 +381,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs") if pairs is not stars else pairs
         if pairs.isEmpty() and links is not None:
             return
-        text_a, text_b = bodies.toDF("a", "an", "text_a"), bodies.toDF("b", "bn", "text_b")
-        if pairs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:  # texts stream past the pairs; only those in a pair move
-            with_both = text_a.join(F.broadcast(pairs), ["a", "an"]).join(text_b.join(F.broadcast(pairs), ["b", "bn"]), ["a", "an", "b", "bn"])
-        else:
-            with_both = pairs.join(text_a, ["a", "an"]).join(text_b, ["b", "bn"])
-        judged = written(with_both.select("a", "an", "b", "bn", "text_a", "text_b").mapInArrow(_verify(PERCENT), "a long, an int, b long, bn int, linked boolean").distinct(), "judged")
-        found = judged.where("linked").drop("linked")
+        judged = _verified(pairs, bodies)
+        new = judged.where("linked").drop("linked")
         tried = judged.drop("linked") if tried is None else tried.unionByName(judged.drop("linked"))
-        links = found if links is None else links.unionByName(found)
+        links = new if links is None else links.unionByName(new)
 
     def hub(n: int):
         return F.min(F.struct(F.xxhash64(F.lit(n), "class", "n").alias("h"), F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label")))
@@ -360,7 +414,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rest = short.where("label <> commonest").select("key", F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"))
     compare(_pairs(short.join(rest, "key").where("label <> hub_label")))
     if not long_keys.isEmpty():
-        links = links.unionByName(_block_links(rows.where("long"), bodies))
+        blocked = rows.where("long").select("class", "n", F.col("commonest").alias("group"), (F.col("label") == F.col("commonest")).cast("int").alias("common")).distinct()
+        links = links.unionByName(_block_links(blocked, bodies))
 
     reps = classes.select(F.col("class").alias("c"), F.col("n").alias("m"), "rep")
     edges = links.join(reps.toDF("a", "an", "ra"), ["a", "an"]).join(reps.toDF("b", "bn", "rb"), ["b", "bn"]).select("ra", "rb")
@@ -370,22 +425,30 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return members.join(parts.toDF("d", "component"), "d", "left").select("d", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "d").alias("component"))
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [h.tobytes() for h in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), pa.array(sets, pa.binary())], ["class", "n", "hashes"])
+
+
 def _block_links(rows: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, an, b, bn) among members of long lists that have different labels; rows has class, n, label, commonest."""
-    members = written(rows.select(F.col("commonest").alias("group"), "class", "n", (F.col("label") == F.col("commonest")).cast("int").alias("common")).distinct(), "members")
-    sizes = members.groupBy("group").agg(F.count_if(F.col("common") == 1).alias("k"), F.count_if(F.col("common") == 0).alias("r"))
-    # Blocks of the commonest label first, then those of the rest; a pair of blocks holds a block of the rest.
-    sizes = written(sizes.select("group", F.ceil(F.col("k") / BLOCK).cast("int").alias("k"), F.ceil(F.col("r") / BLOCK).cast("int").alias("r")), "group-sizes")
-    spread = F.xxhash64(F.lit("block"), "class", "n")
-    at = F.when(F.col("common") == 1, F.pmod(spread, "k")).otherwise(F.col("k") + F.pmod(spread, "r")).cast("int")
-    placed = members.join(sizes, "group").withColumn("block", at).select("group", "block", "class", "n")
-    blocks = placed.join(bodies, ["class", "n"]).groupBy("group", "block").agg(F.collect_list(F.struct("class", "n", "text")).alias("sets"))
-    blocks = written(blocks, "blocks")
-    one = F.explode(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1)).alias("i")
-    pairs = sizes.where("r > 0").select("group", "k", "r", one).select("group", "i", F.explode(F.sequence(F.greatest("i", "k"), F.col("k") + F.col("r") - 1)).alias("j"))
-    pairs = written(pairs, "block-pairs")
-    both = pairs.join(blocks.toDF("group", "i", "x"), ["group", "i"]).join(blocks.toDF("group", "j", "y"), ["group", "j"])
-    return written(both.select("x", "y").mapInArrow(_matrix_links(PERCENT), "a long, an int, b long, bn int").distinct(), "block-links")
+    """Links (a, an, b, bn) among the members (class, n) of groups, but for pairs of two ``common`` ones, which are known to be joined.
+
+    Sets that link differ in size by a quarter at most, so a class of sizes meets itself and the next one alone.
+    """
+    tier = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT * (1 + 1e-6))).cast("int")
+    members = written(rows.select("group", "common", tier.alias("tier"), "class", "n"), "members")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_MEMBERS)).cast("int")
+    cells = written(members.groupBy("group", "tier", "common").agg(blocks.alias("k")), "cells")
+    placed = members.join(cells, ["group", "tier", "common"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class", "n"), "k").cast("int"))
+    sets = bodies.join(members.select("class", "n").distinct(), ["class", "n"]).mapInArrow(in_pieces(_hashed), "class long, n int, hashes binary")
+    sets = placed.join(written(sets, "sets"), ["class", "n"]).groupBy("group", "tier", "common", "block").agg(F.collect_list(F.struct("class", "n", "hashes")).alias("sets"))
+    sets = written(sets, "blocks")
+    one, other = cells.toDF("group", "t", "c", "k"), cells.toDF("group", "u", "e", "m")
+    meet = one.join(other, "group").where("c = 0 and abs(t - u) <= 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    meet = written(meet.where(F.col("e").eqNullSafe(1) | (F.struct("t", "i") <= F.struct("u", "j"))).select("group", "t", "c", "i", "u", "e", "j"), "block-pairs")
+    both = meet.join(sets.toDF("group", "t", "c", "i", "x"), ["group", "t", "c", "i"]).join(sets.toDF("group", "u", "e", "j", "y"), ["group", "u", "e", "j"])
+    return written(both.select("x", "y").mapInArrow(in_pieces(_matrix_links(PERCENT)), "a long, an int, b long, bn int").distinct(), "block-links")
 
 
 def _matrix_links(percent: int):
@@ -395,7 +458,7 @@ def _matrix_links(percent: int):
             for row in batch.to_pylist():
                 sides = []
                 for members in (row["x"], row["y"]):
-                    sets = list(shingle_sets([m["text"].encode() for m in members]))
+                    sets = [np.frombuffer(m["hashes"], np.uint64) for m in members]
                     sides.append((members, sets, np.array([len(v) for v in sets])))
                 (mx, sx, nx), (my, sy, ny) = sides
                 shared = np.intersect1d(np.concatenate(sx), np.concatenate(sy))
@@ -405,7 +468,8 @@ def _matrix_links(percent: int):
                     p, q = (_incidence(sets, some) for sets in (sx, sy))
                     both += p @ q.T
                 union = nx[:, None] + ny[None, :] - both
-                out = [(mx[i]["class"], mx[i]["n"], my[j]["class"], my[j]["n"]) for i, j in zip(*np.nonzero(100 * both >= percent * union), strict=True) if (mx[i]["class"], mx[i]["n"]) != (my[j]["class"], my[j]["n"])]
+                ends = lambda i, j: sorted([(mx[i]["class"], mx[i]["n"]), (my[j]["class"], my[j]["n"])])
+                out = [(*p, *q) for p, q in (ends(i, j) for i, j in zip(*np.nonzero(100 * both >= percent * union), strict=True)) if p != q]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import id_or_least, pick, read, small_batches, written
+from bookmerge.llm._shared import id_or_least, in_pieces, pick, read, written, written_in_parts
 
 MIN_POINTS = 10
 _ROW = "h1 long, h2 long, d long, row_key long, pos int, n_lines int"
@@ -108,11 +108,8 @@ def keep_bitmaps(docs: DataFrame, least: int = MIN_POINTS) -> DataFrame:
 
     d is doc_id (null as the least id), row_key a hash of the text; keep_bitmap is zlib over one bit a line.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(id_or_least().alias("d"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(_hash_lines(least), _ROW)
-    rows = written(rows, "lines")  # range bounds and the sort both read it
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(id_or_least().alias("d"), F.xxhash64("text").alias("row_key"), "text").mapInArrow(in_pieces(_hash_lines(least)), _ROW)
+    rows, parts = written_in_parts(rows, "lines")  # range bounds and the sort both read it
     ordered = rows.repartitionByRange(parts, "h1", "h2", "d", "pos", "row_key").sortWithinPartitions("h1", "h2", "d", "pos", "row_key")
     stream = written(ordered.mapInArrow(_first_occurrences, _STREAM), "first-lines")
     # Two rows a partition at most, whatever the data's size.
@@ -147,7 +144,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             done = [kept_text(raw, m) for raw, m in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keep_bitmap").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in done], pa.int64()), batch.column("n_dropped"), pa.array([hashlib.sha256(t).hexdigest() for _, t in done], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return docs.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return docs.mapInArrow(in_pieces(digest), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -166,5 +163,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             columns = [pa.array(done, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in order]
             yield pa.RecordBatch.from_arrays(columns, order)
 
-    out = joined.mapInArrow(apply, ", ".join(f"`{c}` {fields[c]}" for c in order)).toDF(*names)
+    out = joined.mapInArrow(in_pieces(apply), ", ".join(f"`{c}` {fields[c]}" for c in order)).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -1,10 +1,11 @@
 """Packing along a space-filling curve: similar documents become neighbours in training sequences.
 
 A document's ids are hashed into 64 counts, scaled to unit length and projected by fixed random signs
-to four dimensions; the Hilbert index of that point is its key. Documents are range-partitioned and
-sorted by (key, doc_id, hash of the ids) - ids in the range key too, so a group of copies with one key
-spreads over partitions - and every partition fills sequences of 4096 ids with its documents in curve
-order, cutting them where a sequence is full. Only a partition's last sequence can be short; it is
+to four dimensions. Mean and deviation of each over all documents centre the points, and the Hilbert index of a
+centred point is its document's key. Ids are moved in chunks of ``CHUNK``, so a long document is many rows and ranges
+are even in bytes. Chunks are range-partitioned and sorted by (key, doc_id, hash of the ids, chunk) - ids in the range key
+too, so a group of copies with one key spreads over partitions - and every partition fills sequences of 4096 ids with
+its chunks in curve order, cutting them where a sequence is full. Only a partition's last sequence can be short; it is
 cut at powers of two, so that nothing needs padding.
 
 Edge cases: a null or empty text is the end id alone; a null doc_id comes first among equal keys;
@@ -16,16 +17,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import pick, read, small_batches, written
+from bookmerge.llm._shared import in_pieces, pick, read, written_in_parts
 from bookmerge.llm.tokens import definition_of, dtype_for, encoder
 
 LENGTH = 4096
 END_ID = 2
 DIMS, BITS, BUCKETS, SEED = 4, 15, 64, 20240229
+#: Ids of a row that is shuffled.
+CHUNK = 8192
 
 
 def projection() -> np.ndarray:
@@ -64,18 +68,22 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+def points_of(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+    """A point (DIMS numbers) for each document's ids."""
     counts = np.stack([np.bincount((i.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(26), minlength=BUCKETS) for i in ids]).astype(float)
     counts = np.sqrt(counts)
-    counts /= np.maximum(1e-12, np.linalg.norm(counts, axis=1, keepdims=True))
-    points = np.clip((counts @ signs + 1) / 2, 0, 1) * ((1 << BITS) - 1)
-    return hilbert(points.astype(np.int64))
+    return counts / np.maximum(1e-12, np.linalg.norm(counts, axis=1, keepdims=True)) @ signs
 
 
-def token_rows(docs: DataFrame, definition: str, end_id: int = END_ID, with_key: bool = True) -> DataFrame:
-    """(doc_id, curve_key, ids) of every row; ids are little-endian in the tokenizer's narrow type, the end id last."""
+def curve_keys(points: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> np.ndarray:
+    """Hilbert keys; three deviations to each side of the mean fill the grid."""
+    unit = np.clip((points - mean) / np.maximum(1e-12, 6 * deviation) + 0.5, 0, 1)
+    return hilbert((unit * ((1 << BITS) - 1)).astype(np.int64))
+
+
+def token_rows(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, point, ids) of every row; ids are little-endian in the tokenizer's narrow type, the end id last."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(definition)  # a file of fixed size
     signs = projection()
 
@@ -86,10 +94,10 @@ def token_rows(docs: DataFrame, definition: str, end_id: int = END_ID, with_key:
             if not batch.num_rows:
                 continue
             ids = [np.concatenate([x, end]) for x in e.encode(batch.column("text").cast(pa.binary()).to_pylist())]
-            keys = curve_keys(ids, signs) if with_key else np.zeros(len(ids), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "curve_key", "ids"])
+            points = pa.array(points_of(ids, signs).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), points, pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "point", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, curve_key long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_pieces(run), "doc_id long, point array<double>, ids binary")
 
 
 def _pack(dtype: str, length: int):
@@ -111,12 +119,17 @@ def _pack(dtype: str, length: int):
         for batch in batches:
             if part is None and batch.num_rows:
                 part = batch.column("part")[0].as_py() << 40
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for doc, first, total, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
                 ids = np.frombuffer(raw, dtype)
                 at = 0
                 while at < len(ids):
                     take = min(length - filled, len(ids) - at)
-                    open_pieces.append((doc, at, ids[at : at + take], len(ids)))
+                    some = ids[at : at + take]
+                    if open_pieces and first + at and open_pieces[-1][0] == doc and open_pieces[-1][1] + len(open_pieces[-1][2]) == first + at:
+                        doc, begun, held, total = open_pieces.pop()  # the document goes on in this sequence
+                        open_pieces.append((doc, begun, np.concatenate([held, some]), total))
+                    else:
+                        open_pieces.append((doc, first + at, some, total))
                     at += take
                     filled += take
                     if filled == length:
@@ -143,15 +156,25 @@ def _pack(dtype: str, length: int):
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
-    spark = docs.sparkSession
-    definition = definition_of(tokenizer)
-    tokens = written(token_rows(docs, definition, end_id), "curve-tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "curve_key", "doc_id", "tie").sortWithinPartitions("curve_key", "doc_id", "tie")
     from tokenizers import Tokenizer
 
+    definition = definition_of(tokenizer)
     dtype = dtype_for(Tokenizer.from_str(definition).get_vocab_size())
-    return ordered.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part")).mapInArrow(_pack(dtype, length), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    tokens, parts = written_in_parts(token_rows(docs, definition, end_id), "curve-tokens")
+    figures = tokens.agg(*(f(F.col("point")[k]) for f in (F.avg, F.stddev_pop) for k in range(DIMS))).first()  # one row
+    mean, deviation = np.array([v or 0.0 for v in figures]).reshape(2, DIMS)
+
+    @F.pandas_udf("long")
+    def key(points: pd.Series) -> pd.Series:
+        return pd.Series(curve_keys(np.stack(points.tolist()), mean, deviation) if len(points) else np.zeros(0, np.int64))
+
+    width = np.dtype(dtype).itemsize
+    size = F.octet_length("ids")
+    rows = tokens.select("doc_id", key("point").alias("curve_key"), F.xxhash64("ids").alias("tie"), F.expr(f"octet_length(ids) div {width}").alias("doc_tokens"), "ids", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / (CHUNK * width)).cast("int"))).alias("chunk"))
+    rows = rows.select("doc_id", "curve_key", "tie", "doc_tokens", (F.col("chunk").cast("long") * CHUNK).alias("start"), F.substring("ids", F.col("chunk") * (CHUNK * width) + 1, F.lit(CHUNK * width)).alias("ids"))
+    order = ["curve_key", "doc_id", "tie", "start"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "start", "doc_tokens", "ids", F.spark_partition_id().cast("long").alias("part")).mapInArrow(in_pieces(_pack(dtype, length)), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

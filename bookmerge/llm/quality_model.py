@@ -3,12 +3,12 @@
 A document is a bag of 64-word passages. A passage is encoded as byte frequencies, word-shape figures
 and hashed word counts, then through a small hidden layer. Gated attention (Ilse, Tomczak, Welling
 2018) weighs the passages; the weighted mean decides. Encoder, attention and output are learned
-together from document labels, on the driver, over a bounded sample: at most ``MAX_TRAIN`` labelled
-documents, those whose hashed ids are least, of at most ``MAX_TRAIN_PASSAGES`` passages each. Scoring is one
+together from document labels, on the driver, over a bounded sample of whole documents: those whose hashed ids are
+least, at most ``MAX_TRAIN`` of them and as many as have ``MAX_TRAIN_PASSAGES`` passages together (one at least). Scoring is one
 narrow pass over every whole text; the weights it broadcasts have a fixed size. No step shuffles texts.
 
 Labels, lang, source and doc_id are no inputs of a score. Only rows whose crc32(doc_id as text) mod 3
-is not 1 train. Edge cases: a null or empty text is one empty passage; a null doc_id is not held
+is not 1 train. A document labelled both 0 and 1 counts as 1. Edge cases: a null or empty text is one empty passage; a null doc_id is not held
 out; without any usable label every score is 0.5.
 """
 
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import pick, read, small_batches
+from bookmerge.llm._shared import in_pieces, pick, read, written
 
 PASSAGE_WORDS, HASHED, HIDDEN, GATE = 64, 64, 24, 16
-MAX_TRAIN, MAX_TRAIN_PASSAGES, EPOCHS, SEED = 2000, 256, 12, 7
+MAX_TRAIN, MAX_TRAIN_PASSAGES, EPOCHS, SEED = 2000, 1 << 17, 12, 7
 #: Texts are encoded in blocks of about so many bytes.
 BLOCK = 1 << 20
 
@@ -115,7 +115,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
     """Weights by Adam on the log loss of mini-batches of 64 documents."""
     rng = np.random.default_rng(seed)
     w = {"w1": rng.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, HIDDEN)), "b1": np.zeros(HIDDEN), "v": rng.normal(0, 0.3, (HIDDEN, GATE)), "u": rng.normal(0, 0.3, (HIDDEN, GATE)), "a": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
-    fixed = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 0.02}
+    fixed = {"mean": x.mean(axis=0, dtype=float), "scale": x.std(axis=0, dtype=float) + 0.02}
     m, v = {k: np.zeros_like(p) for k, p in w.items()}, {k: np.zeros_like(p) for k, p in w.items()}
     offsets, step = np.cumsum(counts) - counts, 0
     for epoch in range(epochs):
@@ -124,7 +124,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
             docs = order[at : at + 64]
             n = counts[docs]
             rows = np.arange(n.sum()) + np.repeat(offsets[docs] - (np.cumsum(n) - n), n)
-            xb, yb = x[rows], y[docs]
+            xb, yb = x[rows].astype(float), y[docs]
             f = forward(w | fixed, xb, n)
             err = (f["score"] - yb) / len(docs)
             dz = err[:, None] * w["c"]
@@ -152,29 +152,33 @@ def held_out(doc_id: str = "doc_id"):
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = []
+        bags, sizes = [], []
         for x, counts in encode(batch.column("text").cast(pa.binary()).to_pylist()):
-            bags += [part.astype("<f4").tobytes() if len(part) <= MAX_TRAIN_PASSAGES else None for part in np.split(x, np.cumsum(counts)[:-1])]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(bags, pa.binary())], ["quality", "bag"])
+            bags += [part.astype("<f4").tobytes() for part in np.split(x, np.cumsum(counts)[:-1])]
+            sizes += counts.tolist()
+        yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("quality"), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["at", "quality", "n", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_passages: int = MAX_TRAIN_PASSAGES) -> dict[str, np.ndarray] | None:
     """Weights learned from docs (doc_id, text) and labels (doc_id, quality); None where no label is usable."""
-    small_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     sample = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # max_train rows at most
-    got = rows.select("quality", "text", F.xxhash64("doc_id", "text").alias("at")).orderBy("at").select("quality", "text").mapInArrow(_bags, "quality int, bag binary").where("bag is not null").limit(2 * max_train).collect()
-    if not got:
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("at"), "quality", "text")
+    bags = written(rows.mapInArrow(in_pieces(_bags), "at long, quality int, n long, bag binary").orderBy("at", "quality").limit(2 * max_train), "bags")
+    sizes = sorted((r["at"], r["n"]) for r in bags.select("at", "n").collect())  # no more than 2 * max_train rows
+    if not sizes:
         return None
-    x = [np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES) for r in got]
-    return fit(np.concatenate(x).astype(float), np.array([len(b) for b in x]), np.array([r["quality"] for r in got], float))
+    upto = np.cumsum([n for _, n in sizes])
+    last = max(0, int(np.searchsorted(upto, max_passages, side="right")) - 1)
+    got = sorted((r["at"], r["quality"], r["bag"]) for r in bags.where(F.col("at") <= sizes[last][0]).toLocalIterator())
+    x = [np.frombuffer(bag, "<f4").reshape(-1, FEATURES) for _, _, bag in got]
+    return fit(np.concatenate(x), np.array([len(b) for b in x]), np.array([q for _, q, _ in got], float))
 
 
 def score(docs: DataFrame, weights: dict[str, np.ndarray] | None) -> DataFrame:
     """docs (with a text column) plus __score; every passage of every text counts."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)  # fixed size
     names = docs.columns
 
@@ -186,12 +190,12 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray] | None) -> DataFrame:
                 scores.append(forward(w, x, counts)["score"] if w else np.full(len(counts), 0.5))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, "__score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __score double")
+    return docs.mapInArrow(in_pieces(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __score double")
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text")
-    scored = score(docs, train(docs, read(spark, sf_dir, "labels")))
+    scored = score(docs, train(docs, pick(read(spark, sf_dir, "labels"), "doc_id", "quality")))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -199,7 +203,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, with the columns of docs."""
     names = docs.columns
     plain = [f"_c{i}" for i in range(len(names))]
-    weights = train(pick(docs, "doc_id", "text"), read(spark, sf_dir, "labels"))
+    weights = train(pick(docs, "doc_id", "text"), pick(read(spark, sf_dir, "labels"), "doc_id", "quality"))
     at = plain[names.index("text")]
     scored = score(docs.toDF(*plain).withColumnRenamed(at, "text"), weights)
     return scored.where("__score >= 0.5").drop("__score").toDF(*names)

@@ -1,16 +1,17 @@
 """Quality rules: base text rules, then cross-document line frequency by host.
 
 Every text is read once; its base figures and the hashes of its distinct normalised lines go to a
-table in the shared folder. Distinct documents (by a hash of the text: copies of one document count
-once) are counted for each (host, line hash), summed before and after a shuffle on all three keys, so a line that
-half of a host repeats loads no single task. Lines in more documents than the host's limit are
-boilerplate; a document that loses more than ``max_removed`` of its words to them is depleted and is rejected.
-Frequent lines are at most lines / ``min_docs``; they are written, and Spark broadcasts them or not by
+table in the shared folder. Distinct documents are counted for each (host, line hash), summed before and after a shuffle
+on all three keys, so a line that half of a host repeats loads no single task. Lines in more documents than the host's
+limit are boilerplate: ``share`` of its documents, but no less than ``low`` and no more than ``high``, so that small hosts
+have boilerplate and large ones do not keep lines of hundreds of documents. A document that loses more than
+``max_removed`` of its words to them is depleted and is rejected; so are copies of one document beyond the limit.
+Frequent lines are at most lines / ``low``; they are written, and Spark broadcasts them or not by
 the size of that table. Each row also gets the positions of its boilerplate lines, and ``clean`` gives the kept rows
 with texts that lack these lines.
 
 Edge cases: a null or empty text has no words, so it fails the base rules; a null source is a host of
-its own; repeated rows are judged one by one; empty lines are no lines here.
+its own; repeated rows are judged one by one, and rows that share a doc_id (or have none) count as one document; empty lines are no lines here.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import id_or_least, pick, read, small_batches, written
+from bookmerge.llm._shared import id_or_least, in_pieces, pick, read, written
 
 MIN_WORDS = 50
-#: A line is boilerplate in more documents of its host than each of these.
-MIN_DOCS, MAX_SHARE = 20, 0.002
+#: A line is boilerplate in more documents of its host than this share of them, but than LOW at least and HIGH at most.
+SHARE, LOW, HIGH = 0.005, 3, 6
 #: Share of its words that a document may lose to boilerplate.
-MAX_REMOVED = 0.6
+MAX_REMOVED = 0.5
 
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -80,17 +81,17 @@ def _copy(host: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest")]
 
 
-def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, share: float = SHARE, low: int = LOW, high: int = HIGH, max_removed: float = MAX_REMOVED) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, n_boilerplate_words, host, digest and boilerplate (line positions) for each row of docs (doc_id, text, host)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_copy(host, "text"), "text")
     schema = "doc_id long, host string, digest long, " + ", ".join(f"{c} long" for c in _BASE) + ", line_keys array<long>, line_words array<long>, line_at array<array<int>>"
-    parsed = written(rows.mapInArrow(_parse, schema).withColumn("row", F.monotonically_increasing_id()), "line-figures")
+    parsed = written(rows.mapInArrow(in_pieces(_parse), schema).withColumn("row", F.monotonically_increasing_id()), "line-figures")
 
-    sizes = parsed.groupBy("host").agg(F.count_distinct("digest").alias("host_docs"))
-    counts = parsed.select("host", "digest", F.explode("line_keys").alias("line")).groupBy("host", "line").agg(F.count_distinct("digest").alias("n"))
-    frequent = counts.where(F.col("n") > min_docs).join(sizes, "host").where(F.col("n") > max_share * F.col("host_docs")).select("host", "line")
+    doc = id_or_least().alias("d")
+    limit = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), share * F.col("host_docs")))
+    sizes = parsed.select("host", doc).groupBy("host").agg(F.count_distinct("d").alias("host_docs"))
+    counts = parsed.select("host", doc, F.explode("line_keys").alias("line")).groupBy("host", "line").agg(F.count_distinct("d").alias("n"))
+    frequent = counts.where(F.col("n") > low).join(sizes, "host").where(F.col("n") > limit).select("host", "line")
     frequent = written(frequent, "frequent-lines")
 
     lines = parsed.select("host", "row", F.explode(F.arrays_zip("line_keys", "line_words", "line_at")).alias("x")).select("host", "row", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"), F.col("x.line_at").alias("at"))
@@ -119,7 +120,7 @@ def clean(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
                 done.append(b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in left) if left else raw)
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary()).cast(pa.string()) if c == t else batch.column(c) for c in plain], plain)
 
-    out = joined.mapInArrow(apply, rows.schema).toDF(*names)
+    out = joined.mapInArrow(in_pieces(apply), rows.schema).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -19,8 +19,12 @@ dwin as (select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as key
 hit as (select distinct doc_id, i, size, item_id from dwin join win using (size, key)),
 pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from hit) group by doc_id),
 ids as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hit group by doc_id)
-select dw.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join pos using (doc_id) left join ids using (doc_id)
+place as (select doc_id, i, sum(length(gap) + length(word)) over (partition by doc_id order by i) as upto, length(word) as n from (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, unnest(gaps[:len(w)]) as gap
+  from (select doc_id, w, regexp_split_to_array(translate(text, {_LOW}), '{_TOKEN}') as gaps from documents join dw using (doc_id) where doc_id in (select doc_id from hit)))),
+run as (select doc_id, min(p) as a, max(p) as b from (select doc_id, p, p - row_number() over (partition by doc_id order by p) as g from (select distinct doc_id, unnest(range(i, i + size)) as p from hit)) group by doc_id, g),
+said as (select run.doc_id, string_agg(concat(x.upto - x.n, ':', y.upto), ',' order by run.a) as spans from run join place x on x.doc_id = run.doc_id and x.i = run.a join place y on y.doc_id = run.doc_id and y.i = run.b group by run.doc_id)
+select dw.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(spans, '') as spans
+from dw left join pos using (doc_id) left join ids using (doc_id) left join said using (doc_id)
 """
 
 QUALITY_RULES = f"""
@@ -31,8 +35,8 @@ rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i
 l as (select doc_id, host, t, line, regexp_extract_all(line, '{_WORD}') as lw from (select *, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '{_WORD}')),
 k as (select *, translate(array_to_string(lw, ' '), {_LOW}) as key from l),
 dup as (select doc_id, count(*) - count(distinct line) as n from l group by doc_id),
-hosts as (select host, count(distinct t) as docs from d group by host),
-often as (select host, key from (select host, key, count(distinct t) as n from k group by host, key) join hosts using (host) where n > {quality_rules.MIN_DOCS} and n > {quality_rules.MAX_SHARE} * docs),
+hosts as (select host, count(distinct doc_id) as docs from d group by host),
+often as (select host, key from (select host, key, count(distinct doc_id) as n from k group by host, key) join hosts using (host) where n > greatest({quality_rules.LOW}, least({quality_rules.HIGH}, {quality_rules.SHARE} * docs))),
 gone as (select doc_id, sum(len(lw)) as n from k join often using (host, key) group by doc_id),
 b as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, cast(coalesce(gone.n, 0) as bigint) as n_boilerplate_words
   from w left join dup using (doc_id) left join rep using (doc_id) left join gone using (doc_id))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import new_path, pick, read, written
+from bookmerge.llm._shared import in_pieces, new_path, pick, read, written_in_parts
 from bookmerge.llm.packing import END_ID, token_rows
 from bookmerge.llm.tokens import definition_of, dtype_for
 
@@ -102,15 +102,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     definition = definition_of(tokenizer)
     vocabulary = Tokenizer.from_str(definition).get_vocab_size()
     dtype = dtype_for(vocabulary)
-    tokens = written(token_rows(docs, definition, end_id, with_key=False).select("doc_id", "ids"), "tokens")
-    counted = tokens.select("ids").mapInArrow(_count(dtype, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tokens, parts = written_in_parts(token_rows(docs, definition, end_id).select("doc_id", "ids"), "tokens")
+    counted = tokens.select("ids").mapInArrow(in_pieces(_count(dtype, vocabulary)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r["id"] for r in sorted(counted.toLocalIterator(), key=lambda r: (-r["n"], r["id"]))]  # no longer than the vocabulary
     spark.createDataFrame([(order,)], "ids array<int>").write.parquet(f"{path}/ranks")
     rank_of = np.zeros(vocabulary, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = ordered.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("shard")).mapInArrow(_encode(dtype, spark.sparkContext.broadcast(rank_of), block_ids), "shard long, block long, start long, doc_ids array<long>, lengths binary, n_ids long, control binary, data binary")
+    blocks = ordered.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("shard")).mapInArrow(in_pieces(_encode(dtype, spark.sparkContext.broadcast(rank_of), block_ids)), "shard long, block long, start long, doc_ids array<long>, lengths binary, n_ids long, control binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -137,7 +136,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 raw = [ids[a:b].tobytes() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(raw, pa.binary())], ["doc_id", "start", "ids"])
 
-    return blocks.join(F.broadcast(shard_base), "shard").mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.join(F.broadcast(shard_base), "shard").mapInArrow(in_pieces(run), "doc_id long, start long, ids binary")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

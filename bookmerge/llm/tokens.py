@@ -2,7 +2,8 @@
 
 The library encodes pre-token by pre-token, and white space always ends one. So numpy cuts a block of
 texts at white space and, inside words of plain letters and ASCII punctuation, where the one kind
-meets the other; each distinct piece is encoded once and its ids are gathered by its 64-bit hash. Words with
+meets the other; each distinct piece is encoded once and its ids are gathered by its 64-bit hash. A hash only groups:
+pieces of one hash are compared byte by byte, with each other and with the memo, so the ids are those of the bytes. Words with
 anything else (digits, apostrophes, other scripts, a special token's opening) go to the library whole.
 This holds for tokenizers that lower-case, drop white space and split off letters; for others each text
 is encoded as it is.
@@ -75,6 +76,21 @@ def _hashes(starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, low: np.nda
     return h ^ whole.astype(np.uint64)
 
 
+def _unlike(starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, low: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The pieces that differ from their hash's first piece."""
+    lens = ends - starts
+    differs = (lens != lens[first]) | (whole != whole[first])
+    same = np.flatnonzero(~differs & (first != np.arange(len(first))))
+    if len(same):
+        n = lens[same]
+        begin = np.cumsum(n) - n
+        pos = np.arange(int(n.sum())) - np.repeat(begin, n)
+        wrong = low[pos + np.repeat(starts[same], n)] != low[pos + np.repeat(starts[first[same]], n)]
+        if wrong.any():
+            differs[same[np.logical_or.reduceat(wrong, begin)]] = True
+    return np.flatnonzero(differs)
+
+
 class Encoder:
     """Encodes texts (as UTF-8 bytes) to ids of ``dtype``; one for each worker process."""
 
@@ -86,24 +102,26 @@ class Encoder:
         self.dtype = dtype_for(self.tokenizer.get_vocab_size())
         self.by_piece = shape["model"].get("end_of_word_suffix") == "</w>" and "'Lowercase'" in str(shape.get("normalizer")) and "[^\\s\\p{L}\\p{N}]+" in json.dumps(shape.get("pre_tokenizer")).replace("\\\\", "\\")
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.memo: dict[int, bytes] = {}
+        self.memo: dict[int, tuple[bytes, bool, bytes]] = {}  # by hash: the piece, whether it is taken whole, and its ids
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.dtype == "<u2" else "I", ids).tobytes()
 
-    def _learn(self, keys: list[int], texts: list[bytes], whole: list[bool]) -> None:
-        model, odd = self.tokenizer.model, []
-        for key, raw, as_is in zip(keys, texts, whole, strict=True):
+    def _ids_of(self, pieces: list[tuple[bytes, bool]]) -> list[bytes]:
+        """The packed ids of pieces (bytes, whether taken whole)."""
+        model, out, odd = self.tokenizer.model, [b""] * len(pieces), []
+        for n, (raw, as_is) in enumerate(pieces):
             if as_is or not (raw[0] >= 0x80 or 97 <= raw[0] <= 122):
-                odd.append((key, raw.decode("utf-8", "replace")))
+                odd.append(n)
             else:  # a run of letters is one pre-token, so the model can take it as it is
                 text = raw.decode()
                 mapped = text if text.isascii() else self.byte_level.pre_tokenize_str(text)[0][0]
-                self.memo[key] = self._pack([token.id for token in model.tokenize(mapped)])
+                out[n] = self._pack([token.id for token in model.tokenize(mapped)])
         for at in range(0, len(odd), 10_000):
             some = odd[at : at + 10_000]
-            for (key, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
-                self.memo[key] = self._pack(e.ids)
+            for n, e in zip(some, self.tokenizer.encode_batch_fast([pieces[n][0].decode("utf-8", "replace") for n in some], add_special_tokens=False), strict=True):
+                out[n] = self._pack(e.ids)
+        return out
 
     def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b" ".join(texts) + b" "
@@ -113,14 +131,29 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
         hashes, at, inverse = np.unique(_hashes(starts, ends, whole, low), return_index=True, return_inverse=True)
+        source = low.tobytes()
+        pieces = [(source[a:b], w) for a, b, w in zip(starts[at].tolist(), ends[at].tolist(), whole[at].tolist(), strict=True)]
         keys = hashes.tolist()
+        others: dict[tuple[bytes, bool], int] = {}
+        for i in _unlike(starts, ends, whole, low, at[inverse]).tolist():  # one hash, but other bytes
+            piece = source[starts[i] : ends[i]], bool(whole[i])
+            if piece not in others:
+                others[piece] = len(pieces)
+                pieces.append(piece)
+            inverse[i] = others[piece]
         if len(self.memo) + len(keys) > MEMO_PIECES:  # what it met first stays: frequent pieces come early
             self.memo = dict(itertools.islice(self.memo.items(), MEMO_PIECES // 2))
-        missing = [i for i, k in enumerate(keys) if k not in self.memo]
-        if missing:
-            source, which = low.tobytes(), at[missing]
-            self._learn([keys[i] for i in missing], [source[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], whole[which].tolist())
-        found = [self.memo[k] for k in keys]
+        found, missing = [b""] * len(pieces), list(range(len(keys), len(pieces)))
+        for n, (key, piece) in enumerate(zip(keys, pieces, strict=False)):
+            known = self.memo.get(key)
+            if known is not None and known[:2] == piece:
+                found[n] = known[2]
+            else:
+                missing.append(n)
+        for n, ids in zip(missing, self._ids_of([pieces[n] for n in missing]), strict=True):
+            found[n] = ids
+            if n < len(keys):
+                self.memo[keys[n]] = (*pieces[n], ids)
         width = np.dtype(self.dtype).itemsize
         flat = np.frombuffer(b"".join(found), self.dtype)
         counts = np.fromiter(map(len, found), np.int64, len(found)) // width

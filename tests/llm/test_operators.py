@@ -97,7 +97,7 @@ def test_op1_spans_and_blocks(spark, world, monkeypatch):
 
     docs, bench = spark.read.parquet(f"{world[0]}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{world[0]}/benchmark.parquet")
     one = {(r["doc_id"], r["n_hit"], tuple(r["item_ids"]), tuple(map(tuple, r["spans"]))) for r in D.decontaminate(docs, bench).collect()}
-    monkeypatch.setattr(D, "AUTOMATON_BYTES", 40)  # several automata, one pass after the other
+    monkeypatch.setattr(D, "ITEM_BYTES", 40)  # several automata, one pass after the other
     assert one == {(r["doc_id"], r["n_hit"], tuple(r["item_ids"]), tuple(map(tuple, r["spans"]))) for r in D.decontaminate(docs, bench).collect()}
     texts = {r["doc_id"]: r["text"] for r in world[1]["documents"]}
     for doc, n_hit, _, spans in one:
@@ -123,7 +123,7 @@ def test_op2_boilerplate(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     frame = " ".join(f"menu{k}" for k in range(200))
     rows = [(i, f"{frame}\n{own(i)}" if i < 8 else own(i), "h" if i % 4 else "g") for i in range(40)]
-    got = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=3, max_share=0.0).collect()}
+    got = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), low=3, high=3).collect()}
     assert {i for i, r in got.items() if not r["kept"]} == {1, 2, 3, 5, 6, 7}  # on host g the frame is in two documents only
     assert got[1]["n_boilerplate_words"] == 200
 
@@ -141,7 +141,7 @@ def test_op2_removes_boilerplate_lines(spark):
             lines = [x for x in text.split("\n") if host is None or " ".join(x.lower().split()) != "home about us contact"]
             want.append((i, "\n".join(lines), host, len("\n".join(lines))))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
-    got = clean(docs, min_docs=3, max_share=0.0)
+    got = clean(docs, low=3, high=3)
     assert got.schema == docs.schema
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
@@ -454,7 +454,7 @@ def test_op10_near_copies_in_blocks(spark, monkeypatch):
     from bookmerge.llm import jaccard_join as J
 
     monkeypatch.setattr(J, "LONG", 15)
-    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 8)
     monkeypatch.setattr(J, "HEAVY", 20)
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(400)]
