@@ -18,7 +18,7 @@ win as (select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') a
 dwin as (select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as key from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from dw, (select distinct size from win))),
 hit as (select distinct doc_id, i, size, item_id from dwin join win using (size, key)),
 pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from hit) group by doc_id),
-ids as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hit group by doc_id)
+ids as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hit group by doc_id),
 place as (select doc_id, i, sum(length(gap) + length(word)) over (partition by doc_id order by i) as upto, length(word) as n from (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, unnest(gaps[:len(w)]) as gap
   from (select doc_id, w, regexp_split_to_array(translate(text, {_LOW}), '{_TOKEN}') as gaps from documents join dw using (doc_id) where doc_id in (select doc_id from hit)))),
 run as (select doc_id, min(p) as a, max(p) as b from (select doc_id, p, p - row_number() over (partition by doc_id order by p) as g from (select distinct doc_id, unnest(range(i, i + size)) as p from hit)) group by doc_id, g),
