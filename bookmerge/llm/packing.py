@@ -81,8 +81,8 @@ def curve_keys(points: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> n
     return hilbert((unit * ((1 << BITS) - 1)).astype(np.int64))
 
 
-def token_rows(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, point, ids) of every row; ids are little-endian in the tokenizer's narrow type, the end id last."""
+def token_rows(docs: DataFrame, definition: str, end_id: int = END_ID, with_point: bool = True) -> DataFrame:
+    """(doc_id, point, ids) of every row (point is null unless asked for); ids are little-endian in the tokenizer's narrow type, the end id last."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(definition)  # a file of fixed size
     signs = projection()
@@ -94,7 +94,7 @@ def token_rows(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFr
             if not batch.num_rows:
                 continue
             ids = [np.concatenate([x, end]) for x in e.encode(batch.column("text").cast(pa.binary()).to_pylist())]
-            points = pa.array(points_of(ids, signs).tolist(), pa.list_(pa.float64()))
+            points = pa.array(points_of(ids, signs).tolist() if with_point else [None] * len(ids), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), points, pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "point", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_pieces(run), "doc_id long, point array<double>, ids binary")

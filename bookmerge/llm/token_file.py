@@ -102,7 +102,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     definition = definition_of(tokenizer)
     vocabulary = Tokenizer.from_str(definition).get_vocab_size()
     dtype = dtype_for(vocabulary)
-    tokens, parts = written_in_parts(token_rows(docs, definition, end_id).select("doc_id", "ids"), "tokens")
+    tokens, parts = written_in_parts(token_rows(docs, definition, end_id, with_point=False).select("doc_id", "ids"), "tokens")
     counted = tokens.select("ids").mapInArrow(in_pieces(_count(dtype, vocabulary)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r["id"] for r in sorted(counted.toLocalIterator(), key=lambda r: (-r["n"], r["id"]))]  # no longer than the vocabulary
     spark.createDataFrame([(order,)], "ids array<int>").write.parquet(f"{path}/ranks")

@@ -3,7 +3,7 @@
 The library encodes pre-token by pre-token, and white space always ends one. So numpy cuts a block of
 texts at white space and, inside words of plain letters and ASCII punctuation, where the one kind
 meets the other; each distinct piece is encoded once and its ids are gathered by its 64-bit hash. A hash only groups:
-pieces of one hash are compared byte by byte, with each other and with the memo, so the ids are those of the bytes. Words with
+pieces of one hash are compared byte by byte, and the memo goes by bytes, so the ids are those of the bytes. Words with
 anything else (digits, apostrophes, other scripts, a special token's opening) go to the library whole.
 This holds for tokenizers that lower-case, drop white space and split off letters; for others each text
 is encoded as it is.
@@ -62,33 +62,40 @@ def _pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return edges[:-1][keep], edges[1:][keep], kinds[keep] == _ODD, low
 
 
-def _hashes(starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, low: np.ndarray) -> np.ndarray:
+#: Bytes of a piece whose key is the piece itself.
+SHORT = 7
+_BYTE = np.uint64(1) << (np.arange(SHORT, dtype=np.uint64) * np.uint64(8))
+_WHOLE, _LONG = np.uint64(1 << 56), np.uint64(1 << 63)
+
+
+def _piece_keys(starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A key for each piece: the bytes themselves up to ``SHORT``, else a hash (with the highest bit), which other pieces may share."""
     lens = ends - starts
-    total = int(lens.sum())
     first = np.cumsum(lens) - lens
-    pos = np.arange(total) - np.repeat(first, lens)
-    powers = np.cumprod(np.full(int(lens.max()), _BASE | np.uint64(1)), dtype=np.uint64)
-    values = (low[pos + np.repeat(starts, lens)].astype(np.uint64) + np.uint64(1)) * powers[pos]
+    pos = np.arange(int(lens.sum())) - np.repeat(first, lens)
+    powers = np.concatenate([_BYTE, np.cumprod(np.full(int(lens.max()), _BASE | np.uint64(1)), dtype=np.uint64)])
+    long = lens > SHORT
+    values = low[pos + np.repeat(starts, lens)].astype(np.uint64) * powers[pos + np.repeat(np.where(long, SHORT, 0), lens)]
     h = np.add.reduceat(values, first)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    return h ^ whole.astype(np.uint64)
+    mixed = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.where(long, (mixed ^ mixed >> np.uint64(27)) | _LONG, h) ^ np.where(whole, _WHOLE, np.uint64(0))
 
 
 def _unlike(starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, low: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The pieces that differ from their hash's first piece."""
+    """The long pieces that differ from their hash's first piece."""
     lens = ends - starts
-    differs = (lens != lens[first]) | (whole != whole[first])
-    same = np.flatnonzero(~differs & (first != np.arange(len(first))))
+    others = np.flatnonzero((lens > SHORT) & (first != np.arange(len(first))))
+    head = first[others]
+    differs = (lens[others] != lens[head]) | (whole[others] != whole[head])
+    same = np.flatnonzero(~differs)
     if len(same):
-        n = lens[same]
+        n = lens[others[same]]
         begin = np.cumsum(n) - n
         pos = np.arange(int(n.sum())) - np.repeat(begin, n)
-        wrong = low[pos + np.repeat(starts[same], n)] != low[pos + np.repeat(starts[first[same]], n)]
+        wrong = low[pos + np.repeat(starts[others[same]], n)] != low[pos + np.repeat(starts[head[same]], n)]
         if wrong.any():
             differs[same[np.logical_or.reduceat(wrong, begin)]] = True
-    return np.flatnonzero(differs)
+    return others[differs]
 
 
 class Encoder:
@@ -102,7 +109,7 @@ class Encoder:
         self.dtype = dtype_for(self.tokenizer.get_vocab_size())
         self.by_piece = shape["model"].get("end_of_word_suffix") == "</w>" and "'Lowercase'" in str(shape.get("normalizer")) and "[^\\s\\p{L}\\p{N}]+" in json.dumps(shape.get("pre_tokenizer")).replace("\\\\", "\\")
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.memo: dict[int, tuple[bytes, bool, bytes]] = {}  # by hash: the piece, whether it is taken whole, and its ids
+        self.memo: dict[int | bytes, bytes] = {}  # ids by the key of a short piece or the bytes of a long one (with a blank if it is taken whole)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.dtype == "<u2" else "I", ids).tobytes()
@@ -130,30 +137,26 @@ class Encoder:
         starts, ends, whole, low = _pieces(buf)
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
-        hashes, at, inverse = np.unique(_hashes(starts, ends, whole, low), return_index=True, return_inverse=True)
+        found, at, inverse = np.unique(_piece_keys(starts, ends, whole, low), return_index=True, return_inverse=True)
+        n_short = int(np.searchsorted(found, _LONG))
         source = low.tobytes()
-        pieces = [(source[a:b], w) for a, b, w in zip(starts[at].tolist(), ends[at].tolist(), whole[at].tolist(), strict=True)]
-        keys = hashes.tolist()
-        others: dict[tuple[bytes, bool], int] = {}
+        long = lambda i: source[starts[i] : ends[i]] + b" " * int(whole[i])
+        keys = found[:n_short].tolist() + [source[a:b] for a, b in zip(starts[at[n_short:]].tolist(), ends[at[n_short:]].tolist(), strict=True)]
+        for n in (n_short + np.flatnonzero(whole[at[n_short:]])).tolist():
+            keys[n] = long(at[n])
+        others: dict[bytes, int] = {}
         for i in _unlike(starts, ends, whole, low, at[inverse]).tolist():  # one hash, but other bytes
-            piece = source[starts[i] : ends[i]], bool(whole[i])
-            if piece not in others:
-                others[piece] = len(pieces)
-                pieces.append(piece)
-            inverse[i] = others[piece]
+            if long(i) not in others:
+                others[long(i)] = len(keys)
+                keys.append(long(i))
+            inverse[i] = others[long(i)]
         if len(self.memo) + len(keys) > MEMO_PIECES:  # what it met first stays: frequent pieces come early
             self.memo = dict(itertools.islice(self.memo.items(), MEMO_PIECES // 2))
-        found, missing = [b""] * len(pieces), list(range(len(keys), len(pieces)))
-        for n, (key, piece) in enumerate(zip(keys, pieces, strict=False)):
-            known = self.memo.get(key)
-            if known is not None and known[:2] == piece:
-                found[n] = known[2]
-            else:
-                missing.append(n)
-        for n, ids in zip(missing, self._ids_of([pieces[n] for n in missing]), strict=True):
-            found[n] = ids
-            if n < len(keys):
-                self.memo[keys[n]] = (*pieces[n], ids)
+        found = list(map(self.memo.get, keys))
+        missing = [n for n, ids in enumerate(found) if ids is None]
+        pieces = [(source[starts[at[n]] : ends[at[n]]], bool(whole[at[n]])) if n < n_short else (keys[n].rstrip(b" "), keys[n].endswith(b" ")) for n in missing]
+        for n, ids in zip(missing, self._ids_of(pieces), strict=True):
+            found[n] = self.memo[keys[n]] = ids
         width = np.dtype(self.dtype).itemsize
         flat = np.frombuffer(b"".join(found), self.dtype)
         counts = np.fromiter(map(len, found), np.int64, len(found)) // width
