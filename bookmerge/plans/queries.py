@@ -278,13 +278,34 @@ def apply_result(spark, d):
 _WRITE_LEFT = "case when source = 'google' and left_id is not null then false else true end"
 
 
-@query(f"""with recursive {T.TWO_WAY}, {_OUTCOME}, ok as (select *, {_WRITE_LEFT} as to_left from done where outcome in ('added', 'updated', 'merged')),
-nl as (select count(*) as n from (select id from l union all select 'new' || right_id from ok where outcome = 'added' and to_left)), nr as (select count(*) as n from (select id from r union all select 'new' || left_id from ok where outcome = 'added' and not to_left))
-select 'google' as side, n from nl union all select 'mac', n from nr""")
+_RECORD = ["given_name", "middle_name", "family_name", "organization", "job_title", "nickname", "phones", "emails", "urls"]
+
+
+def _plain_record(t: str) -> str:
+    return f"{t}.given_name, {t}.middle_name, {t}.family_name, {t}.organization_name as organization, {t}.job_title, {t}.nickname, coalesce({t}.phone, '') as phones, coalesce({t}.email, '') as emails, coalesce({t}.url, '') as urls"
+
+
+def _joined_lists() -> str:
+    """Phones, emails and urls of x, then those of y that x has not."""
+    rest = lambda c, x, y: f"concat_ws(';', x.{c}, case when x.{c} is null or {x} <> {y} then y.{c} end)"
+    return f"{rest('phone', T.digits('x.phone'), T.digits('y.phone'))} as phones, {rest('email', 'lower(x.email)', 'lower(y.email)')} as emails, {rest('url', 'lower(x.url)', 'lower(y.url)')} as urls"
+
+
+_FILLED = ", ".join(f"case when x.{c} is not null and x.{c} <> '' then x.{c} else y.{c} end as {n}" for c, n in (("given_name", "given_name"), ("middle_name", "middle_name"), ("family_name", "family_name"), ("organization_name", "organization"), ("job_title", "job_title"), ("nickname", "nickname")))
+_NEW_ID = "substr(sha256({}), 1, 16)"
+
+
+@query(f"""with recursive {T.TWO_WAY}, {_OUTCOME}, ok as (select *, coalesce(user_override, action) as act, {_WRITE_LEFT} as to_left from done where outcome in ('added', 'updated', 'merged')),
+made as (select 'mac' as side, coalesce(ok.right_id, 'mac/new-' || {_NEW_ID.format('ok.left_id')}) as id, {_plain_record('x')} from ok join l x on x.id = ok.left_id where not to_left and act <> 'merge'
+  union all select 'google', coalesce(ok.left_id, 'people/new-' || {_NEW_ID.format('ok.right_id')}), {_plain_record('y')} from ok join r y on y.id = ok.right_id where to_left and act <> 'merge'
+  union all select side, case side when 'google' then x.id else y.id end, {_FILLED}, {_joined_lists()} from ok join l x on x.id = ok.left_id join r y on y.id = ok.right_id cross join (select unnest(['google', 'mac']) as side) where act = 'merge')
+select * from made union all select 'google', x.id, {_plain_record('x')} from l x where id not in (select id from made where side = 'google') union all select 'mac', y.id, {_plain_record('y')} from r y where id not in (select id from made where side = 'mac')""")
 def apply_books(spark, d):
+    """Every record of both books after the plan."""
     out = A.with_outcomes(_plan(spark, d), _ledger(spark, d), SYNC)
     left, right = A.apply_books(out, X.left_book(spark, d), X.right_book(spark, d), settings=SYNC)
-    return left.select(F.lit("google").alias("side")).unionByName(right.select(F.lit("mac").alias("side"))).groupBy("side").agg(F.count("*").alias("n"))
+    told = lambda book, side: book.select(F.lit(side).alias("side"), F.col("contact_id").alias("id"), *(F.array_join(C.values(F.col(f)), ";").alias(f) if f in ("phones", "emails", "urls") else F.col(f) for f in _RECORD))
+    return told(left, "google").unionByName(told(right, "mac"))
 
 
 @query(f"""with recursive {T.TWO_WAY}, {_OUTCOME}, half as (select * from done where coalesce(user_override, action) in ('add', 'update') and not ({_WRITE_LEFT})),
@@ -447,17 +468,15 @@ def people_page_parse(spark, d):
     return out.select(F.col("contact_id").alias("id"), "given_name", "family_name", "organization", F.get("emails", F.lit(0))["value"].alias("email"), F.get("emails", F.lit(0))["label"].alias("label"), "group", "photo_url", "update_time")
 
 
-@query()
+@query(SQL["coalesce_bursts"])
 def stream_bursts(spark, d):
     from bookmerge.streaming import runs
 
     return runs.bursts(spark, d)
 
 
-@query()
+@query(SQL["strike_ledger"])
 def stream_strikes(spark, d):
     from bookmerge.streaming import runs
 
     return runs.strikes(spark, d)
-
-

@@ -49,7 +49,82 @@ def test_lossless_pairs_equal_exhaustive_ones(spark):
     assert found[0] == found[1] and len(found[0]) > 20
 
 
-def test_linkage_equals_choice_in_order(spark):
+@pytest.mark.parametrize("settings", [Settings(), Settings(confirm_score=30), Settings(ai_matching=False)])
+def test_lossless_pairs_of_bare_records(spark, settings):
+    """Records without email and phone, with nicknames, one-letter given names and names that split otherwise; within a book and across two."""
+    import random
+
+    rnd = random.Random(12)
+    pick = lambda *xs: rnd.choice(xs)
+    full = lambda: pick(("J", "Smith"), ("Jon", "Smith"), ("Ann Lee", "Wu"), ("Ann", "Lee Wu"), ("Bo", "Li"), ("Bob", "Li"))
+    made = lambda tag: [person(f"{tag}{i:03}", *full(), pick(None, None, f"u{i % 5}@x.test"), pick(None, None, f"55512345{i % 7}"), nickname=pick(None, "", "Jon", "an", "bo"), organization=pick(None, "Acme", "Beta"), addresses=[(pick("", "1 Main"), "", "", "", "", None, "home")]) for i in range(50)]
+    a, b = (matching.prepared(book(spark, *made(t))) for t in "pq")
+    for other in (None, b):
+        found = [{tuple(r) for r in matching.scored(matching.candidate_pairs(a, other, mode=m, settings=settings), settings).select("id_a", "id_b", "score", "effective").collect()} for m in ("lossless", "exhaustive")]
+        assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_hot_keys_are_told_and_their_records_stay_together(spark):
+    ready = matching.prepared(book(spark, *(person(f"p{i:02}", f"N{i}", "X", "info@x.test") for i in range(30)), person("q", "A", "B", "a@x.test"), person("r", "C", "D", "a@x.test")))
+    assert [tuple(r) for r in matching.hot_keys(ready, max_key_fanout=10).collect()] == [("E:info@x.test", 30)]
+    got = {tuple(r) for r in matching.candidate_pairs(ready, max_key_fanout=10).select("id_a", "id_b").collect()}
+    assert got == {("p00", f"p{i:02}") for i in range(1, 30)} | {("q", "r")}
+
+
+def test_fold_equals_merges_one_by_one(spark):
+    import random
+
+    rnd = random.Random(5)
+    pick = lambda *xs: rnd.choice(xs)
+    many = lambda *xs: [(pick(*xs), pick("home", "work")) for _ in range(rnd.randrange(4))]
+    rows = [person(f"g{i:02}", pick("", "Ann", "Bo", None), pick("", "Lee", None), note=pick(None, "", "n1", "n2"), photo_url=pick(None, "u"), phones=many("1-2", "12", "3"), emails=many("a@x", "A@x", "b@x"), urls=many("u", "U", "v"), addresses=[(pick("1 a", "1 A", "2 b"), "s", "", "", "", None, "home") for _ in range(rnd.randrange(4))], nickname=pick(None, "", "k")) for i in range(40)]
+    from bookmerge.functions import contacts as C
+
+    members = C.as_struct(book(spark, *rows), "c").withColumn("group", (F.substring("c.contact_id", 2, 2).cast("int") % 12).cast("string"))
+    got = {r["group"]: r["merged"] for r in merge.fold_merge(members).collect()}
+    rank = F.struct((-C.data_score(F.col("c"))).alias("score"), F.col("c.contact_id").alias("id"), F.col("c").alias("c"))
+    in_order = members.groupBy("group").agg(F.array_sort(F.collect_list(rank)).alias("g"))
+    step = lambda acc, x: merge.merge_dedup(acc, x["c"]).cast(merge_type)
+    merge_type = members.schema["c"].dataType.simpleString()
+    plain = in_order.select("group", F.aggregate(F.slice("g", F.lit(2), F.size("g")), F.get("g", F.lit(0))["c"].cast(merge_type), step).alias("merged"))
+    assert got == {r["group"]: r["merged"] for r in plain.collect()}
+
+
+def test_several_records_merge_into_one(spark):
+    """Linked right records come after each other: the left one ends with the data of all."""
+    left = book(spark, person("g", "Ann", "", "a@x.test", job_title="Boss"))
+    right = book(spark, *(person(f"m{i}", "Ann", "Lee", f"a{i}@x.test", side="mac") for i in range(3)))
+    plan = "name string, action string, direction string, changes array<string>, user_override string, source string, left_id string, right_id string"
+    rows = [("x", "merge", "twoWay", ["Matched an existing Google contact"], "merge", "google", "g", f"m{i}") for i in range(3)]
+    done = A.with_outcomes(spark.createDataFrame(rows, plan), spark.createDataFrame([], "id string, failure_count int, ignored boolean"))
+    a, b = A.apply_books(done, left, right)
+    mails = lambda r: [e["value"] for e in r["emails"]]
+    (one,) = a.collect()
+    assert mails(one) == ["a@x.test", "a0@x.test", "a1@x.test", "a2@x.test"] and one["family_name"] == "Lee"
+    assert {r["contact_id"]: mails(r) for r in b.collect()} == {f"m{i}": mails(one)[: i + 2] for i in range(3)}
+
+
+def test_countries_come_from_the_platform(spark):
+    from bookmerge.functions import normalize as N
+
+    rows = [("x", " de "), ("  france ", None), ("Nowhere", ""), (None, "QQ")]
+    got = spark.createDataFrame(rows, "c string, k string").select(N.normalize_country(F.col("c"), F.col("k")).alias("n")).select("n.*").collect()
+    assert [tuple(r) for r in got] == [("Germany", "DE"), ("France", "FR"), ("Nowhere", ""), (None, "QQ")] and len(N.countries()) > 240
+
+
+def test_name_families_are_a_parameter(spark, tmp_path):
+    from bookmerge.functions import names as M
+    from bookmerge.sources import stores
+
+    (tmp_path / "families.txt").write_text("Zed, zeddy\n\nann,zed\n")
+    found = stores.load_nicknames(spark, f"{tmp_path}/families.txt")
+    df = spark.createDataFrame([("Zed",), ("zeddy",), ("Ann",), ("Bob",)], "g string")
+    assert [r[0] for r in df.select(M.nickname_group(F.col("g"), found)).collect()] == [1, 0, 1, None]
+
+
+@pytest.mark.parametrize("most_rows", [linkage.MOST_ROWS, 0])
+def test_linkage_equals_choice_in_order(spark, most_rows):
+    """Groups settled by one task, and the same by rounds."""
     import random
 
     rnd = random.Random(7)
@@ -64,7 +139,7 @@ def test_linkage_equals_choice_in_order(spark):
                 used.add(b["contact_id"])
                 want[a["contact_id"]] = b["contact_id"]
                 break
-    got = {r["left_id"]: r["right_id"] for r in linkage.link_fuzzy(book(spark, *left), book(spark, *right)).collect()}
+    got = {r["left_id"]: r["right_id"] for r in linkage.link_fuzzy(book(spark, *left), book(spark, *right), most_rows).collect()}
     assert got == want
 
 
