@@ -151,7 +151,7 @@ def ledger_after_events(spark, d):  # K12
     return logs.apply_ledger_events(old, events).select("id", "failure_count", "ignored")
 
 
-@query("""with c as (select c_custkey as k from customer), m as (select k, case when k % 5 = 0 then 'new' else 'old' end as v from c where k % 3 <> 0 or k % 5 = 0) select k, v, k % 7 = 0 as unlinked from m where k % 11 <> 0""")
+@query("""with c as (select c_custkey as k from customer), m as (select k, case when k % 5 = 0 then 'new' else 'old' end as v from c where k % 3 <> 0 or k % 5 = 0) select k, v, k % 7 = 0 as unlinked, k % 7 <> 0 as struck from m where k % 11 <> 0""")
 def mapping_store(spark, d):  # K04, K11, O39, W07, X02
     """Upserts (the latest of two changes a key), deletions and unlinked rows of a store."""
     k = F.col("c_custkey").alias("k")
@@ -163,8 +163,9 @@ def mapping_store(spark, d):  # K04, K11, O39, W07, X02
     ledger = now.select(F.concat(F.lit("google:"), F.col("k").cast("string")).alias("id"))
     left, strikes = logs.unlink(mapping, ledger, c.where("k % 7 = 0").select(F.col("k").cast("string").alias("google_resource_name")))
     dropped = logs.minus_ids(now.select(F.col("k").alias("id")), left.select(F.col("k").alias("id"))).select(F.col("id").alias("k"))
-    assert strikes.columns == ["id"]
-    return now.join(dropped.withColumn("unlinked", F.lit(True)), "k", "left").select("k", "v", F.coalesce("unlinked", F.lit(False)).alias("unlinked"))
+    struck = strikes.select(F.regexp_extract("id", "[0-9]+", 0).cast("long").alias("k"), F.lit(True).alias("struck"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return now.join(dropped.withColumn("unlinked", F.lit(True)), "k", "left").join(struck, "k", "left").select("k", "v", flag("unlinked"), flag("struck"))
 
 
 _SESSIONS = "s as (select o_orderkey % 40 as id, max(o_orderdate) as ts, count(*) as n from orders group by 1)"
