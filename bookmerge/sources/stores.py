@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from bookmerge.operators.logs import latest_per_key
 from bookmerge.schemas import DECISION, EVENT, FAILURE, MAPPING, SESSION, VERSION
@@ -43,8 +42,7 @@ def load_failures(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:  # S11
     """Session index in the summary or the older full form, as summaries."""
-    full = StructType.fromDDL(SESSION).add("contact_versions", "array<struct<id:string>>")
-    rows = spark.read.schema(full).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(f"{SESSION}, contact_versions array<struct<id:string>>").option("mode", "FAILFAST").json(path)
     return rows.withColumn("version_count", F.coalesce("version_count", F.when(F.col("contact_versions").isNotNull(), F.size("contact_versions")))).drop("contact_versions")
 
 

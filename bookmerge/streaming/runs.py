@@ -51,3 +51,26 @@ def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _start(e, folder).foreachBatch(jobs.strike_batches(save)).start().awaitTermination()
     parts = spark.read.schema("key string, kind string, at struct<timestamp:timestamp,seq:long>, n long").parquet(f"{folder}/out")
     return jobs.strike_totals(parts).select("key", "strikes", F.col("skip").cast("int").alias("skip"))
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user: a change feed that micro-batches put into a stored book, each as a new table."""
+    e = _events(spark, sf_dir).select(F.col("user_id").cast("long").alias("key"), "event_type", F.col("event_id").cast("long").alias("seq"), F.col("event_id").cast("long").alias("at"))
+    folder, stored = _folder(spark), "key long, event_type string, seq long"
+    saved: list[str] = []
+
+    def save(book: DataFrame, n: int) -> None:
+        book.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        saved.append(f"{folder}/out/batch={n}")
+
+    load = lambda: spark.read.schema(stored).parquet(saved[-1]) if saved else spark.createDataFrame([], stored)
+    _start(e, folder).foreachBatch(jobs.upsert_batches(load, save, "key", "at")).start().awaitTermination()
+    return load()
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a stream in which every event comes twice."""
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("timestamp"))
+    folder = _folder(spark)
+    _start(jobs.audit_log(e.unionByName(e)), folder).outputMode("append").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{folder}/out").select("id", "action")

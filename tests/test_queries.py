@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from bookmerge.plans import more  # noqa: F401  registers further queries
+from bookmerge.plans import kept, more  # noqa: F401  register further queries
 from bookmerge.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
