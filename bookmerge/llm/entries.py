@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookmerge.llm import chat_windows, decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, secrets, sql, token_file, url_filters
+from bookmerge.llm import chat_windows, decontaminate, jaccard_join, line_dedup, packing, prefix_trie, quality_model, quality_rules, secrets, sql, token_file, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_chat_windows": chat_windows.op4_chat_windows,

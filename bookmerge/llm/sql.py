@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from bookmerge.llm import jaccard_join, line_dedup, quality_rules, url_filters
+from bookmerge.llm import jaccard_join, line_dedup, prefix_trie, quality_rules, url_filters
 from bookmerge.llm.decontaminate import WINDOW
 
 _LOW = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -64,4 +64,4 @@ c as (select a as doc_id, least(a, min(b)) as component from reach group by a)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component, w.doc_id) as component_id from w left join n using (doc_id) left join c using (doc_id)
 """
 
-SQL = {"op1_decontaminate": DECONTAMINATE, "op2_quality_rules": QUALITY_RULES, "op3_url_filters": url_filters.oracle(), "op7_line_dedup": LINE_DEDUP, "op10_jaccard_join": JACCARD_JOIN}
+SQL = {"op1_decontaminate": DECONTAMINATE, "op2_quality_rules": QUALITY_RULES, "op3_url_filters": url_filters.oracle(), "op7_line_dedup": LINE_DEDUP, "op10_jaccard_join": JACCARD_JOIN, "op11_prefix_trie": prefix_trie.ORACLE}
