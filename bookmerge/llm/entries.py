@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookmerge.llm import alignment, chat_windows, decontaminate, jaccard_join, line_dedup, packing, prefix_trie, quality_model, quality_rules, secrets, sql, token_file, url_filters
+from bookmerge.llm import alignment, chat_windows, decontaminate, jaccard_join, line_dedup, near_vectors, packing, prefix_trie, quality_model, quality_rules, secrets, sql, token_file, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_alignment": alignment.op12_alignment,
+        "op13_near_vectors": near_vectors.op13_near_vectors,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_chat_windows": chat_windows.op4_chat_windows,

@@ -15,7 +15,7 @@ A shard holds the turns of its conversations as keys of 16 bytes, never texts. A
 dealt by ranges of ids, so many conversations with one first turn load no single task.
 
 Edge cases: turns go by number, null first, then by role and text; null role or text is empty, so it equals an empty one; repeated rows
-are turns of their own. Rows without conv_id form one conversation, which is not rebuilt; its id comes back null and is empty in
+are turns of their own. Rows without conv_id form one conversation, which is not rebuilt; its id counts as none among others, and is empty in
 lists. ``c % 20`` keeps the sign of c. Conversations without a turn end at the root; of no conversation there is no root and no row.
 """
 
@@ -91,14 +91,15 @@ def shard_nodes(convs: list[tuple[int, list[tuple[bytes, int]]]]) -> Iterator[tu
     stack = [(ROOT, None, 0, (1 << len(convs)) - 1, 0)]
     while stack:
         node, parent, depth, members, words = stack.pop()
-        first = (members & -members).bit_length() - 1
+        known = members & ~int(convs[0][0] == NULL_ID) or members  # the first conversation may be the one without an id
+        first = convs[(known & -known).bit_length() - 1][0]
         ended = members & ~(reach[depth] if depth < len(reach) else 0)
         ends = []
         while ended:
             low = ended & -ended
             ends.append(convs[low.bit_length() - 1][0])
             ended ^= low
-        yield node, parent, depth, convs[first][0], members.bit_count(), words, ",".join("" if e == NULL_ID else str(e) for e in ends) if ends else None, ends[0] if ends else None
+        yield node, parent, depth, None if first == NULL_ID else first, members.bit_count(), words, ",".join("" if e == NULL_ID else str(e) for e in ends) if ends else None, ends[0] if ends else None
         rest = members & (reach[depth] if depth < len(reach) else 0)
         while rest:  # the child of the least conversation that no child has yet
             key, n = convs[(rest & -rest).bit_length() - 1][1][depth]
@@ -190,7 +191,7 @@ def trie(turns: DataFrame, shard: int = SHARD) -> DataFrame:
     parents = nodes.where("n_children is not null").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.join(sums, "node", "left").join(parents, "parent", "left")
     hashed = F.coalesce("ends_sha256", F.sha2(F.coalesce("ends", F.lit("")).cast("binary"), 256))
-    return out.select(id_back("conv_id").alias("conv_id"), "depth", id_back("parent_conv_id").alias("parent_conv_id"), "n_convs", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"), F.coalesce("n_leaves", F.lit(1).cast("long")).alias("n_leaves"), F.coalesce("saved", F.lit(0).cast("long")).alias("saved_tokens"), hashed.alias("ends_sha256"), "node", "parent")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"), F.coalesce("n_leaves", F.lit(1).cast("long")).alias("n_leaves"), F.coalesce("saved", F.lit(0).cast("long")).alias("saved_tokens"), hashed.alias("ends_sha256"), "node", "parent")
 
 
 def members(turns: DataFrame, trie_nodes: DataFrame) -> DataFrame:
