@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookmerge.functions.name_families import FAMILIES
 from bookmerge.functions.normalize import normalize_name
 
 
@@ -64,48 +64,17 @@ def apply_name_format(df, convention: str):  # P35
     return df.withColumns({c: format_name(F.col(c), convention) for c in NAME_PARTS}) if convention != "asIs" else df
 
 
-# Families of given names that stand for each other, in their order; a name in several belongs to the last.
-# The common ones. A whole list (over 400 names) is data: ``stores.load_nicknames`` reads it and ``Settings.nicknames`` takes it.
-NICKNAMES = [
-    ["robert", "bob", "rob", "robby", "bobby", "bert"],
-    ["william", "will", "bill", "billy", "liam", "willy"],
-    ["james", "jim", "jimmy", "jamie", "jay"],
-    ["john", "johnny", "jon", "jack", "jacky"],
-    ["charles", "charlie", "chuck", "chaz", "chas"],
-    ["richard", "rick", "rich", "dick", "richie", "ric"],
-    ["thomas", "tom", "tommy"],
-    ["michael", "mike", "mikey", "mick", "mickey", "micky"],
-    ["david", "dave", "davey", "davie"],
-    ["joseph", "joe", "joey"],
-    ["edward", "ed", "eddie", "ned", "ted", "teddy"],
-    ["henry", "harry", "hal", "hank"],
-    ["samuel", "sam", "sammy"],
-    ["daniel", "dan", "danny"],
-    ["matthew", "matt", "matty"],
-    ["andrew", "andy", "drew"],
-    ["christopher", "chris", "kit", "topher"],
-    ["nicholas", "nick", "nicky", "nicolas", "nic"],
-    ["benjamin", "ben", "benny", "benji"],
-    ["anthony", "tony", "ant", "antonio"],
-    ["stephen", "steve", "steven", "steph"],
-    ["peter", "pete", "petey"],
-    ["timothy", "tim", "timmy"],
-    ["patrick", "pat", "paddy", "rick"],
-    ["alexander", "alex", "al", "alec", "xander", "sasha"],
-    ["jonathan", "jon", "johnathan", "jonny"],
-    ["elizabeth", "liz", "lizzie", "beth", "betty", "eliza", "ellie", "bess", "bessie", "libby", "lisa", "elspeth"],
-    ["margaret", "maggie", "meg", "peggy", "peg", "margie", "marge", "rita"],
-    ["katherine", "kate", "kathy", "katie", "kat", "katy", "kathryn", "catherine", "cathy", "cate"],
-    ["jennifer", "jen", "jenny"],
-    ["mary", "mae", "molly", "polly", "maria", "marie"],
-    ["ann", "anne", "annie", "anna", "ana"],
-    ["susan", "sue", "suzie", "susie", "suz"],
-    ["sarah", "sara", "sadie", "sally"],
-]
-
-
-def nickname_group(given: Column, groups: Sequence[Sequence[str]] | None = None) -> Column:  # P24
-    """Number of the family of the first given name, null outside all; the last family that lists a name wins."""
-    number = reduce(lambda found, g: found | dict.fromkeys(g[1], g[0]), enumerate(groups or NICKNAMES), {})
+#: Names up to which the table of families is broadcast; a longer one is joined as it is.
+MOST_NAMES = 100_000
+
+
+def with_nickname_group(df: DataFrame, given: Column, name: str, families: Sequence[Sequence[str]] | None = None) -> DataFrame:  # P24
+    """df with ``name``: the number of the family of the first given name, null outside all; the last family that lists a name wins.
+
+    A left join with the table of names, which has each name once.
+    """
+    listed = families or [line.split() for line in FAMILIES.split("\n") if line]
+    number = {n: i for i, family in enumerate(listed) for n in family}
+    table = df.sparkSession.createDataFrame(list(number.items()), f"__name string, `{name}` int")
     first = F.get(F.split(normalize_name(given), " "), F.lit(0))
-    return F.element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), first)
+    return df.withColumn("__first", first).join(F.broadcast(table) if len(number) <= MOST_NAMES else table, F.col("__first") == F.col("__name"), "left").drop("__first", "__name")

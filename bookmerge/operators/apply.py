@@ -13,7 +13,7 @@ from bookmerge.operators.diff import effective_action
 from bookmerge.operators.graph import durable
 from bookmerge.operators.logs import latest_per_key
 from bookmerge.operators.ranges import numbered
-from bookmerge.schemas import CONTACT_STRUCT, CONTACT_TYPES, Settings
+from bookmerge.schemas import CONTACT_TYPES, Settings
 
 _DISTANT = "timestamp'0001-01-01 00:00:00'"
 
@@ -104,8 +104,8 @@ def apply_books(outcomes: DataFrame, left: DataFrame, right: DataFrame, directio
 
     Additions, updates and deletions come first; merges then read the left record as those left it. Several right
     records that merge into one left record do so one after the other (the mapped or matched one, then linked ones by
-    right id), each with what the ones before have made. Such a left record's right ones are held as arrays, as its
-    results grow with them anyway. A new record's id is derived from its source (``new_id`` overrides the rule).
+    right id), each with what the ones before have made (``merge.merge_in_turn``). A new record's id is derived from its source
+    (``new_id`` overrides the rule).
     """
     left, right = C.completed(left).select(*CONTACT_TYPES), C.completed(right).select(*CONTACT_TYPES)
     if settings.dry_run:
@@ -123,12 +123,16 @@ def apply_books(outcomes: DataFrame, left: DataFrame, right: DataFrame, directio
     right = durable(_replaced_rows(right, new_right, gone("right_id", ~F.col("to_left"))))
 
     pairs = done.where("act = 'merge'").join(record(left, "a", "left_id"), "left_id").join(record(right, "b", "right_id"), "right_id")
-    in_turn = W.partitionBy("left_id").orderBy("linked", "right_id")
-    pairs = pairs.select("left_id", "right_id", "a", F.row_number().over(in_turn).alias("seq"), F.collect_list("b").over(in_turn.rowsBetween(W.unboundedPreceding, 0)).alias("others"))
-    made = F.aggregate("others", F.col("a").cast(CONTACT_STRUCT), lambda merged, c: G.merge_sync(merged, c).cast(CONTACT_STRUCT))
-    pairs = durable(pairs.select("left_id", "right_id", "seq", made.alias("made")))
-    at = lambda key: pairs.select(F.col(key).alias("at"), "seq", "made")
-    return _replaced_rows(left, _write(at("left_id"), left, "google", settings)), _replaced_rows(right, _write(at("right_id"), right, "mac", settings))
+    pairs = durable(pairs.select("left_id", "right_id", "a", "b", "linked"))
+    counts = pairs.groupBy("left_id").agg(F.count("*").alias("n"))
+    alone = pairs.join(counts.where("n = 1").select("left_id"), "left_id", "left_semi").select("left_id", "right_id", F.lit(1).alias("seq"), F.lit(1).cast("long").alias("n"), G.merge_sync(F.col("a"), F.col("b")).alias("made"))
+    in_turn = pairs.join(counts.where("n > 1"), "left_id").withColumn("seq", F.row_number().over(W.partitionBy("left_id").orderBy("linked", "right_id")))
+    in_turn = durable(in_turn.select(F.col("left_id").alias("at"), "seq", "right_id", "n", "a", "b"))
+    made = G.merge_in_turn(in_turn.select("at", "seq", "a", "b")).join(in_turn.select("at", "seq", "right_id", "n"), ["at", "seq"]).select(F.col("at").alias("left_id"), "right_id", "seq", "n", "made")
+    pairs = durable(alone.unionByName(made))
+    at = lambda key, rows: rows.select(F.col(key).alias("at"), "seq", "made")
+    last = pairs.where("seq = n")  # the left record ends with the data of all
+    return _replaced_rows(left, _write(at("left_id", last), left, "google", settings)), _replaced_rows(right, _write(at("right_id", pairs), right, "mac", settings))
 
 
 def mapping_stamps(outcomes: DataFrame, mapping: DataFrame, now: Column, direction: str = "twoWay") -> DataFrame:  # O29

@@ -34,10 +34,10 @@ def import_sessions(existing: DataFrame, incoming: DataFrame) -> DataFrame:  # S
     return existing.unionByName(incoming.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
-def prune_events(events: DataFrame, days: int, most: int, now: Column) -> DataFrame:  # W03
-    """Events not older than ``days`` (0: any age), the newest ``most`` of them; a top-k, no global window."""
+def prune_events(events: DataFrame, days: int, most: int | None, now: Column) -> DataFrame:  # W03
+    """Events not older than ``days`` (0: any age), the newest ``most`` of them (None: all); a top-k, no global window."""
     kept = events if days == 0 else events.where(F.col("timestamp") >= now - F.make_dt_interval(F.lit(days)))
-    return kept.orderBy(F.desc("timestamp"), F.desc("id")).limit(most)
+    return kept if most is None else kept.orderBy(F.desc("timestamp"), F.desc("id")).limit(most)
 
 
 def strike_islands(attempts: DataFrame, order: list[str]) -> DataFrame:

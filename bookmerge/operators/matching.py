@@ -15,7 +15,8 @@ from bookmerge.functions import arrays as X
 from bookmerge.functions import contacts as C
 from bookmerge.functions import names as M
 from bookmerge.functions import normalize as N
-from bookmerge.operators.graph import durable
+from bookmerge.operators.graph import clusters, durable
+from bookmerge.operators.ranges import numbered
 from bookmerge.schemas import Settings
 
 # Points of the components, and what is said of each.
@@ -30,14 +31,15 @@ def prepared(book: DataFrame, nicknames: tuple[tuple[str, ...], ...] | None = No
     """
     df = C.as_struct(C.completed(book), "c")
     df = df.select(F.col("c.contact_id").alias("id"), "c", C.normalized(F.col("c")).alias("n"))
+    df = M.with_nickname_group(df, F.col("c.given_name"), "nickname_group", nicknames)
     extra = F.struct(
-        M.nickname_group(F.col("c.given_name"), nicknames).alias("nickname_group"),
+        "nickname_group",
         M.soundex_variant(F.col("n.family_name")).alias("soundex"),
         F.transform(C.values(F.col("c.phones")), N.digits_of).alias("digits"),
         F.transform(C.values(F.col("c.emails")), F.lower).alias("emails"),
         F.coalesce(N.trimmed(F.lower(F.col("c.nickname"))), F.lit("")).alias("nickname"),
     )
-    return durable(df.select("*", extra.alias("extra"), N.normalize_name(F.col("n.full_name")).alias("sim")))
+    return durable(df.select("id", "c", "n", extra.alias("extra"), N.normalize_name(F.col("n.full_name")).alias("sim")))
 
 
 def _slim(side: DataFrame) -> DataFrame:
@@ -67,6 +69,35 @@ def _pairs_on(x: DataFrame, y: DataFrame, keys: list[str], test: Column | None =
     return x.alias("x").join(y.alias("y"), on).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
 
 
+#: Records of one key that one task compares with as many others.
+BLOCK = 1000
+
+
+def pairs_by_key(ka: DataFrame, kb: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b) of rows (id, key) that agree in key, once for each key they share; within ka, the lesser id first, if kb is None.
+
+    A key of more than ``block`` records is cut into blocks of as many, numbered in ranges of (key, id); a pair of blocks
+    is a join key of its own. So the pairs of one key are dealt over all tasks, and a record travels once for each block of its key.
+    """
+    within = kb is None
+    kb = ka if within else kb
+    order = F.col("x.id") < F.col("y.id") if within else F.lit(True)
+    n = lambda k, name: k.groupBy("key").agg(F.count("*").alias(name))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    sizes = n(ka, "n_a").withColumn("n_b", F.col("n_a")) if within else n(ka, "n_a").join(n(kb, "n_b"), "key")
+    hot = durable(sizes.where(F.greatest("n_a", "n_b") > block).select("key", blocks("n_a").alias("of_a"), blocks("n_b").alias("of_b")))
+    if hot.isEmpty():
+        return _pairs_on(ka, kb, ["key"], order)
+    calm = lambda k: k.join(hot, "key", "left_anti")
+    cut = lambda k: numbered(k.join(hot, "key"), ["key"], "id", "place").withColumn("block", F.floor(F.col("place") / block).cast("int"))
+    a = durable(cut(ka))
+    b = a if within else cut(kb)
+    last = lambda c: F.col(c) - 1
+    x = a.select("id", "key", F.col("block").alias("at_a"), F.explode(F.sequence(F.col("block") if within else F.lit(0), last("of_b"))).alias("at_b"))
+    y = b.select("id", "key", F.explode(F.sequence(F.lit(0), F.col("block") if within else last("of_a"))).alias("at_a"), F.col("block").alias("at_b"))
+    return _pairs_on(calm(ka), calm(kb), ["key"], order).unionByName(_pairs_on(x, y, ["key", "at_a", "at_b"], order))
+
+
 def _both_ways(bare: DataFrame, other: DataFrame, within: bool, make) -> DataFrame:
     """Pairs of a bare record of one side with a record of the other; within one book the lesser id goes first."""
     if within:
@@ -89,12 +120,12 @@ def _lossless_ids(a: DataFrame, b: DataFrame, within: bool, settings: Settings,
     order = F.col("x.id") < F.col("y.id") if within else F.lit(True)
     ka, kb = contact_keys(a), contact_keys(b)
     if max_key_fanout is None:
-        found = [_pairs_on(ka, kb, ["key"], order)]
+        found = [pairs_by_key(ka, None if within else kb)]
     else:
         hot = durable(hot_keys(a, None if within else b, max_key_fanout).select("key"))
         calm = lambda k: k.join(hot, "key", "left_anti")
         hubs = lambda k: k.join(hot, "key").groupBy("key").agg(F.min("id").alias("id"))
-        found = [_pairs_on(calm(ka), calm(kb), ["key"], order), _pairs_on(hubs(ka), kb.join(hot, "key", "left_semi"), ["key"], order)]
+        found = [pairs_by_key(calm(ka), None if within else calm(kb)), _pairs_on(hubs(ka), kb.join(hot, "key", "left_semi"), ["key"], order)]
         if not within:
             found.append(_pairs_on(ka.join(hot, "key", "left_semi"), hubs(kb), ["key"]))
     x, y = _slim(a), _slim(b)
@@ -122,8 +153,8 @@ def candidate_pairs(a: DataFrame, b: DataFrame | None = None, mode: str = "lossl
 
     lossless: equi-joins on keys that every pair which ``scored`` lets pass shares (``_lossless_ids``). reference: equi-joins
     on ``blocking_keys``. exhaustive: every pair, for small books and tests.
-    An email or phone that very many records share gives all their pairs, since each of them scores. With ``max_key_fanout``
-    the records of such a key (``hot_keys`` lists them) are paired with the least of them alone: pairs get fewer, and clusters of
+    An email or phone that very many records share gives all their pairs, since each of them scores, dealt in blocks
+    (``pairs_by_key``). With ``max_key_fanout`` (an argument or a setting) the records of such a key (``hot_keys`` lists them) are paired with the least of them alone: pairs get fewer, and clusters of
     pairs (O22) stay whole as far as those pairs pass.
     """
     within = b is None
@@ -136,7 +167,7 @@ def candidate_pairs(a: DataFrame, b: DataFrame | None = None, mode: str = "lossl
         keys = lambda side: side.select("id", F.explode(C.blocking_keys(F.col("c"))).alias("key"))
         ids = _pairs_on(keys(a), keys(b), ["key"], order).distinct()
     else:
-        ids = _lossless_ids(a, b, within, settings, max_key_fanout)
+        ids = _lossless_ids(a, b, within, settings, max_key_fanout or settings.max_key_fanout)
     ids = durable(ids)
     left = a.select(F.col("id").alias("id_a"), F.struct("c", "n", "extra", "sim").alias("a"))
     right = b.select(F.col("id").alias("id_b"), F.struct("c", "n", "extra", "sim").alias("b"))
@@ -352,10 +383,21 @@ def with_verdicts(pairs: DataFrame, answers: DataFrame) -> DataFrame:  # J15
     return joined.withColumn("verdict", F.when(F.col("answer").isNull(), F.col("verdict")).otherwise(parse_verdict(F.col("answer"), F.col("verdict")))).drop("answer")
 
 
-def simple_duplicates(book: DataFrame) -> DataFrame:  # J21
-    """Pairs with the same lower given and family name, or a shared lower email: two equi-joins, united."""
+def simple_keys(book: DataFrame) -> DataFrame:
+    """(id, key): the lower given and family name, and each lower email, of a record."""
     rows = C.completed(book).select(F.col("contact_id").alias("id"), F.lower("given_name").alias("g"), F.lower("family_name").alias("f"), F.transform(C.values(F.col("emails")), F.lower).alias("e"))
     by_name = rows.where("g is not null and f is not null").select("id", F.concat_ws("\x1f", F.lit("n"), "g", "f").alias("key"))
-    by_mail = rows.select("id", F.explode(F.array_distinct("e")).alias("m")).select("id", F.concat(F.lit("e\x1f"), "m").alias("key"))
-    keys = by_name.unionByName(by_mail)
-    return keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct()
+    by_mail = rows.select("id", F.explode(F.array_distinct("e")).alias("m")).where("m is not null").select("id", F.concat(F.lit("e\x1f"), "m").alias("key"))
+    return by_name.unionByName(by_mail)
+
+
+def simple_duplicates(book: DataFrame) -> DataFrame:  # J21
+    """Pairs with the same lower given and family name, or a shared lower email; a name of very many records is dealt in blocks."""
+    return pairs_by_key(simple_keys(book)).distinct()
+
+
+def simple_duplicate_groups(book: DataFrame) -> DataFrame:  # J21
+    """(id, cluster) of the records that ``simple_duplicates`` joins, directly or over others, without its pairs: a star of edges for each key."""
+    keys = durable(simple_keys(book))
+    stars = keys.join(keys.groupBy("key").agg(F.min("id").alias("hub")), "key").where("id <> hub").select(F.col("hub").alias("id_a"), F.col("id").alias("id_b"))
+    return clusters(stars.distinct())

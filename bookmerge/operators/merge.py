@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookmerge.functions import arrays as X
@@ -58,6 +60,55 @@ def merge_sync(a, b, now: Column | None = None) -> Column:  # O21
     return C.replaced(a, **out, **_collections(a, b, lambda x: F.lower(x["value"])))
 
 
+_SYNC_LISTS = {"phones": (lambda x: N.digits_of(x["value"]), ITEM), "emails": (lambda x: F.lower(x["value"]), ITEM), "addresses": (N.normalize_address, ADDRESS), "urls": (lambda x: F.lower(x["value"]), ITEM)}
+_SYNC_BREAK = "\n---\n"
+
+
+def _notes_in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, seq, own, note), sorted: the note that stands after each row; the rule compares with all that stands so far, so it goes row by row."""
+    at, so_far = None, None
+    for batch in batches:
+        out = []
+        for key, own, note in zip(*(batch.column(c).to_pylist() for c in ("at", "own", "note")), strict=True):
+            if key != at:
+                at, so_far = key, own
+            so_far = (so_far if so_far is not None else note) if so_far is None or note is None or so_far == note else f"{so_far}{_SYNC_BREAK}{note}"
+            out.append(so_far)
+        yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("seq"), pa.array(out, pa.string())], names=["at", "seq", "note_so_far"])
+
+
+def merge_in_turn(rows: DataFrame, now: Column | None = None) -> DataFrame:  # O28
+    """(at, seq, made) for rows (at, seq from 1, a, b): ``merge_sync`` of a with the b of rows 1 to seq, one after the other.
+
+    No row holds the records before it. A text is the first filled one so far, a running window over plain columns; a list has the
+    elements whose key no record before their own has, found by the least seq of each key, and a running list gathers those alone.
+    So one ``at`` with very many rows takes memory for its longest result, and time for its results together.
+    """
+    so_far = W.partitionBy("at").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    a, b = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
+    filled = lambda v: F.when(v != "", v)
+    first = lambda v: F.first(v, ignorenulls=True).over(so_far)
+    out = {f: F.coalesce(filled(a(f)), first(filled(b(f))), b(f)) for f in _SCALARS if not f.startswith("phonetic")}
+    out |= {f: F.coalesce(a(f), first(b(f))) for f in [*(f for f in _SCALARS if f.startswith("phonetic")), *_IDS, "birthday", "photo_data", "photo_url"]}
+    out["last_modified"] = now if now is not None else F.greatest(a("last_modified"), F.max(b("last_modified")).over(so_far))
+    full = rows
+    for f, (key, element) in _SYNC_LISTS.items():
+        items = rows.select("at", "seq", F.posexplode(b(f)).alias("pos", "x")).withColumn("key", key(F.col("x")))
+        own = rows.where("seq = 1").select("at", F.lit(0).alias("seq"), F.explode(a(f)).alias("x")).select("at", "seq", key(F.col("x")).alias("key"))
+        owner = own.unionByName(items.select("at", "seq", "key")).where("key is not null").groupBy("at", "key").agg(F.min("seq").alias("owner"))
+        kept = items.join(owner, ["at", "key"]).where("seq = owner").select("at", "seq", "pos", "x", "key")
+        if f == "addresses":  # a key that repeats inside a record counts once
+            kept = kept.groupBy("at", "seq", "key").agg(F.min_by("x", "pos").alias("x"), F.min("pos").alias("pos"))
+        new = kept.select("at", "seq", "pos", "x").unionByName(items.where("key is null").select("at", "seq", "pos", "x"))
+        new = new.groupBy("at", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda i: i["x"]).alias(f"new_{f}"))
+        full = full.join(new, ["at", "seq"], "left")
+        none = F.array().cast(f"array<{element}>")
+        out[f] = F.concat(F.coalesce(a(f), none), F.flatten(F.collect_list(f"new_{f}").over(so_far)))
+    notes = rows.select("at", "seq", F.when(F.col("seq") == 1, a("note")).alias("own"), b("note").alias("note")).repartition("at").sortWithinPartitions("at", "seq").mapInArrow(_notes_in_turn, f"at {rows.schema['at'].dataType.simpleString()}, seq {rows.schema['seq'].dataType.simpleString()}, note_so_far string")
+    full = full.join(notes, ["at", "seq"])
+    return full.select("at", "seq", C.replaced(F.col("a"), **out, note=F.col("note_so_far")).alias("made"))
+
+
 def pick_primary(members: DataFrame) -> DataFrame:  # W04
     """The member (group, c) of each group with most data; ties go to the least id."""
     score = C.data_score(F.col("c"))

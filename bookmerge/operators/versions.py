@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookmerge.functions import contacts as C
-from bookmerge.schemas import CONTACT_TYPES
+from bookmerge.operators.store import publish, published
+from bookmerge.schemas import CONTACT, CONTACT_TYPES, VERSION
 
 
 def snapshot_rows(left: DataFrame, right: DataFrame, session_id: str, now: Column) -> DataFrame:  # O35, P46
@@ -119,10 +122,11 @@ def restore_extras(snapshot: DataFrame, live: DataFrame) -> DataFrame:  # J17
     return live.join(snapshot.select(F.col("contact_identifier").alias("contact_id")).distinct(), "contact_id", "left_anti")
 
 
-def rollback(versions: DataFrame, session_id: str, left: DataFrame, right: DataFrame, extras: str = "keep") -> tuple[DataFrame, DataFrame, DataFrame]:  # O38
-    """(new left, new right, tally of restored and removed by side) for a session's snapshot.
+def rollback(versions: DataFrame, session_id: str, left: DataFrame, right: DataFrame, extras: str = "keep", failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:  # O38
+    """(new left, new right, tally by side: updated, recreated, removed, failed) for a session's snapshot.
 
-    extras: keep leaves records that the snapshot lacks, remove drops them. The caller writes a safety snapshot first (snapshot_rows).
+    extras: keep leaves records that the snapshot lacks, remove drops them. ``failed`` (source, contact_identifier) are writes that were
+    rejected: such a record stays as it lives, one that would be re-created stays away. ``run_rollback`` saves both books first.
     """
     session = versions.where(F.col("session_id") == session_id)
     mask = legacy_mask(session)
@@ -131,11 +135,54 @@ def rollback(versions: DataFrame, session_id: str, left: DataFrame, right: DataF
         own = session.where(F.col("source") == side)
         restored = restore_upserts(own, book, mask)
         more = restore_extras(own, book)
-        records = restored.select("record.*").select(*CONTACT_TYPES)
-        out.append(records if extras == "remove" else records.unionByName(C.completed(more).select(*CONTACT_TYPES)))
         removed = more if extras == "remove" else more.limit(0)
-        tallies.append(restored.select(F.lit(side).alias("side"), F.col("outcome")).unionByName(removed.select(F.lit(side).alias("side"), F.lit("removed").alias("outcome"))))
-    return out[0], out[1], tallies[0].unionByName(tallies[1]).groupBy("side", "outcome").agg(F.count("*").alias("n"))
+        stays = more.limit(0) if extras == "remove" else more
+        told = lambda df, outcome, side=side: df.select(F.lit(side).alias("side"), outcome.alias("outcome"))
+        if failed is not None:
+            bad = failed.where(F.col("source") == side).select("contact_identifier").distinct()
+            bad_id = bad.withColumnRenamed("contact_identifier", "contact_id")
+            tallies.append(told(restored.join(bad, "contact_identifier", "left_semi"), F.lit("failed")).unionByName(told(removed.join(bad_id, "contact_id", "left_semi"), F.lit("failed"))))
+            stays = stays.unionByName(removed.join(bad_id, "contact_id", "left_semi")).unionByName(book.join(own.select(F.col("contact_identifier").alias("contact_id")).distinct(), "contact_id", "left_semi").join(bad_id, "contact_id", "left_semi").select(stays.columns))
+            restored, removed = restored.join(bad, "contact_identifier", "left_anti"), removed.join(bad_id, "contact_id", "left_anti")
+        out.append(restored.select("record.*").select(*CONTACT_TYPES).unionByName(C.completed(stays).select(*CONTACT_TYPES)))
+        tallies.append(told(restored, F.col("outcome")).unionByName(told(removed, F.lit("removed"))))
+    tally = tallies[0]
+    for t in tallies[1:]:
+        tally = tally.unionByName(t)
+    return out[0], out[1], tally.groupBy("side", "outcome").agg(F.count("*").alias("n"))
+
+
+def run_rollback(sessions, folder: str, session_id: str, left: DataFrame, right: DataFrame, now: Column, extras: str = "keep", failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rollback`` to a session of a ``sinks.SessionStore`` in steps that are published one by one in ``folder``.
+
+    First both books, as they live, become a session of the store (``safety-`` and the id): published before anything of the result is
+    written. Then the new books and the tally. A run that failed is started again with the same folder: published steps are read, not repeated, so the
+    safety session holds the books of the first start.
+    """
+    spark = left.sparkSession
+    manifest = f"{folder.rstrip('/')}/manifest.json"
+    done = published(spark, manifest) or {}
+    safety = f"safety-{session_id}"
+    if "safety" not in done:
+        rows = number_versions(snapshot_rows(left, right, safety, now).withColumn("position", F.lit(0)), sessions.highest())
+        sessions.write(rows.select("session_id", *_BODY_COLUMNS))
+        done["safety"] = safety
+        publish(spark, manifest, done)
+    if "books" not in done:
+        bodies = sessions.bodies(BODY)
+        new = rollback(bodies, session_id, left, right, extras, failed)
+        name = uuid.uuid4().hex
+        for part, df in zip(("left", "right", "tally"), new, strict=True):
+            df.write.parquet(f"{folder}/{name}/{part}")
+        done["books"] = name
+        publish(spark, manifest, done)
+    read = lambda part, schema: spark.read.schema(schema).parquet(f"{folder}/{done['books']}/{part}")
+    return read("left", CONTACT), read("right", CONTACT), read("tally", "side string, outcome string, n long")
+
+
+#: Columns of a stored session's bodies, beside session_id.
+BODY = VERSION.removeprefix("session_id string, ")
+_BODY_COLUMNS = ["contact_identifier", "version_number", "timestamp", "source", "position", "data"]
 
 
 def restore_one(version: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:  # O37

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookmerge.functions.contacts import completed
 
-GIVEN = "robert,bob,william,bill,elizabeth,liz,katherine,kate,john,jon,michael,mike,wei,li,maria,molly,james,jim,thomas,tom,susan,sue,jean-luc,david"
+GIVEN = "robert,bob,william,bill,elizabeth,liz,katherine,kate,john,jon,michael,mike,wei,li,maria,molly,henry,harry,nicholas,nick,albert,bert,jean-luc,david"
 FAMILY = "smith,smyth,schmidt,schmitt,li,wei,van der berg,o''brien,mcdonald,macintyre,ng,lee,garcia,müller,jones,johns,brown,chan,cruz,patel"
 
 _PEOPLE = f"""with p as (

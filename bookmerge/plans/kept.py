@@ -47,10 +47,10 @@ def stored_mappings(spark, d):  # S09, S14
 def session_bodies(spark, d):  # K05, S10
     """Two sessions from the primary place and its fallback, which holds all of them."""
     v = graph.durable(Q._versions(spark, d).select(F.col("session").alias("session_id"), "contact_identifier", "version_number", "name"))
-    here, there = _path(spark, "sessions"), _path(spark, "sessions")
-    sinks.write_session(v.where("session_id < 20"), here)
-    sinks.write_session(v.withColumn("name", F.concat(F.lit("copy of "), "name")), there)
-    read = lambda path: spark.read.schema("contact_identifier string, version_number int, name string, session_id long").parquet(path)
+    here, there = (sinks.SessionStore(spark, _path(spark, "sessions")) for _ in range(2))
+    here.write(v.where("session_id < 20"))
+    there.write(v.withColumn("name", F.concat(F.lit("copy of "), "name")))
+    read = lambda kept: kept.bodies("contact_identifier string, version_number int, name string").withColumn("session_id", F.col("session_id").cast("long"))
     found = [stores.load_session(read(here), read(there), s) for s in ("7", "33")]
     return found[0].unionByName(found[1]).select("contact_identifier", "version_number", F.col("session_id").alias("session"), "name")
 

@@ -60,7 +60,7 @@ def title_case(spark, d):
 @query(f"with {T.BOOKS} select id, ni as family from l union all select id, ni from r")
 def nickname_group(spark, d):
     both = X.left_book(spark, d).select("contact_id", "given_name").unionByName(X.right_book(spark, d).select("contact_id", "given_name"))
-    return both.select(F.col("contact_id").alias("id"), M.nickname_group(F.col("given_name")).alias("family"))
+    return M.with_nickname_group(both, F.col("given_name"), "family").select(F.col("contact_id").alias("id"), "family")
 
 
 @query(f"with {T.BOOKS}, k as (select unnest(list_filter([case when e <> '' then 'e:' || e end, case when length(d) >= 7 then 'p:' || right(d, 7) end, case when n <> '' then 'f:' || n[1] end, case when g <> '' then 'g:' || g[1] end], lambda q: q is not null)) as key from l) select key, count(*) as n from k group by key")

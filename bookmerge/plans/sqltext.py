@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bookmerge.functions.names import NICKNAMES, PARTICLES
+from bookmerge.functions.name_families import FAMILIES
+from bookmerge.functions.names import PARTICLES
 from bookmerge.functions.normalize import LEGAL_FORMS
 from bookmerge.plans.fixtures import BOOK_LEFT, BOOK_RIGHT, MAPPING
 
@@ -73,7 +74,7 @@ def soundex(x: str) -> str:
 
 
 def nickname(normalized: str) -> str:
-    number = {n: i for i, g in enumerate(NICKNAMES) for n in g}
+    number = {n: i for i, line in enumerate(FAMILIES.strip().splitlines()) for n in line.split()}
     return f"[{', '.join(map(str, number.values()))}][list_position([{', '.join(f'{chr(39)}{n}{chr(39)}' for n in number)}], split_part({normalized}, ' ', 1))]"
 
 

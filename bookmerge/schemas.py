@@ -68,5 +68,7 @@ class Settings:
     max_backups: int = 30
     max_failures: int = 3
     name_format: str = "asIs"
-    #: Families of given names that stand for each other; None is the short list of ``functions.names``.
+    #: Records of one email or phone beyond which they are paired with the least of them alone (``matching.hot_keys`` lists such keys); None: all pairs.
+    max_key_fanout: int | None = None
+    #: Families of given names that stand for each other; None is the list of ``functions.name_families``.
     nicknames: tuple[tuple[str, ...], ...] | None = None

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookmerge.functions import contacts as C
 from bookmerge.functions import normalize as N
+from bookmerge.operators import store
 from bookmerge.operators.logs import with_display
+from bookmerge.operators.versions import dropped_sessions
 
 
 def _slots(c) -> list[tuple[str, Column]]:
@@ -39,9 +43,68 @@ def write_csv(df: DataFrame, path: str) -> None:  # K03
     df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_session(versions: DataFrame, path: str) -> None:  # K05
-    """Bodies by session; summaries and highest versions are derived from them."""
-    versions.write.mode("append").partitionBy("session_id").parquet(path)
+class SessionStore:  # K05
+    """Snapshot sessions in a folder: bodies, a summary of each session and its highest version numbers.
+
+    The three are written aside and read back; then one manifest names them, so they appear together or not at all. A
+    session that is written again replaces the one of its id. Only what the manifest names is read.
+    """
+
+    PARTS = ("body", "summary", "highest")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def published(self) -> dict[str, str]:
+        """The write that holds each session, by the name of its folder."""
+        return (store.published(self.spark, f"{self.path}/manifest.json") or {"sessions": {}})["sessions"]
+
+    def write(self, versions: DataFrame) -> list[str]:
+        """versions (session_id, contact_identifier, version_number, ...; timestamp and source where there are); the folders of the sessions."""
+        write = f"write={uuid.uuid4().hex}"
+        at = lambda part: f"{self.path}/{part}/{write}"
+        has = versions.columns
+        versions.write.partitionBy("session_id").parquet(at("body"))
+        rows = self.spark.read.schema(versions.schema).parquet(at("body"))
+        count = lambda side: (F.count_if(F.col("source") == side) if "source" in has else F.lit(None)).cast("int")
+        when = F.max("timestamp") if "timestamp" in has else F.lit(None).cast("timestamp")
+        rows.groupBy("session_id").agg(when.alias("timestamp"), count("google").alias("google_count"), count("mac").alias("mac_count"), F.count("*").cast("int").alias("version_count")).write.partitionBy("session_id").parquet(at("summary"))
+        rows.groupBy("session_id", "contact_identifier").agg(F.max("version_number").alias("version_number")).write.partitionBy("session_id").parquet(at("highest"))
+        found = {part: [n for n in store.names(self.spark, at(part)) if n.startswith("session_id=")] for part in self.PARTS}
+        told = self.spark.read.parquet(at("summary")).agg(F.sum("version_count")).first()[0] if found["summary"] else 0
+        if not found["body"] == found["summary"] == found["highest"] or told != rows.count():
+            raise OSError(f"session files of {write} are not whole")
+        store.publish(self.spark, f"{self.path}/manifest.json", {"sessions": {**self.published(), **{n: write for n in found["body"]}}})
+        return found["body"]
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{part}/{write}/{session}" for session, write in self.published().items()]
+        schema = f"{schema}, session_id string"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, write string").option("basePath", f"{self.path}/{part}").parquet(*paths).drop("write")
+
+    def bodies(self, schema: str) -> DataFrame:
+        """Rows of ``schema`` (without session_id) and session_id of all published sessions."""
+        return self._read("body", schema)
+
+    def summaries(self) -> DataFrame:
+        return self._read("summary", "timestamp timestamp, google_count int, mac_count int, version_count int")
+
+    def highest(self) -> DataFrame:
+        """(contact_identifier, version_number) over all published sessions."""
+        return self._read("highest", "contact_identifier string, version_number int").groupBy("contact_identifier").agg(F.max("version_number").alias("version_number"))
+
+    def retain(self, keep: int) -> list[str]:
+        """Only the newest sessions stay published; the others' files go afterwards. The folders that went."""
+        dropped = dropped_sessions(self.summaries().select(F.col("session_id").alias("id"), "timestamp"), keep).select(F.concat(F.lit("session_id="), "id")).collect()
+        now = self.published()
+        gone = {r[0]: now[r[0]] for r in dropped}
+        store.publish(self.spark, f"{self.path}/manifest.json", {"sessions": {k: v for k, v in now.items() if k not in gone}})
+        for session, write in gone.items():
+            for part in self.PARTS:
+                store.remove(self.spark, f"{self.path}/{part}/{write}/{session}")
+        return sorted(gone)
 
 
 def session_json(sessions: DataFrame) -> DataFrame:  # K06

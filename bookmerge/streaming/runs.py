@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookmerge.operators.graph import shared_folder
-from bookmerge.operators.logs import coalesce_bursts
+from bookmerge.operators.store import KeyedStore
 from bookmerge.streaming import jobs
 
 
@@ -31,46 +31,46 @@ def _start(df: DataFrame, folder: str):
 
 
 def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts by user: those that the watermark has closed, and by a batch pass those still open when the stream ends."""
-    of = lambda e: e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("timestamp"))
+    """Bursts by user, all from the stream: a run over the events, then one in which the clock has gone on and open bursts are flushed."""
     folder = _folder(spark)
-    _start(jobs.burst_counts(of(_events(spark, sf_dir)), "1 hour", "1 hour"), folder).outputMode("append").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-    closed = spark.read.schema("key long, start timestamp, end timestamp, n long").parquet(f"{folder}/out")
-    # A key's bursts close in the order of time, so its open ones lie after the last closed one.
-    upto = closed.groupBy("key").agg(F.max("end").alias("upto")).withColumnRenamed("key", "closed_key")
-    left = of(spark.read.parquet(f"{sf_dir}/events.parquet")).join(upto, F.col("key").eqNullSafe(F.col("closed_key")), "left").where(F.col("upto").isNull() | (F.col("timestamp") > F.col("upto")))
-    out = closed.unionByName(coalesce_bursts(left.select("key", "timestamp"), "1 hour"))
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("timestamp"))
+    latest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.coalesce(F.max(F.col("ts").cast("timestamp")), F.timestamp_seconds(F.lit(0))).alias("timestamp"))
+    latest.limit(0).write.parquet(f"{folder}/clock")
+    clock = spark.readStream.schema("timestamp timestamp").parquet(f"{folder}/clock")
+    for later in ("0 seconds", "3 hours"):  # the second is beyond the gap and the watermark
+        latest.select((F.col("timestamp") + F.expr(f"interval {later}")).alias("timestamp")).write.mode("append").parquet(f"{folder}/clock")
+        _start(jobs.burst_counts(e, "1 hour", "1 hour", clock=clock), folder).outputMode("append").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    out = spark.read.schema("key long, start timestamp, end timestamp, n long").parquet(f"{folder}/out")
     return out.select("key", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "n")
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of each key; a micro-batch writes its parts to a folder of its own, so a repeated one counts once."""
+    """The last state of each key, from a store that each micro-batch brings up to date."""
     e = _events(spark, sf_dir, FILES).select(F.concat(F.lit("mac:"), F.col("user_id").cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").cast("long").alias("seq"), F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("kind"))
     folder = _folder(spark)
-    save = lambda parts, n: parts.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    _start(e, folder).foreachBatch(jobs.strike_batches(save)).start().awaitTermination()
-    parts = spark.read.schema("key string, kind string, at struct<timestamp:timestamp,seq:long>, n long").parquet(f"{folder}/out")
-    return jobs.strike_totals(parts).select("key", "strikes", F.col("skip").cast("int").alias("skip"))
+    store = lambda fold: KeyedStore(spark, f"{folder}/strikes", jobs.STRIKES, "key", fold)
+    _start(e, folder).foreachBatch(jobs.strike_batches(store)).start().awaitTermination()
+    return jobs.strike_totals(store(jobs.strike_fold()).read()).select("key", "strikes", F.col("skip").cast("int").alias("skip"))
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each user: a change feed that micro-batches put into a stored book, each as a new table."""
-    e = _events(spark, sf_dir).select(F.col("user_id").cast("long").alias("key"), "event_type", F.col("event_id").cast("long").alias("seq"), F.col("event_id").cast("long").alias("at"))
-    folder, stored = _folder(spark), "key long, event_type string, seq long"
-    saved: list[str] = []
+    """The last event of each user: a change feed that bounded micro-batches put into a stored book."""
+    e = _events(spark, sf_dir, FILES).select(F.col("user_id").cast("long").alias("key"), "event_type", F.col("event_id").cast("long").alias("seq"))
+    folder = _folder(spark)
+    store = KeyedStore(spark, f"{folder}/book", "key long, event_type string, seq long", "key", jobs.latest_fold("key", "seq"))
+    _start(e, folder).foreachBatch(jobs.upsert_batches(store)).start().awaitTermination()
+    return store.read()
 
-    def save(book: DataFrame, n: int) -> None:
-        book.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-        saved.append(f"{folder}/out/batch={n}")
 
-    load = lambda: spark.read.schema(stored).parquet(saved[-1]) if saved else spark.createDataFrame([], stored)
-    _start(e, folder).foreachBatch(jobs.upsert_batches(load, save, "key", "at")).start().awaitTermination()
-    return load()
+AUDIT = "id long, action string, timestamp timestamp"
 
 
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of a stream in which every event comes twice."""
-    e = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("timestamp"))
+def audit(spark: SparkSession, sf_dir: str, days: int = 0, most: int | None = None) -> DataFrame:
+    """The log of a stream in which every event comes twice; with ``days`` as of the last event."""
+    e = _events(spark, sf_dir).select(F.col("event_id").cast("long").alias("id"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("timestamp"))
     folder = _folder(spark)
-    _start(jobs.audit_log(e.unionByName(e)), folder).outputMode("append").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-    return spark.read.schema(e.schema).parquet(f"{folder}/out").select("id", "action")
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    now = F.lit(last).cast("timestamp")
+    _start(jobs.audit_log(e.unionByName(e)), folder).outputMode("append").foreachBatch(jobs.audit_batches(spark, f"{folder}/log", days, lambda _: now)).start().awaitTermination()
+    kept = jobs.audit_rows(spark, f"{folder}/log", AUDIT, days, most, now)
+    return kept.select("id", "action")

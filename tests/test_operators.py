@@ -119,7 +119,57 @@ def test_name_families_are_a_parameter(spark, tmp_path):
     (tmp_path / "families.txt").write_text("Zed, zeddy\n\nann,zed\n")
     found = stores.load_nicknames(spark, f"{tmp_path}/families.txt")
     df = spark.createDataFrame([("Zed",), ("zeddy",), ("Ann",), ("Bob",)], "g string")
-    assert [r[0] for r in df.select(M.nickname_group(F.col("g"), found)).collect()] == [1, 0, 1, None]
+    assert {r["g"]: r["n"] for r in M.with_nickname_group(df, F.col("g"), "n", found).collect()} == {"Zed": 1, "zeddy": 0, "Ann": 1, "Bob": None}
+
+
+def test_families_of_given_names(spark):
+    """The last family that lists a name has it: 595 pairs of names are linked, and none of those that only an earlier family would link."""
+    from itertools import combinations
+
+    from bookmerge.functions import names as M
+    from bookmerge.functions.name_families import FAMILIES
+
+    names = sorted(set(FAMILIES.split()))
+    assert (len(FAMILIES.strip().splitlines()), len(FAMILIES.split()), len(names)) == (119, 423, 398)
+    group = {r["g"]: r["n"] for r in M.with_nickname_group(spark.createDataFrame([(n.upper() + " x",) for n in names], "g string"), F.col("g"), "n").select(F.lower(F.split("g", " ")[0]).alias("g"), "n").collect()}
+    assert sum(group[a] == group[b] for a, b in combinations(names, 2)) == 595
+    for a, b in (("bert", "robert"), ("al", "alexander"), ("harry", "henry"), ("nick", "nicholas"), ("ellie", "elizabeth"), ("rick", "richard"), ("ted", "edward"), ("jon", "john"), ("pat", "patrick"), ("charlie", "charles")):
+        assert group[a] != group[b], (a, b)
+    for a, b in (("bob", "robert"), ("harry", "harold"), ("nick", "dominic"), ("bert", "albert"), ("kate", "katherine"), ("winnie", "freddie"), ("jenny", "genevieve"), ("ray", "raymond"), ("hattie", "harriet")):
+        assert group[a] == group[b], (a, b)
+
+
+def test_records_that_merge_in_turn(spark):
+    """Running merges are those of the plain fold, row by row, whatever the fields hold."""
+    import random
+
+    from bookmerge.schemas import CONTACT_STRUCT
+
+    rnd = random.Random(11)
+    pick = lambda *x: rnd.choice(x)
+
+    def one(i, side):
+        items = lambda *values: [(rnd.choice(values), rnd.choice(("home", "work"))) for _ in range(rnd.randrange(4))]
+        where = [(pick("Main St", "main st ", "Elm", None), "", "", "", "", None, "home") for _ in range(rnd.randrange(3))]
+        return person(i, pick("Ann", "", None, f"N{i}"), pick("", None, "Lee"), side=side, **{**dict(nickname=pick(None, "", "n"), phonetic_given_name=pick(None, "", "p"), note=pick(None, "", "x", "y", "x\n---\ny", "x\n---\ny"), organization=pick(None, "Acme", ""), urls=items("a.test", "A.TEST", None), addresses=where), "emails": items("a@x", "A@X", "b@x", None), "phones": items("555", "5-55", "77", None)})
+
+    groups = {g: rnd.randrange(1, 9) for g in range(12)}
+    a = book(spark, *(one(f"g{g}", "google") for g in groups))
+    b = book(spark, *(one(f"m{g}-{i}", "mac") for g, n in groups.items() for i in range(n)))
+    from bookmerge.functions import contacts as C
+
+    rows = C.as_struct(b, "b").withColumn("at", F.regexp_extract("b.contact_id", "^m([0-9]+)", 1)).withColumn("seq", F.regexp_extract("b.contact_id", "-([0-9]+)$", 1).cast("int") + 1)
+    rows = rows.join(C.as_struct(a, "a").withColumn("at", F.regexp_extract("a.contact_id", "[0-9]+", 0)), "at")
+    got = {(r["at"], r["seq"]): r["made"] for r in merge.merge_in_turn(rows).collect()}
+    listed = {}
+    for r in rows.select("at", "seq", "a", "b").collect():
+        listed.setdefault(r["at"], []).append((r["seq"], r["a"], r["b"]))
+    schema = f"at string, seq int, a {CONTACT_STRUCT}, bs array<{CONTACT_STRUCT}>"
+    prefixes = spark.createDataFrame([(g, k, x[0][1], [y[2] for y in sorted(x, key=lambda y: y[0])[:k]]) for g, x in listed.items() for k in range(1, len(x) + 1)], schema)
+    made = F.aggregate("bs", F.col("a").cast(CONTACT_STRUCT), lambda acc, c: merge.merge_sync(acc, c).cast(CONTACT_STRUCT))
+    want = {(r["at"], r["seq"]): r["made"] for r in prefixes.select("at", "seq", made.alias("made")).collect()}
+    assert len(got) == len(want) == sum(groups.values())
+    assert all(got[k] == want[k] for k in want)
 
 
 @pytest.mark.parametrize("most_rows", [linkage.MOST_ROWS, 0])
