@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,9 +98,9 @@ class SessionStore:  # K05
 
     def retain(self, keep: int) -> list[str]:
         """Only the newest sessions stay published; the others' files go afterwards. The folders that went."""
-        dropped = dropped_sessions(self.summaries().select(F.col("session_id").alias("id"), "timestamp"), keep).select(F.concat(F.lit("session_id="), "id")).collect()
+        dropped = {str(r[0]) for r in dropped_sessions(self.summaries().select(F.col("session_id").alias("id"), "timestamp"), keep).select("id").collect()}
         now = self.published()
-        gone = {r[0]: now[r[0]] for r in dropped}
+        gone = {k: v for k, v in now.items() if unquote(k.removeprefix("session_id=")) in dropped}
         store.publish(self.spark, f"{self.path}/manifest.json", {"sessions": {k: v for k, v in now.items() if k not in gone}})
         for session, write in gone.items():
             for part in self.PARTS:
