@@ -2,11 +2,11 @@
 
 Every text is read once; its base figures and the hashes of its distinct normalised lines go to a
 table in the shared folder. Distinct documents are counted for each (host, line hash), summed before and after a shuffle
-on all three keys, so a line that half of a host repeats loads no single task. Lines in more documents than the host's
-limit are boilerplate: ``share`` of its documents, but no less than ``low`` and no more than ``high``, so that small hosts
-have boilerplate and large ones do not keep lines of hundreds of documents. A document that loses more than
+on all three keys, so a line that half of a host repeats loads no single task. Lines in more than ``share`` of the host's
+documents are boilerplate, but those of ``low`` documents at most never are. There is no other bound, so a line that the
+same share of a host's documents holds gets the same verdict however large the host is. A document that loses more than
 ``max_removed`` of its words to them is depleted and is rejected; so are copies of one document beyond the limit.
-Frequent lines are at most lines / ``low``; they are written, and Spark broadcasts them or not by
+Frequent lines of a host are at most the lines of a mean document / ``share``; they are written, and Spark broadcasts them or not by
 the size of that table. Each row also gets the positions of its boilerplate lines, and ``clean`` gives the kept rows
 with texts that lack these lines.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from bookmerge.llm._shared import id_or_least, in_pieces, pick, read, written
 
 MIN_WORDS = 50
-#: A line is boilerplate in more documents of its host than this share of them, but than LOW at least and HIGH at most.
-SHARE, LOW, HIGH = 0.005, 3, 6
+#: A line is boilerplate in more documents of its host than this share of them, and than LOW.
+SHARE, LOW = 0.05, 2
 #: Share of its words that a document may lose to boilerplate.
 MAX_REMOVED = 0.5
 
@@ -81,14 +81,14 @@ def _copy(host: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest")]
 
 
-def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, share: float = SHARE, low: int = LOW, high: int = HIGH, max_removed: float = MAX_REMOVED) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, share: float = SHARE, low: int = LOW, max_removed: float = MAX_REMOVED) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, n_boilerplate_words, host, digest and boilerplate (line positions) for each row of docs (doc_id, text, host)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_copy(host, "text"), "text")
     schema = "doc_id long, host string, digest long, " + ", ".join(f"{c} long" for c in _BASE) + ", line_keys array<long>, line_words array<long>, line_at array<array<int>>"
     parsed = written(rows.mapInArrow(in_pieces(_parse), schema).withColumn("row", F.monotonically_increasing_id()), "line-figures")
 
     doc = id_or_least().alias("d")
-    limit = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), share * F.col("host_docs")))
+    limit = F.greatest(F.lit(float(low)), share * F.col("host_docs"))
     sizes = parsed.select("host", doc).groupBy("host").agg(F.count_distinct("d").alias("host_docs"))
     counts = parsed.select("host", doc, F.explode("line_keys").alias("line")).groupBy("host", "line").agg(F.count_distinct("d").alias("n"))
     frequent = counts.where(F.col("n") > low).join(sizes, "host").where(F.col("n") > limit).select("host", "line")

@@ -36,7 +36,7 @@ l as (select doc_id, host, t, line, regexp_extract_all(line, '{_WORD}') as lw fr
 k as (select *, translate(array_to_string(lw, ' '), {_LOW}) as key from l),
 dup as (select doc_id, count(*) - count(distinct line) as n from l group by doc_id),
 hosts as (select host, count(distinct doc_id) as docs from d group by host),
-often as (select host, key from (select host, key, count(distinct doc_id) as n from k group by host, key) join hosts using (host) where n > greatest({quality_rules.LOW}, least({quality_rules.HIGH}, {quality_rules.SHARE} * docs))),
+often as (select host, key from (select host, key, count(distinct doc_id) as n from k group by host, key) join hosts using (host) where n > greatest({quality_rules.LOW}, {quality_rules.SHARE} * docs)),
 gone as (select doc_id, sum(len(lw)) as n from k join often using (host, key) group by doc_id),
 b as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, cast(coalesce(gone.n, 0) as bigint) as n_boilerplate_words
   from w left join dup using (doc_id) left join rep using (doc_id) left join gone using (doc_id))

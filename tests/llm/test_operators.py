@@ -123,11 +123,51 @@ def test_op2_boilerplate(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     frame = " ".join(f"menu{k}" for k in range(200))
     rows = [(i, f"{frame}\n{own(i)}" if i < 8 else own(i), "h" if i % 4 else "g") for i in range(40)]
-    got = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), low=3, high=3).collect()}
+    got = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.0, low=3).collect()}
     assert {i for i, r in got.items() if not r["kept"]} == {1, 2, 3, 5, 6, 7}  # on host g the frame is in two documents only
     assert got[1]["n_boilerplate_words"] == 200
 
 
+def plain_judge(rows, share, low, removed):
+    """doc_id -> (kept, boilerplate words), by hosts and lines in dictionaries."""
+    key = lambda line: " ".join(line.split()).lower()
+    docs, held = defaultdict(set), defaultdict(set)
+    for i, text, host in rows:
+        docs[host].add(i)
+        for line in (text or "").split("\n"):
+            if line.split():
+                held[host, key(line)].add(i)
+    out = {}
+    for i, text, host in rows:
+        words = (text or "").split()
+        windows = Counter(zip(words, words[1:], words[2:]))
+        rep = {k + o for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for o in range(3)}
+        gone = sum(len(line.split()) for line in (text or "").split("\n") if line.split() and len(held[host, key(line)]) > max(low, share * len(docs[host])))
+        out[i] = (len(words) >= 50 and 100 * len(rep) <= 50 * len(words) and gone <= removed * len(words), gone)
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_op2_verdicts_do_not_depend_on_size(spark, times):
+    """A template of a tenth of a host's documents, a line of a fiftieth and copies: the same verdicts at ten times the documents, which differ from the base ones."""
+    from bookmerge.llm.quality_rules import LOW, MAX_REMOVED, SHARE, judge
+
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    frame, rare = " ".join(f"menu{k}" for k in range(60)), " ".join(f"rare{k}" for k in range(70))
+    rows = []
+    for i in range(200 * times):
+        kind, host = i % 50, f"h{i % 2}"
+        text = f"{frame}\n{own(i, 20)}" if kind in (0, 1, 2, 3, 4, 5) else f"{rare}\n{own(i, 20)}" if kind in (6, 7) else f"{own('copy', 60)}" if kind in (8, 9, 10, 11) else f"{frame}\n{own(i, 200)}" if kind == 12 else own(i, 60)
+        rows.append((i, text, host))
+    got = {r["doc_id"]: (r["kept"], r["n_boilerplate_words"], r["base_failed"]) for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = plain_judge(rows, SHARE, LOW, MAX_REMOVED)
+    assert {i: r[:2] for i, r in got.items()} == want
+    assert not any(r[2] for r in got.values())
+    verdict = {i % 50: r[0] for i, r in got.items()}
+    assert all(verdict[i % 50] == r[0] for i, r in got.items())
+    assert [k for k in range(50) if not verdict[k]] == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11]
+
+
 def test_op2_removes_boilerplate_lines(spark):
     from bookmerge.llm.quality_rules import clean
 
@@ -141,7 +181,7 @@ def test_op2_removes_boilerplate_lines(spark):
             lines = [x for x in text.split("\n") if host is None or " ".join(x.lower().split()) != "home about us contact"]
             want.append((i, "\n".join(lines), host, len("\n".join(lines))))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
-    got = clean(docs, low=3, high=3)
+    got = clean(docs, share=0.0, low=3)
     assert got.schema == docs.schema
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
