@@ -54,7 +54,8 @@ def formatted(role: str, text: str) -> tuple[str, str]:
     return f"{OPEN}{escape_role(role)}: ", escape(text)
 
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>\n))*)</turn>\n", re.S)
+#: Possessive repeats: no way back is kept, whatever a turn's length.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>\n))*+)</turn>\n", re.S)
 
 
 def turns_of(text: str) -> list[tuple[str, str, int, int]]:
