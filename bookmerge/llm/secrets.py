@@ -103,27 +103,38 @@ def _c_log_c(c: Column) -> Column:
 
 
 def _hot_window(match: Column, window: int, threshold: float) -> Column:
-    """struct<lo,hi>: from the first to the last window whose entropy reaches the threshold (hi is 0 without one)."""
+    """struct<lo,hi>: from the first to the last window whose entropy reaches the threshold (hi is 0 without one).
+
+    The state of the scan has a count for each of the run's characters and the sum of n * log2(n) over them; a step changes two of each.
+    """
 
     def over(codes: Column) -> Column:
-        width = F.least(F.lit(window), F.size(codes))
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+        places = lambda known: F.transform(codes, lambda c: F.array_position(known, c).cast("int") - 1)
+        return _bound(F.array_distinct(codes), lambda known: _bound(places(known), lambda p: scan(p, F.size(known))))
+
+    def scan(places: Column, n_known: Column) -> Column:
+        width = F.least(F.lit(window), F.size(places))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.array_repeat(F.lit(0), n_known).alias("counts"))
 
         def step(s: Column, i: Column) -> Column:
-            # The window's characters without the one that comes at i and the one that goes (width before it).
-            stay = F.slice(codes, F.greatest(F.lit(1), i - width + 1), F.least(width, i) - 1)
-            n = lambda code: F.size(F.filter(stay, lambda c: c == code))
-            comes, goes = n(F.element_at(codes, i)), F.when(i > width, n(F.get(codes, i - width - 1)))
-            more = _bound(comes, lambda c: _c_log_c(c + 1) - _c_log_c(c))
-            less = F.coalesce(_bound(goes, lambda c: _c_log_c(c + 1) - _c_log_c(c)), F.lit(0.0))
+            comes, goes = F.element_at(places, i), F.when(i > width, F.get(places, i - width - 1))
+
+            def counted(pair: Column) -> Column:
+                came, went = pair["came"], pair["went"]
+                less = F.coalesce(_c_log_c(went + 1) - _c_log_c(went), F.lit(0.0))  # the one that goes, among those that stay
+                more = _c_log_c(came + 1) - _c_log_c(came)
+                counts = F.transform(s["counts"], lambda c, k: c + (k == comes).cast("int") - F.coalesce((k == goes).cast("int"), F.lit(0)))
+
+                def end(total: Column) -> Column:
+                    hot = (i >= width) & (F.log2(width.cast("double")) - total / width >= threshold - 1e-9)
+                    return F.struct(total.alias("sum"), F.when(hot & (s["hi"] == 0), i - width).otherwise(s["lo"]).alias("lo"), F.when(hot, i).otherwise(s["hi"]).alias("hi"), counts.alias("counts"))
 
-            def end(total: Column) -> Column:
-                hot = (i >= width) & (F.log2(width.cast("double")) - total / width >= threshold - 1e-9)
-                return F.struct(total.alias("sum"), F.when(hot & (s["hi"] == 0), i - width).otherwise(s["lo"]).alias("lo"), F.when(hot, i).otherwise(s["hi"]).alias("hi"))
+                return _bound(s["sum"] + more - less, end)
 
-            return _bound(s["sum"] + more - less, end)
+            same = F.coalesce((comes == goes).cast("int"), F.lit(0))
+            return _bound(F.struct((F.get(s["counts"], comes) - same).alias("came"), (F.get(s["counts"], goes) - 1).alias("went")), counted)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+        return F.aggregate(F.sequence(F.lit(1), F.size(places)), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
     return _bound(F.transform(F.split(match, ""), lambda c: F.ascii(c)), over)
 
