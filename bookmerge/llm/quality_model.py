@@ -60,14 +60,11 @@ def _encode_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((total, FEATURES))
     if not len(start):
         return x, n_pass
-    # Bytes: those before a passage's first word belong to the passage before it or to the text's first.
-    mark = np.zeros(len(buf), np.int64)
-    opening = np.flatnonzero(np.concatenate([[True], np.diff(word_pass) > 0]))
-    byte_at = start[opening]
-    in_doc_first = np.isin(word_pass[opening], first_pass)
-    byte_at = np.where(in_doc_first, begins[word_doc[opening]], byte_at)
-    np.add.at(mark, byte_at[1:], np.diff(word_pass[opening]))
-    byte_pass = word_pass[0] + np.cumsum(mark)
+    # Bytes: those before a passage's first word belong to the passage before it, or to the text's first; never to another text.
+    owner = np.repeat(np.arange(len(texts)), n_pass)
+    k = np.arange(total) - first_pass[owner]
+    byte_at = np.where(k == 0, begins[owner], start[np.minimum(first_word[owner] + k * PASSAGE_WORDS, len(start) - 1)])
+    byte_pass = np.repeat(np.arange(total), np.diff(byte_at, append=len(buf)))
     counts = np.bincount(byte_pass * CLASSES + _CLASS[buf], minlength=total * CLASSES).reshape(total, CLASSES)
     n_bytes = np.maximum(1, counts.sum(axis=1))
     x[:, :CLASSES] = np.sqrt(counts / n_bytes[:, None])
@@ -83,6 +80,7 @@ def _encode_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bins = np.bincount(word_pass * HASHED + (h >> np.uint64(58)).astype(np.int64), minlength=total * HASHED).reshape(total, HASHED) / n[:, None]
     x[:, CLASSES : CLASSES + 6] = np.stack([np.log1p(mean), np.log1p(np.sqrt(np.maximum(0, per(length.astype(float) ** 2) - mean**2))), per(same(1)), per(same(2)), (bins**2).sum(axis=1), np.log1p(n)], axis=1)
     x[:, CLASSES + 6 :] = np.sqrt(bins)
+    x[np.repeat(n_words == 0, n_pass)] = 0  # a text without words is the same whatever stands beside it
     return x, n_pass
 
 
@@ -166,12 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_pa
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # max_train rows at most
     rows = rows.select(F.xxhash64("doc_id", "text").alias("at"), "quality", "text")
     bags = written(rows.mapInArrow(in_pieces(_bags), "at long, quality int, n long, bag binary").orderBy("at", "quality").limit(2 * max_train), "bags")
-    sizes = sorted((r["at"], r["n"]) for r in bags.select("at", "n").collect())  # no more than 2 * max_train rows
-    if not sizes:
+    chosen, total = set(), 0
+    for at, quality, n in sorted((r["at"], r["quality"], r["n"]) for r in bags.select("at", "quality", "n").collect()):  # no more than 2 * max_train rows
+        if total + n <= max_passages:  # a document that does not fit is left out, and those behind it are not
+            chosen.add((at, quality))
+            total += n
+    if not chosen:
         return None
-    upto = np.cumsum([n for _, n in sizes])
-    last = max(0, int(np.searchsorted(upto, max_passages, side="right")) - 1)
-    got = sorted((r["at"], r["quality"], r["bag"]) for r in bags.where(F.col("at") <= sizes[last][0]).toLocalIterator())
+    got = sorted((r["at"], r["quality"], r["bag"]) for r in bags.where(F.col("n") <= max_passages).toLocalIterator() if (r["at"], r["quality"]) in chosen)
     x = [np.frombuffer(bag, "<f4").reshape(-1, FEATURES) for _, _, bag in got]
     return fit(np.concatenate(x), np.array([len(b) for b in x]), np.array([q for _, q, _ in got], float))
 
