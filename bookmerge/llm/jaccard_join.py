@@ -5,8 +5,8 @@ of the set), so copies cost one member. Small (light) sets enumerate all subsets
 that a partner of their size can have; larger (heavy) sets are found through inverted lists of their
 prefix: the 20 % of a set that come first in one global order, which any partner must meet. The
 boundary between the two is the size at which the summed cost (keys to write, postings to scan) is
-least. The order puts rare shingles first by a count sketch of all documents (fixed size; it
-steers cost, never results), so a passage that many documents share is hardly ever a key.
+least. The order puts rare shingles first by a count sketch of all documents (fixed size, read by how far a counter
+stands above the usual load; it steers cost, never results), so a passage that many documents share is hardly ever a key.
 
 A list of k members is not k * k pairs. Links only have to join a list's members: every list compares its members
 with a hub first; members of long lists whose labels (component so far) still differ from those of a few random
@@ -132,7 +132,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, total = None, None
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(total, 0xFFFF).astype("<u2").tobytes()], pa.binary())], ["chunk", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["chunk", "counts"])
 
     for batch in batches:
         for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
@@ -145,6 +145,14 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def standing_out(counts: np.ndarray) -> np.ndarray:
+    """By how much each counter stands above the usual load of one (what chance puts into it), up to 16 bits.
+
+    So the order and the boundary mean the same however many shingles share a counter: at 10^13 shingles chance spreads a counter by about a thousand.
+    """
+    return np.clip(counts - int(np.median(counts)), 0, 0xFFFF).astype(np.uint16)
+
+
 def _costs(sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, scan = sketch.value, {}
@@ -307,10 +315,10 @@ def _search(docs: DataFrame) -> _Search:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sums = first.where("kind = 1").select("chunk", "counts").repartition(min(parts, (1 << SKETCH_BITS) // CHUNK), "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
-    counts = np.zeros(1 << SKETCH_BITS, np.uint16)  # of fixed size
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)  # of fixed size
     for r in sums.toLocalIterator():
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<u2")
-    sketch = spark.sparkContext.broadcast(counts)
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
+    sketch = spark.sparkContext.broadcast(standing_out(counts))
 
     small = first.where("kind = 0 and small is not null").groupBy("class", "n").agg(F.first("small").alias("small"))
     scans = small.select("small").mapInArrow(_costs(sketch), "n long, scan long").groupBy("n").agg(F.sum("scan").alias("scan"))
