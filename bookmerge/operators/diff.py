@@ -150,7 +150,7 @@ def diff_one_way(source: DataFrame, target: DataFrame, mapping: DataFrame, direc
     rows = lookup_targets(source, mapping, target, *keys)
     rows = with_outside_filter(rows, target_ids, "target_id", "outside") if target_ids is not None else rows.withColumn("outside", F.lit(False))
     a, b, side = F.col("a"), F.col("b"), "google" if direction == "googleToMac" else "mac"
-    rows = rows.withColumn("diff", F.when(b.isNotNull(), diff_fields(a, b, settings) if side == "google" else diff_fields(b, a, settings)))
+    rows = durable(rows.withColumn("diff", F.when(b.isNotNull(), diff_fields(a, b, settings) if side == "google" else diff_fields(b, a, settings))))  # compared once
     say = lambda action, changes: _change(C.display_name(a), action, direction, changes, None, side)
     lost = F.col("target_id").isNotNull() & b.isNull() & ~F.col("outside")
     change = F.when(F.col("target_id").isNull(), say("add", F.array(F.lit("New contact")))).when(lost, say("add", F.array(F.lit("Deleted on target — re-creating from source")))).when(F.size("diff") > 0, say("update", F.col("diff")))

@@ -16,7 +16,7 @@ from bookmerge.operators.graph import clusters, durable
 from bookmerge.operators.ranges import numbered
 
 _BY_NAME = 1 << 30
-#: Rows (a record and one of its keys) up to which a group of connected keys is settled by one task.
+#: Rows (a record and one of its keys) up to which a group of several connected keys is settled by one task.
 MOST_ROWS = 500_000
 
 
@@ -102,8 +102,10 @@ def _in_rounds(keys: DataFrame) -> DataFrame:
 def link_fuzzy(left: DataFrame, right: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:  # J04
     """(left_id, right_id, confidence): each left record in ascending id takes its first free candidate.
 
-    Choices depend on each other only inside a group of keys that records connect. Such groups are found as clusters
-    of keys and settled each by one task in one streamed pass, in order of the ids; groups of more than ``most_rows``
+    Choices depend on each other only inside a group of keys that records connect. A key that no record connects to another
+    is settled by itself: its left and right records, each in order of their ids, meet place by place (numbered in ranges, so a
+    name of very many records spreads). Groups of several keys are found as clusters
+    of keys and settled each by one task in one streamed pass, in order of the ids; those of more than ``most_rows``
     rows go through ``_in_rounds``. No table holds pairs.
     """
     side = lambda book, is_left: _link_keys(book).withColumn("is_left", F.lit(is_left))
@@ -113,12 +115,15 @@ def link_fuzzy(left: DataFrame, right: DataFrame, most_rows: int = MOST_ROWS) ->
     several = rows.groupBy("is_left", "id").agg(F.min("key").alias("one"), F.collect_set("key").alias("keys")).where(F.size("keys") > 1)
     edges = several.select("one", F.explode("keys").alias("other")).where("one <> other").distinct()
     group = clusters(edges, "one", "other").toDF("key", "group")
-    rows = durable(rows.join(group, "key", "left").withColumn("group", F.coalesce("group", "key")))
+    rows = durable(rows.join(group, "key", "left"))
+    placed = durable(numbered(rows.where("group is null").drop("group"), ["key", "is_left"], "id", "place"))
+    met = placed.where("is_left").withColumnRenamed("id", "left_id").join(placed.where("not is_left").select("key", "place", F.col("id").alias("right_id")), ["key", "place"])
+    rows = rows.where("group is not null")
     large = durable(rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > most_rows).select("group"))
     # Right records first and in descending order, so that the least free one is a list's last.
     order = ["group", "is_left", F.when(~F.col("is_left"), F.col("id")).desc(), "id", "pos"]
     small = rows.join(large, "group", "left_anti").repartition("group").sortWithinPartitions(*order).select("group", "is_left", "id", "pos", "key")
-    found = [small.mapInArrow(_first_free, "left_id string, right_id string, pos int")]
+    found = [met.select("left_id", "right_id", "pos"), small.mapInArrow(_first_free, "left_id string, right_id string, pos int")]
     if not large.isEmpty():
         found.append(_in_rounds(rows.join(large, "group", "left_semi")))
     return durable(reduce(DataFrame.unionByName, found).select("left_id", "right_id", _confidence().alias("confidence")))

@@ -11,6 +11,7 @@ from bookmerge.functions import contacts as C
 from bookmerge.functions import normalize as N
 from bookmerge.operators import diff as D
 from bookmerge.operators import graph, logs, matching, versions
+from bookmerge.operators.ranges import numbered
 from bookmerge.plans import fixtures as X
 from bookmerge.plans import queries as Q
 from bookmerge.plans import sqltext as T
@@ -82,10 +83,9 @@ def session_documents(spark, d):  # K06
 
 @query(f"with {_SESSIONS} select id, cast(row_number() over (order by ts desc, id) as int) as place from s")
 def session_list(spark, d):  # T01
-    """Places of the 40 sessions in the list."""
-    rows = versions.list_backups(_sessions(spark, d)).select("id", "timestamp")
-    ordered = rows.agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros("timestamp")).alias("t"), "id"))).alias("x"))
-    return ordered.select(F.posexplode("x").alias("place", "s")).select("s.id", (F.col("place") + 1).alias("place"))
+    """Places of the sessions in the list, numbered in ranges."""
+    rows = versions.list_backups(_sessions(spark, d)).select("id", F.struct((-F.unix_micros("timestamp")).alias("t"), "id").alias("at"), F.lit(0).alias("list"))
+    return numbered(rows, ["list"], "at", "place").select("id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query(f"with {T.BOOKS} select id, given_name, true as lacks_urls from l")
