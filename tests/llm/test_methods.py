@@ -60,7 +60,7 @@ def test_benchmark_index(points, hot):
 
 def test_quality_verdict_acts(spark):
     """kept against a plain count of documents a host; copies count one by one, rows of one doc_id once."""
-    from bookmerge.llm.quality_rules import judge
+    from bookmerge.llm.quality_rules import LOW, SHARE, judge
 
     rnd = random.Random(8)
     frames = [" ".join(f"f{k}x{i}" for i in range(70)) for k in range(6)]
@@ -76,7 +76,7 @@ def test_quality_verdict_acts(spark):
             docs.setdefault((host, line), set()).add(i)
     want = Counter()
     for i, text, host in rows:
-        limit = max(3, min(6, 0.005 * len(hosts[host])))
+        limit = max(LOW, SHARE * len(hosts[host]))
         gone = sum(len(x.split()) for x in text.split("\n") if len(docs[host, x]) > limit)
         want[i, gone <= 0.5 * len(text.split())] += 1
     got = Counter((r["doc_id"], r["kept"]) for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
