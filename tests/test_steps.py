@@ -135,3 +135,55 @@ def test_rollback_goes_on_where_it_failed(spark, tmp_path, monkeypatch):
     back, *_ = versions.rollback(kept.bodies(versions.BODY), "safety-s1", left, right, "remove")
     assert {r["contact_id"] for r in back.collect()} == {"g1", "g3", "g4", "g5"}
     assert set(CONTACT_TYPES) == set(left.columns) and CONTACT
+
+
+def _greedy(left, right):
+    """Each left record in ascending id takes its first free candidate: by the order of its keys, then by right id."""
+    taken, out = set(), {}
+    for i, keys in sorted(left.items()):
+        for k in keys:
+            free = [j for j, own in sorted(right.items()) if k in own and j not in taken]
+            if free:
+                out[i] = free[0]
+                taken.add(free[0])
+                break
+    return out
+
+
+def _random_book(rnd, n, n_mails, side):
+    """Ids to keys: up to two emails, then a name that many share."""
+    return {f"{side}{i:04}": [*dict.fromkeys(f"m{rnd.randrange(n_mails)}@x" for _ in range(rnd.randrange(3))), f"name {rnd.choice('abcdefgh')}"] for i in range(n)}
+
+
+@pytest.mark.parametrize("most_rows", [0, 10**6])
+def test_links_of_random_books(spark, monkeypatch, most_rows):
+    """Greedy links of books whose keys hang together, by one pass and by rounds, of which there are few."""
+    from bookmerge.operators import linkage
+
+    rnd = random.Random(9)
+    left, right = _random_book(rnd, 250, 220, "g"), _random_book(rnd, 230, 220, "m")
+    rounds = []
+    write = linkage.durable
+
+    def counted(df):
+        if df.columns == ["left_id", "step", "right_id"]:
+            rounds.append(1)
+        return write(df)
+
+    monkeypatch.setattr(linkage, "durable", counted)
+    made = lambda book_, side: book(spark, *(person(i, "Name", k[-1].split()[1], side=side, emails=[(m, "work") for m in k[:-1]]) for i, k in book_.items()))
+    got = {r["left_id"]: r["right_id"] for r in linkage.link_fuzzy(made(left, "google"), made(right, "mac"), most_rows).collect()}
+    assert got == _greedy(left, right)
+    assert len(rounds) <= 24
+
+
+def test_single_keys_meet_place_by_place(spark):
+    """Names that nothing connects, one of them very common: the k-th left record takes the k-th right one."""
+    from bookmerge.operators import linkage
+
+    rnd = random.Random(1)
+    left = {f"g{i:03}": [f"name {rnd.choice('aaaab')}"] for i in range(60)}
+    right = {f"m{i:03}": [f"name {rnd.choice('aaabbc')}"] for i in range(50)}
+    made = lambda book_, side: book(spark, *(person(i, "Name", k[0].split()[1], side=side) for i, k in book_.items()))
+    got = {(r["left_id"], r["right_id"], r["confidence"]) for r in linkage.link_fuzzy(made(left, "google"), made(right, "mac")).collect()}
+    assert got == {(i, j, "nameOnly") for i, j in _greedy(left, right).items()}
