@@ -59,6 +59,7 @@ def empty(tmp_path_factory, world):
     d = tmp_path_factory.mktemp("empty")
     for name in ("documents", "benchmark", "conversations", "pages", "labels"):
         pq.write_table(pq.read_table(f"{world[0]}/{name}.parquet").slice(0, 0), f"{d}/{name}.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32())), "label": pa.array([], pa.int32())}), f"{d}/embeddings.parquet")
     return str(d)
 
 
