@@ -132,7 +132,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, total = None, None
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["chunk", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     for batch in batches:
         for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
@@ -316,8 +316,8 @@ def _search(docs: DataFrame) -> _Search:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sums = first.where("kind = 1").select("chunk", "counts").repartition(min(parts, (1 << SKETCH_BITS) // CHUNK), "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)  # of fixed size
-    for r in sums.toLocalIterator():
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
+    for r in sums.collect():  # a row a chunk; row by row would be a job for each partition
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     sketch = spark.sparkContext.broadcast(standing_out(counts))
 
     small = first.where("kind = 0 and small is not null").groupBy("class", "n").agg(F.first("small").alias("small"))
