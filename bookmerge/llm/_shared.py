@@ -57,6 +57,15 @@ def written_in_parts(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     return spark.read.schema(df.schema).parquet(path), parts_for(spark, size)
 
 
+#: Rows (of a few numbers each) up to which a table of two rows a partition is broadcast.
+MAX_BROADCAST_ROWS = 250_000
+
+
+def small_side(table: DataFrame, rows: int) -> DataFrame:
+    """table as the side of a join: broadcast if it has few rows; beyond that the join is by shuffle, with Spark's handling of skew."""
+    return F.broadcast(table) if rows <= MAX_BROADCAST_ROWS else table
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly these columns; others, even ones that differ in case alone, are left out before any name is resolved."""
     plain = [f"_c{i}" for i in range(len(df.columns))]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import in_pieces, parts_for, pick, read, written, written_in_parts
+from bookmerge.llm._shared import in_pieces, parts_for, pick, read, small_side, written, written_in_parts
 from bookmerge.llm.tokens import definition_of, encoder
 
 BUDGET, HISTORY, STRETCH = 2048, 256, 1 << 17
@@ -182,7 +182,7 @@ def windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET
     schema = "kind byte, part long, lead boolean, conv_id long, turn long, role string, text string, tokens long, before long"
     summed = written(ordered.mapInArrow(in_pieces(_prefix_sums(spark.sparkContext.broadcast(definition_of(tokenizer)))), schema), "turn-sums")
 
-    totals = sorted(summed.where("kind = 1").select("part", "lead", "conv_id", "tokens").toLocalIterator(), key=lambda r: (r["part"], not r["lead"]))  # two rows a partition
+    totals = sorted(summed.where("kind = 1").select("part", "lead", "conv_id", "tokens").collect(), key=lambda r: (r["part"], not r["lead"]))  # two rows a partition
     bases, carried, conv = [], 0, object()
     for lead, trail in zip(totals[::2], totals[1::2], strict=True):
         bases.append((lead["part"], carried if lead["conv_id"] == conv else 0))
@@ -190,7 +190,7 @@ def windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET
         carried = (bases[-1][1] if one else 0) + trail["tokens"]
         conv = trail["conv_id"]
     base = spark.createDataFrame(bases, "part long, base long")
-    rows = summed.where("kind = 0").join(F.broadcast(base), "part").withColumn("before", F.col("before") + F.when(F.col("lead"), F.col("base")).otherwise(0))
+    rows = summed.where("kind = 0").join(small_side(base, len(bases)), "part").withColumn("before", F.col("before") + F.when(F.col("lead"), F.col("base")).otherwise(0))
     rows = rows.select("conv_id", "turn", "role", "text", "tokens", "before", (F.col("role").eqNullSafe("system") & (F.col("before") == 0)).alias("system"))
 
     own = F.floor(F.col("before") / stretch)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import id_or_least, in_pieces, pick, read, written, written_in_parts
+from bookmerge.llm._shared import id_or_least, in_pieces, pick, read, small_side, written, written_in_parts
 
 MIN_POINTS = 10
 _ROW = "h1 long, h2 long, d long, row_key long, pos int, n_lines int"
@@ -112,9 +112,9 @@ def keep_bitmaps(docs: DataFrame, least: int = MIN_POINTS) -> DataFrame:
     rows, parts = written_in_parts(rows, "lines")  # range bounds and the sort both read it
     ordered = rows.repartitionByRange(parts, "h1", "h2", "d", "pos", "row_key").sortWithinPartitions("h1", "h2", "d", "pos", "row_key")
     stream = written(ordered.mapInArrow(_first_occurrences, _STREAM), "first-lines")
-    # Two rows a partition at most, whatever the data's size.
-    owners = stream.where(F.col("kind") == _MARKER).groupBy("h1", "h2").agg(F.min("d").alias("owner"))
-    still_open = stream.where(F.col("kind") == _OPEN).join(F.broadcast(owners), ["h1", "h2"]).where("d <> owner")
+    # Two rows a partition at most, so they grow with the number of partitions.
+    owners = written(stream.where(F.col("kind") == _MARKER).groupBy("h1", "h2").agg(F.min("d").alias("owner")), "owners")
+    still_open = stream.where(F.col("kind") == _OPEN).join(small_side(owners, owners.count()), ["h1", "h2"]).where("d <> owner")
     dropped = stream.where(F.col("kind") == _DROP).select("d", "row_key", "pos", "n_lines").unionByName(still_open.select("d", "row_key", "pos", "n_lines"))
     grouped = dropped.groupBy("d", "row_key").agg(F.first("n_lines").alias("n_lines"), F.collect_set("pos").alias("dropped"))
     return grouped.mapInArrow(_bitmaps, "d long, row_key long, n_dropped long, keep_bitmap binary")

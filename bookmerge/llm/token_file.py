@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookmerge.llm._shared import in_pieces, new_path, pick, read, written_in_parts
+from bookmerge.llm._shared import in_pieces, new_path, pick, read, small_side, written_in_parts
 from bookmerge.llm.packing import END_ID, token_rows
 from bookmerge.llm.tokens import definition_of, dtype_for
 
@@ -104,7 +104,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     dtype = dtype_for(vocabulary)
     tokens, parts = written_in_parts(token_rows(docs, definition, end_id, with_point=False).select("doc_id", "ids"), "tokens")
     counted = tokens.select("ids").mapInArrow(in_pieces(_count(dtype, vocabulary)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    order = [r["id"] for r in sorted(counted.toLocalIterator(), key=lambda r: (-r["n"], r["id"]))]  # no longer than the vocabulary
+    order = [r["id"] for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["id"]))]  # no longer than the vocabulary
     spark.createDataFrame([(order,)], "ids array<int>").write.parquet(f"{path}/ranks")
     rank_of = np.zeros(vocabulary, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
@@ -118,7 +118,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     first = spark.read.parquet(f"{path}/ranks").first()  # as long as the vocabulary at most
     id_of = spark.sparkContext.broadcast(np.array(first["ids"], "<u4"))
-    sizes = sorted((r["shard"], r["n"]) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).toLocalIterator())  # a row a shard
+    sizes = sorted((r["shard"], r["n"]) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())  # a row a shard
     base, bases = 0, []
     for shard, n in sizes:
         bases.append((shard, base))
@@ -136,7 +136,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 raw = [ids[a:b].tobytes() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(raw, pa.binary())], ["doc_id", "start", "ids"])
 
-    return blocks.join(F.broadcast(shard_base), "shard").mapInArrow(in_pieces(run), "doc_id long, start long, ids binary")
+    return blocks.join(small_side(shard_base, len(bases)), "shard").mapInArrow(in_pieces(run), "doc_id long, start long, ids binary")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
