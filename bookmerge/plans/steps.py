@@ -65,8 +65,9 @@ def merged_in_turn(spark, d):  # O28
 def shared_key_pairs(spark, d):  # J09
     """Pairs of the customers of one nation and segment, whose keys are dealt in blocks of eight records."""
     keys = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), F.concat("c_nationkey", "c_mktsegment").alias("key"))
-    pairs = matching.pairs_by_key(keys, block=8)
-    return pairs.join(keys.select(F.col("id").alias("id_a"), "key"), "id_a").groupBy("key").agg(F.count("*").alias("pairs"), F.count_distinct("id_a").alias("lesser"), F.sum(F.col("id_a") * F.col("id_b") % 1009).alias("folded"))
+    pairs = matching.pairs_by_key(keys, block=8, keyed=True)
+    by_lesser = pairs.groupBy("key", "id_a").agg(F.count("*").alias("n"), F.sum(F.col("id_a") * F.col("id_b") % 1009).alias("folded"))
+    return by_lesser.groupBy("key").agg(F.sum("n").alias("pairs"), F.count("*").alias("lesser"), F.sum("folded").alias("folded"))
 
 
 @query(f"""with recursive {T.BOOKS}, k as (select id, 'n' || lower(given_name) || '|' || lower(family_name) as key from l where given_name is not null and family_name is not null union select id, 'e' || lower(email) from l where email is not null),

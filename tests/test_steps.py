@@ -39,6 +39,16 @@ def test_blocks_spread_one_key(spark):
     assert met.count() == 20 * 21 // 2 and met.agg(F.max("count")).first()[0] == 1_000_000
 
 
+def test_blocks_of_one_key_are_bounded(spark):
+    """Small blocks of a large key: rows that travel grow with the records, and the copies are not broadcast."""
+    keys = spark.range(5_000).select(F.col("id"), F.lit("hot").alias("key"))
+    pairs = matching.pairs_by_key(keys, block=8, keyed=True)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    blocked = next(line for line in plan.splitlines() if "at_a" in line and "Join" in line)
+    assert "SortMergeJoin" in blocked
+    assert pairs.groupBy("key").count().collect()[0][:] == ("hot", 5_000 * 4_999 // 2)
+
+
 def test_fanout_reaches_the_detectors(spark):
     """With the setting a phone of many records gives a star, without it all pairs; a calm one gives its pairs in both."""
     people = [person(f"p{i:02}", f"N{i}", f"F{i}", None, "5551230000") for i in range(12)] + [person(f"q{i}", f"Q{i}", f"R{i}", None, "5559990000") for i in range(3)]
