@@ -49,6 +49,31 @@ def test_blocks_of_one_key_are_bounded(spark):
     assert pairs.groupBy("key").count().collect()[0][:] == ("hot", 5_000 * 4_999 // 2)
 
 
+def test_records_alike_without_a_signal_are_no_candidates(spark):
+    """Records of one name, organisation and address with contact data of their own have 30 points and no signal: none of their pairs is made."""
+    place = dict(organization="Acme", addresses=[("1 Main St", "Town", "", "", "", None, "home")])
+    ready = matching.prepared(book(spark, *(person(f"p{i:03}", "Ann", "Lee", f"u{i}@x.test", f"555123{i:04}", **place) for i in range(120))))
+    assert matching.candidate_pairs(ready).count() == 0
+
+
+def test_detection_by_profiles(spark, monkeypatch):
+    """Profiles in small blocks give what scoring every pair gives, within and across, and clusters are those of the pairs."""
+    from bookmerge.operators.graph import clusters
+
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    rnd = random.Random(21)
+    pick = lambda *xs: rnd.choice(xs)
+    made = lambda t: book(spark, *(person(f"{t}{i:03}", pick("Jon", "John", "J"), pick("Smith", "Smithe"), pick(None, None, f"u{i % 9}@x.test", f"u{i % 9}+z@x.test"), pick(None, None, f"55512345{i % 7:02}", f"155512345{i % 7:02}"), nickname=pick(None, "jo"), organization=pick("Acme", "Beta"), addresses=[(pick("1 Main St", "2 Main St"), "Town", "", "", "", None, "home")]) for i in range(70)))
+    one, two = made("p"), made("q")
+    told = lambda df: sorted(tuple(r) for r in df.select("id_a", "id_b", "score", "effective", "verdict.reasoning").collect())
+    every = matching.detect_within(one, mode="exhaustive")
+    assert told(matching.detect_within(one)) == told(every) and len(told(every)) > 50
+    assert {tuple(r) for r in matching.duplicate_clusters(one).collect()} == {tuple(r) for r in clusters(every).collect()}
+    mapping = spark.createDataFrame([(f"p{i:03}", f"q{j:03}", None, None) for i in range(70) for j in (i, (i + 5) % 70)], MAPPING)
+    found = matching.detect_across(one, two, mapping)
+    assert told(found) == told(matching.detect_across(one, two, mapping, mode="exhaustive")) and found.count() > 50
+
+
 def test_fanout_reaches_the_detectors(spark):
     """With the setting a phone of many records gives a star, without it all pairs; a calm one gives its pairs in both."""
     people = [person(f"p{i:02}", f"N{i}", f"F{i}", None, "5551230000") for i in range(12)] + [person(f"q{i}", f"Q{i}", f"R{i}", None, "5559990000") for i in range(3)]
