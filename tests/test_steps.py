@@ -89,6 +89,24 @@ def test_fanout_reaches_the_detectors(spark):
     assert key(found) == star
 
 
+def test_a_pair_of_simple_duplicates_comes_once(spark, monkeypatch):
+    """Pairs that share a name and several emails come from the first of them: no table of pairs is made distinct, whatever the blocks; a repeated id is one record."""
+    rnd = random.Random(5)
+    mails = lambda: [(f"m{rnd.randrange(12)}@x", "home") for _ in range(rnd.randrange(4))]
+    people = [person(f"p{i:02}", rnd.choice(["Ann", "ANN", "Bo", None]), f"F{rnd.randrange(4)}", emails=mails()) for i in range(60)]
+    people.append({**people[0], "given_name": "Cy"})
+    keys = {}
+    for p in people:
+        keys.setdefault(p["contact_id"], set()).update({e[0] for e in p["emails"]} | ({(p["given_name"].lower(), p["family_name"].lower())} if p["given_name"] else set()))
+    want = sorted((x, y) for x, y in combinations(sorted(keys), 2) if keys[x] & keys[y])
+    for block, a_task in ((1000, 1_000_000), (3, 1_000_000), (3, 10)):
+        monkeypatch.setattr(matching, "PAIRS_A_TASK", a_task)
+        monkeypatch.setattr(matching.pairs_by_key, "__defaults__", (None, block, False))
+        pairs = matching.simple_duplicates(book(spark, *people))
+        assert "Aggregate [id_a" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, pairs.collect())) == want
+
+
 def test_groups_without_pairs(spark):
     """Groups of simple duplicates are the components of their pairs."""
     from bookmerge.operators.graph import clusters
