@@ -131,6 +131,28 @@ def test_very_many_records_merge_in_turn(spark):
     assert [e["value"] for e in told[n]["emails"]] == ["own", "a0", "a1", "a2", "a3", "a4"] and [e["value"] for e in told[1]["emails"]] == ["own", "a0"]
 
 
+def test_results_in_turn_are_not_moved(spark, monkeypatch):
+    """Merged records are completed in blocks of rows, last of all: no window holds a result and none is shuffled. A repeated plan row counts twice, the last merge into a right record stays."""
+    monkeypatch.setattr(merge, "IN_TURN_BLOCK", 2)
+    notes = [None, "x", "own", "own\n---\nx", "own\n---\nx\n---\nown", None, "y"]
+    left = book(spark, person("g", "", "", "own@x", note="own"), person("h", "Hal", "", "h@x"))
+    right = book(spark, *(person(f"m{i}", "" if i < 3 else f"N{i}", "", f"{i // 2}@x", side="mac", note=n) for i, n in enumerate(notes)))
+    plan = "action string, user_override string, source string, changes array<string>, left_id string, right_id string, outcome string"
+    rows = [("merge", "merge", "google", ["x"], g, m, "merged") for g, m in [*(("g", f"m{i}") for i in range(7)), ("g", "m3"), ("h", "m0")]]
+    a, b = A.apply_books(spark.createDataFrame(rows, plan), left, right, settings=Settings(sync_notes=True))
+    told = lambda df: {r["contact_id"]: (r["given_name"], [e["value"] for e in r["emails"]], r["note"]) for r in df.collect()}
+    want, name, mails, note, order = {}, "", ["own@x"], "own", [0, 1, 2, 3, 3, 4, 5, 6]
+    for i in order:
+        name = name or ("" if i < 3 else f"N{i}")
+        mails = mails + [m for m in [f"{i // 2}@x"] if m not in mails]
+        note = note if notes[i] is None or notes[i] == note else f"{note}\n---\n{notes[i]}"
+        want[f"m{i}"] = (name, mails, note)
+    assert told(a) == {"g": want["m6"], "h": ("Hal", ["h@x", "0@x"], None)}
+    assert told(b) == {**want, "m0": ("Hal", ["h@x", "0@x"], None)}
+    text = b._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "all_emails" in text
+
+
 def test_a_stale_plan_meets_the_current_records(spark):
     """The left record was edited, and another one deleted, after the plan was made."""
     plan = "action string, user_override string, source string, changes array<string>, left_id string, right_id string, outcome string"
