@@ -107,6 +107,41 @@ def test_a_pair_of_simple_duplicates_comes_once(spark, monkeypatch):
         assert sorted(map(tuple, pairs.collect())) == want
 
 
+def test_tables_of_pairs_and_keys_are_not_broadcast(spark):
+    """Written pairs and keys are a few bytes a row, so Spark would take them for small and gather them in the driver; a kept pair goes whichever id comes first."""
+    from bookmerge.operators.graph import durable
+
+    joins = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line or "BroadcastExchange" in line]
+    pairs = durable(spark.range(200_000).select(F.format_string("people/c%06d", F.col("id") % 500).alias("id_a"), F.format_string("people/c%06d", 500 + F.floor(F.col("id") / 500)).alias("id_b")))
+    kept = pairs.where("id_a >= 'people/c000003'").select(F.concat_ws("<>", "id_a", "id_b").alias("pair_key"))
+    rest = matching.suppress_pairs(pairs, kept)
+    assert joins(rest) and all("SortMergeJoin" in j for j in joins(rest))
+    assert rest.count() == 1200 and set(rest.columns) == {"id_a", "id_b", "pair_key"} and rest.where("id_a >= 'people/c000003'").isEmpty()
+    turned = matching.suppress_pairs(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), F.lit(1).alias("more")), kept)
+    assert all("SortMergeJoin" in j for j in joins(turned)) and turned.count() == 1200 and turned.agg(F.sum("more")).first()[0] == 1200
+
+    keys = durable(spark.range(200_000).select(F.format_string("people/c%06d", "id").alias("id"), F.floor(F.col("id") / 2).alias("key")))
+    for other, n in ((None, 100_000), (keys, 400_000)):
+        met = matching.pairs_by_key(keys, other)
+        assert joins(met) and all("SortMergeJoin" in j for j in joins(met)) and met.count() == n
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_records_of_passing_profiles(spark, monkeypatch, most):
+    """Only a counted, bounded table of profiles is broadcast to the records, and beyond the bound none; the pairs are the same."""
+    monkeypatch.setattr(matching, "MOST_BROADCAST", most)
+    rnd = random.Random(8)
+    pick = lambda *xs: rnd.choice(xs)
+    made = lambda t: book(spark, *(person(f"{t}{i:02}", pick("Jon", "John"), pick("Smith", "Smithe"), pick(None, None, f"u{i % 9}@x.test"), None, organization=pick("Acme", "Beta"), addresses=[("1 Main St", "Town", "", "", "", None, "home")]) for i in range(40)))
+    one, two = made("p"), made("q")
+    none = spark.createDataFrame([("p01", "q01", None, None)], MAPPING)
+    told = lambda df: sorted(tuple(r) for r in df.select("id_a", "id_b", "score", "effective").collect())
+    for found, every in ((matching.detect_within(one), matching.detect_within(one, mode="exhaustive")), (matching.detect_across(one, two, none), matching.detect_across(one, two, none, mode="exhaustive"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == (2 if most else 0)
+        assert told(found) == told(every) and len(told(every)) > 50
+
+
 def test_groups_without_pairs(spark):
     """Groups of simple duplicates are the components of their pairs."""
     from bookmerge.operators.graph import clusters
